@@ -11,7 +11,7 @@ from patronage.session import settle
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); roots are arbitrary nodes.
 
-    Each round lets every node point to the neighbour (or itself) with the smallest priority,
+    Each round lets every node point to the node with the smallest priority within two steps,
     replaces both ends of every edge by what they point to, and drops loops and duplicates.
     Priorities are fresh hashes per round, so the graph shrinks by a constant factor on average
     whatever its shape; long chains need logarithmically many rounds. Minima are aggregated
@@ -28,9 +28,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         ends = current.select(F.explode(F.array(
             F.struct(F.col("u").alias("node"), F.col("v").alias("other")),
             F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("e")).select("e.*")
-        points = settle(
-            ends.groupBy("node").agg(F.min(priority("other")).alias("p"))
-            .select("node", F.least(F.col("p"), priority("node"))["id"].alias("parent")))
+        one_step = ends.groupBy("node").agg(F.min(priority("other")).alias("p")).select(
+            "node", F.least(F.col("p"), priority("node")).alias("p"))
+        two_steps = (ends.join(one_step.withColumnsRenamed({"node": "other"}), "other")
+                     .groupBy("node").agg(F.min("p").alias("q")))
+        points = settle(one_step.join(two_steps, "node").select(
+            "node", F.least("p", "q")["id"].alias("parent")))
         rounds.append(points)
         current = settle(
             current.join(points.select(F.col("node").alias("u"), F.col("parent").alias("pu")), "u")

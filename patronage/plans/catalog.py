@@ -312,12 +312,14 @@ def standard_scale(spark, d):
     return _six(prepare.standard_scale(rfm, BEHAVIOUR), *BEHAVIOUR)
 
 
-@query
-def processed_features_table(spark, d):
+def _processed(spark, d):
     out = processed_features(td.customers_with_gaps(spark, d), td.transactions(spark, d), td.AS_OF)
     return _six(out, *[c for c in out.columns if c != "customer_id"])
 
 
+QUERIES["processed_features"] = _processed
+
+
 # --- labels, metrics, risk -------------------------------------------------------------------
 
 @query
@@ -376,7 +378,8 @@ def confusion_matrix(spark, d):
 
 @query
 def metrics_weighted(spark, d):
-    return metrics.metrics_weighted(_matrix(spark, d))
+    return _six(metrics.metrics_weighted(_matrix(spark, d)),
+                "accuracy", "precision", "recall", "f1")
 
 
 @query
