@@ -1,9 +1,10 @@
 """Sales series and a trend-plus-seasonality forecast, for one series or thousands.
 
-The trend is a least-squares line, the yearly effect is the mean detrended value per month of
-the year, and daily series add a weekly effect per day of the week. Everything is an aggregate
-or a window over one row per (series, period), so all series are fitted in one job. Sums that
-feed the line are whole numbers (days and cents), which makes the fit independent of row order.
+The trend is a least-squares line fitted together with one effect per month of the year: its
+slope is taken within equal months, so a seasonal swing is not mistaken for growth. Histories
+shorter than two years cannot tell the two apart and get the plain line. The yearly effect is the
+mean detrended value per month, and daily series add a weekly effect per day of the week.
+Everything is a window over one row per (series, period), so all series are fitted in one job.
 """
 
 from __future__ import annotations
@@ -48,27 +49,34 @@ def _future(last: Column, period: str, steps: int) -> Column:
                                 step_interval(period)))
 
 
-def _day_number(ds: Column) -> Column:
-    return F.datediff(ds, F.lit("1970-01-01").cast("date"))
+# From this many days of history on, every month start has been seen twice.
+JOINT_FIT_DAYS = 690
 
 
 def _line(series: DataFrame, by: list[str]) -> DataFrame:
-    """History with slope and intercept of its series on every row."""
-    everything = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    x = F.col("_x").cast("decimal(10,0)")
-    out = series.select(*by, "ds", "y", _day_number(F.col("ds")).alias("_x"),
-                        minor_units("y").alias("_c"))
-    n = F.count("*").over(everything).cast("decimal(10,0)")
-    sx, sy = F.sum(x).over(everything), F.sum("_c").over(everything)
-    sxy = F.sum(F.col("_c") * x).over(everything)
-    sxx = F.sum(x * x).over(everything)
-    out = out.withColumns({"_n": n, "_sx": sx, "_sy": sy, "_sxy": sxy, "_sxx": sxx})
-    top = (F.col("_n") * F.col("_sxy") - F.col("_sx") * F.col("_sy")).cast("double")
-    bottom = (F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")).cast("double")
-    out = out.withColumn("_slope", F.coalesce(F.try_divide(top, bottom), F.lit(0.0)))
-    level = (F.col("_sy").cast("double") - F.col("_slope") * F.col("_sx").cast("double")) \
-        / F.col("_n").cast("double")
-    return out.withColumn("_level", level).drop("_sx", "_sy", "_sxy", "_sxx")
+    """History with the slope and level (cents, at the first day) of its series on every row."""
+    keys = by or [F.lit(0)]
+    everything = Window.partitionBy(*keys)
+    same_month = Window.partitionBy(*keys, "_month")
+    out = series.select(*by, "ds", "y", minor_units("y").alias("_c"), F.month("ds").alias("_month"),
+                        F.min("ds").over(everything).alias("_first"))
+    out = out.withColumn("_x", F.datediff("ds", "_first").cast("bigint"))
+    out = out.withColumns({
+        "_mx": F.avg("_x").over(everything),
+        "_mc": F.sum("_c").over(everything).cast("double") / F.count("_c").over(everything),
+        "_span": F.max("_x").over(everything),
+        "_mx_m": F.sum("_x").over(same_month).cast("double") / F.count("_x").over(same_month),
+        "_mc_m": F.sum("_c").over(same_month).cast("double") / F.count("_c").over(same_month)})
+
+    def slope(x: Column, c: Column) -> Column:
+        return F.try_divide(F.sum(x * c).over(everything), F.sum(x * x).over(everything))
+
+    c = F.col("_c").cast("double")
+    joint = slope(F.col("_x") - F.col("_mx_m"), c - F.col("_mc_m"))
+    plain = slope(F.col("_x") - F.col("_mx"), c - F.col("_mc"))
+    out = out.withColumn("_slope", F.coalesce(
+        F.when(F.col("_span") >= JOINT_FIT_DAYS, joint), plain, F.lit(0.0)))
+    return out.withColumn("_level", F.col("_mc") - F.col("_slope") * F.col("_mx"))
 
 
 def _trend(x: Column) -> Column:
@@ -82,15 +90,12 @@ def fitted(series: DataFrame, period: str, by: Sequence[str] = ()) -> DataFrame:
     period, which bounds a window's size by the length of the history, not by the sales.
     """
     by = list(by)
-    out = _line(series, by).withColumn("_month", F.month("ds"))
+    out = _line(series, by)
     keys = by or [F.lit(0)]
-    same_month = Window.partitionBy(*keys, "_month")
-    months = F.count("*").over(same_month).cast("double")
-    mean_c = F.sum("_c").over(same_month).cast("double") / months
-    mean_x = F.sum("_x").over(same_month).cast("double") / months
     out = out.withColumns({
         "trend": _trend(F.col("_x")),
-        "yearly": (mean_c - (F.col("_level") + F.col("_slope") * mean_x)) / F.lit(100.0)})
+        "yearly": (F.col("_mc_m") - (F.col("_level") + F.col("_slope") * F.col("_mx_m")))
+        / F.lit(100.0)})
     if period == "day":
         out = out.withColumn("_dow", F.weekday("ds"))
         same_day = Window.partitionBy(*keys, "_dow")
@@ -115,7 +120,7 @@ def _parameters(history: DataFrame, by: list[str]) -> DataFrame:
         # At most 12 months or 7 weekdays per series; the value is the same on all their rows.
         return F.map_from_entries(F.collect_set(F.struct(index, value)))
 
-    aggs = [F.max("ds").alias("_last"), F.first("_slope").alias("_slope"),
+    aggs = [F.max("ds").alias("_last"), F.min("ds").alias("_first"), F.first("_slope").alias("_slope"),
             F.first("_level").alias("_level"), F.first("_sigma").alias("_sigma"),
             effects("_month", "yearly").alias("_yearly"), effects("_dow", "weekly").alias("_weekly")]
     return history.groupBy(*by).agg(*aggs) if by else history.agg(*aggs)
@@ -133,7 +138,7 @@ def forecast(series: DataFrame, period: str, steps: int, by: Sequence[str] = (),
     fit = _parameters(past, by).filter(F.col("_last").isNotNull())
     ahead = fit.select("*", _future(F.col("_last"), period, steps).alias("ds"))
     ahead = ahead.withColumns({
-        "trend": _trend(_day_number(F.col("ds"))),
+        "trend": _trend(F.datediff("ds", "_first")),
         "yearly": F.coalesce(F.try_element_at("_yearly", F.month("ds")), F.lit(0.0)),
         "weekly": F.coalesce(F.try_element_at(
             "_weekly", F.weekday("ds") if period == "day" else F.lit(0)), F.lit(0.0))})

@@ -174,18 +174,22 @@ def _fit(series: str, key: str = "", daily: bool = False) -> str:
               if daily else "0e0")
     on = f"USING ({key})" if key else "ON true"
     return f"""series AS ({series}),
-    nums AS (SELECT *, date_diff('day', DATE '1970-01-01', ds) AS x,
+    nums AS (SELECT *, date_diff('day', min(ds) OVER ({part}), ds) AS x,
       CAST(round_even(y * 1e2, 0) AS BIGINT) AS c FROM series),
-    sums AS (SELECT {k}count(*) AS n, sum(x) AS sx, sum(c) AS sy, sum(c::HUGEINT * x) AS sxy,
-      sum(x * x) AS sxx, max(ds) AS last_ds FROM nums {by_key}),
-    lines AS (SELECT *, coalesce(CAST(n * sxy - sx * sy AS DOUBLE)
-      / nullif(CAST(n * sxx - sx * sx AS DOUBLE), 0), 0e0) AS slope FROM sums),
-    levels AS (SELECT *, (CAST(sy AS DOUBLE) - slope * CAST(sx AS DOUBLE)) / CAST(n AS DOUBLE)
-      AS level FROM lines),
-    moy AS (SELECT {k}month(ds) AS m, CAST(sum(c) AS DOUBLE) / count(*) AS mc,
-      CAST(sum(x) AS DOUBLE) / count(*) AS mx FROM nums GROUP BY {k}month(ds)),
-    months AS (SELECT {k}m, (mc - (level + slope * mx)) / 1e2 AS yearly FROM moy JOIN levels {on}),
-    trended AS (SELECT nums.*, level, slope, yearly, (level + slope * x) / 1e2 AS trend
+    means AS (SELECT *, avg(x) OVER ({part}) AS mx,
+      CAST(sum(c) OVER ({part}) AS DOUBLE) / count(c) OVER ({part}) AS mc,
+      CAST(sum(x) OVER mon AS DOUBLE) / count(x) OVER mon AS mxm,
+      CAST(sum(c) OVER mon AS DOUBLE) / count(c) OVER mon AS mcm FROM nums
+      WINDOW mon AS (PARTITION BY {and_key} month(ds))),
+    lines AS (SELECT {k}min(ds) AS first_ds, max(ds) AS last_ds, any_value(mx) AS mx,
+      any_value(mc) AS mc, coalesce(CASE WHEN max(x) >= 690 THEN
+        sum((x - mxm) * (c - mcm)) / nullif(sum((x - mxm) * (x - mxm)), 0) END,
+        sum((x - mx) * (c - mc)) / nullif(sum((x - mx) * (x - mx)), 0), 0e0) AS slope
+      FROM means {by_key}),
+    levels AS (SELECT *, mc - slope * mx AS level FROM lines),
+    months AS (SELECT {k}month(ds) AS m, any_value((mcm - (level + slope * mxm)) / 1e2) AS yearly
+      FROM means JOIN levels {on} GROUP BY {k}month(ds)),
+    trended AS (SELECT nums.*, yearly, (level + slope * x) / 1e2 AS trend
       FROM nums JOIN levels {on} JOIN months ON m = month(ds)
       {f'AND months.{key} = nums.{key}' if key else ''}),
     history AS (SELECT *, {weekly} AS weekly FROM trended),
@@ -202,10 +206,10 @@ def _ahead(step: str, steps: int, key: str = "", daily: bool = False) -> str:
             "ON w.dow = isodow(calendar.ds)" if daily else "")
     same = f"AND months.{key} = calendar.{key}" if key else ""
     return f"""calendar AS (SELECT {lk}CAST(last_ds + i * INTERVAL {step} AS DATE) AS ds,
-      level, slope, sigma FROM levels JOIN spread {on}
+      first_ds, level, slope, sigma FROM levels JOIN spread {on}
       CROSS JOIN (SELECT unnest(generate_series(1, {steps})) AS i)),
     future AS (SELECT calendar.*,
-      (level + slope * date_diff('day', DATE '1970-01-01', ds)) / 1e2 AS trend,
+      (level + slope * date_diff('day', first_ds, ds)) / 1e2 AS trend,
       coalesce(yearly, 0e0) AS yearly, {weekly} AS weekly
       FROM calendar LEFT JOIN months ON m = month(ds) {same} {days}),
     ahead AS (SELECT {k}ds, trend, yearly, weekly, sigma, trend + yearly + weekly AS yhat FROM future)"""
