@@ -10,6 +10,7 @@ from patronage.functions.numeric import (
     guarded_ratio, half_even, minor_units, money_count, money_sum)
 from patronage.functions.ordering import with_running
 from patronage.functions.stats import one_row
+from patronage.session import settle
 
 
 def product_performance(transactions: DataFrame, product: str | None = None,
@@ -52,9 +53,10 @@ def pareto(performance: DataFrame, rounded: bool = False) -> DataFrame:
 
     Exact mode divides an exact running revenue by the total. ``rounded`` instead adds up the
     two-decimal shares, as a report built from a displayed table would. Either way the running
-    sum is over whole numbers and is computed range by range, not in one task.
+    sum is over whole numbers and is computed range by range, not in one task. The product
+    table is written first, so the sales themselves are aggregated once.
     """
-    shared = _with_share(performance)
+    shared = _with_share(settle(performance))
     running = (minor_units("revenue_share") if rounded else minor_units("total_revenue"))
     ranked = with_running(shared, [F.desc("total_revenue"), F.col("product_id")],
                           {"_run": running}, position="product_rank")

@@ -26,7 +26,8 @@ def test_column_without_values_has_no_quantile(spark):
 def test_quantiles_match_numpy(spark, monkeypatch, small):
     """Also with the bracketing pass switched on for small groups, and with a hot value."""
     monkeypatch.setattr(stats, "SMALL_GROUP", small)
-    monkeypatch.setattr(stats, "BRACKET", 0.01)
+    monkeypatch.setattr(stats, "BRACKET", 0.05)
+    monkeypatch.setattr(stats, "CUTS", 20)
     rng = random.Random(7)
     values = {"a": [rng.gauss(0, 5) for _ in range(3000)],
               "b": [0.0] * 1000 + [float(rng.randrange(9)) for _ in range(2000)]}
