@@ -135,18 +135,35 @@ def most_frequent_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for c in columns])
 
 
+def equal_width_histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """(feature, bin, lower, upper, n) per column over equal-width bins; empty bins count 0.
+
+    One pass finds the ranges of all columns, one more counts; bins are aggregated before the
+    shuffle.
+    """
+    span = one_row(df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{p}{i}")
+                            for i, c in enumerate(columns) for p, f in (("lo", F.min), ("hi", F.max))]))
+
+    def edges(i: int) -> list[Column]:
+        lo, hi = span[f"lo{i}"], span[f"hi{i}"]
+        return [lo.alias("lo"), ((hi - lo) / F.lit(float(bins))).alias("width")]
+
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v"), *edges(i))
+        for i, c in enumerate(columns)])).alias("e")).select("e.*").filter(F.col("v").isNotNull())
+    raw = F.when(F.col("width") > 0, F.floor((F.col("v") - F.col("lo")) / F.col("width"))) \
+        .otherwise(F.lit(0))
+    counts = values.groupBy("feature", F.least(raw, F.lit(bins - 1)).cast("bigint").alias("bin")) \
+        .agg(F.count("*").alias("n"))
+    spine = df.sparkSession.range(bins).select(F.col("id").alias("bin"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), *edges(i)) for i, c in enumerate(columns)])).alias("e")) \
+        .select("bin", "e.*")
+    return spine.join(counts, ["feature", "bin"], "left").select(
+        "feature", "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"),
+        (F.col("lo") + (F.col("bin") + 1) * F.col("width")).alias("upper"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def equal_width_histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """(bin, lower, upper, n) over ``bins`` equal-width bins; empty bins are kept with 0."""
-    value = F.col(f"`{column}`").cast("double")
-    span = one_row(df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
-    width = (span["hi"] - span["lo"]) / F.lit(float(bins))
-    raw = F.when(width > 0, F.floor((value - span["lo"]) / width)).otherwise(F.lit(0))
-    counts = (df.filter(value.isNotNull())
-              .select(F.least(raw, F.lit(bins - 1)).cast("bigint").alias("bin"))
-              .groupBy("bin").agg(F.count("*").alias("n")))
-    spine = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
-    return (spine.join(counts, "bin", "left")
-            .select("bin",
-                    (span["lo"] + F.col("bin") * width).alias("lower"),
-                    (span["lo"] + (F.col("bin") + 1) * width).alias("upper"),
-                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    """(bin, lower, upper, n) of one column."""
+    return equal_width_histograms(df, [column], bins).drop("feature")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from patronage import roles
 from patronage.functions.numeric import guarded_ratio, half_even, money_count, money_sum
+from patronage.functions.stats import equal_width_histograms
+
+VALUE_COLUMNS = ("total_spent", "purchase_frequency", "avg_transaction_value")
 
 
 def customer_performance(transactions: DataFrame, customer: str | None = None,
@@ -38,3 +41,11 @@ def customer_value_kpis(performance: DataFrame) -> DataFrame:
 
 def top_customers(performance: DataFrame, n: int = 20) -> DataFrame:
     return performance.orderBy(F.desc("total_spent"), "customer_id").limit(n)
+
+
+def value_histograms(customers: DataFrame, bins: int = 30) -> DataFrame:
+    """The distribution of each value column the table has."""
+    present = [c for c in VALUE_COLUMNS if c in customers.columns]
+    if not present:
+        raise roles.MissingRole(f"none of {list(VALUE_COLUMNS)} in {customers.columns}")
+    return equal_width_histograms(customers, present, bins)

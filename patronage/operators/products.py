@@ -44,8 +44,11 @@ def _with_share(performance: DataFrame) -> DataFrame:
 
 
 def product_summary(performance: DataFrame, n: int = 20) -> DataFrame:
-    """The n best-selling products with their share of all revenue."""
-    return top_by_revenue(_with_share(performance).drop("_total"), n)
+    """The n best-selling products with their share of all revenue.
+
+    The product table is written first: its total and its rows come from one pass over the sales.
+    """
+    return top_by_revenue(_with_share(settle(performance)).drop("_total"), n)
 
 
 def pareto(performance: DataFrame, rounded: bool = False) -> DataFrame:

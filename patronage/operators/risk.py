@@ -87,5 +87,12 @@ def revenue_at_risk(predictions: DataFrame, performance: DataFrame, key: str = "
                         "avg_high_risk_value")))
 
 
+def churn_distribution(predictions: DataFrame,
+                       prediction: str = "churn_prediction") -> DataFrame:
+    """Customers per class, labelled by value."""
+    status = F.when(F.col(prediction) == 1, "Churned").otherwise("Not Churned")
+    return predictions.groupBy(status.alias("status")).agg(F.count("*").alias("customers"))
+
+
 def top_risk(predictions: DataFrame, key: str = "customer_id", n: int = 50) -> DataFrame:
     return predictions.orderBy(F.desc("churn_probability"), key).limit(n)

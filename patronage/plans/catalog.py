@@ -257,6 +257,11 @@ def hist_probability(spark, d):
     return equal_width_histogram(_rule_predictions(spark, d), "churn_probability", 50)
 
 
+@query
+def customer_value_histograms(spark, d):
+    return customer_ops.value_histograms(settle(_rfm(spark, d).select(*customer_ops.VALUE_COLUMNS)))
+
+
 # --- features --------------------------------------------------------------------------------
 
 @query
@@ -389,9 +394,7 @@ def metrics_binary(spark, d):
 
 @query
 def churn_distribution(spark, d):
-    return _rule_predictions(spark, d).groupBy(F.when(
-        F.col("churn_prediction") == 1, "Churned").otherwise("Not Churned").alias("status")).agg(
-        F.count("*").alias("customers"))
+    return risk.churn_distribution(_rule_predictions(spark, d))
 
 
 @query

@@ -414,6 +414,9 @@ ORACLES: dict[str, str] = {
     "hist_total_spent": _histogram(VALUE, "value", "total_spent", 50),
     "hist_transactions": _histogram(VALUE, "value", "total_transactions", 30),
     "hist_probability": _histogram(RULE, "predicted", "churn_probability", 50),
+    "customer_value_histograms": " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, * FROM ({_histogram(RFM, 'rfm', c, 30)})"
+        for c in ("total_spent", "purchase_frequency", "avg_transaction_value")),
     "customer_rfm": f"""WITH {RFM} SELECT customer_id, last_purchase_date, {', '.join(BEHAVIOUR)}
       FROM rfm""",
     "customer_recency": f"""WITH {SCORED} SELECT customer_id, days_since_last_purchase, recency_score

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from patronage import session
 from patronage.operators import sales
+from patronage.sources import exports
 from patronage.sources import read_customers, read_products, read_table, read_transactions, write_csv, write_parquet
 from patronage.streaming.kpis import windowed_kpis, write_windows
 
@@ -30,6 +31,37 @@ def test_csv_round_trip(spark, tmp_path):
     assert glob.glob(str(tmp_path / "pq" / "period=2024-01" / "*.parquet"))
 
 
+def test_exports(spark, tmp_path):
+    """Report files keep their order across parts and come back as they were."""
+    pred = spark.range(500).select(F.col("id").alias("customer_id"), F.lit(1).alias("churn_prediction"),
+                                   ((F.col("id") * 37) % 101 / 100.0).alias("churn_probability"))
+    exports.export_predictions(pred.repartition(6), str(tmp_path / "p"))
+    rows = []
+    for part in sorted(glob.glob(str(tmp_path / "p" / "part-*.csv"))):
+        lines = open(part).read().splitlines()
+        assert lines[0] == "customer_id,churn_prediction,churn_probability"
+        rows += [tuple(map(float, x.split(","))) for x in lines[1:]]
+    assert len(rows) == 500 and rows == sorted(rows, key=lambda r: (-r[2], r[0]))
+
+    table = spark.createDataFrame(
+        [(dt.date(2024, 2, 1), 1.005, 0.126, 2.0), (dt.date(2024, 1, 1), 3.0, 1.0, 5.0)],
+        "date date, forecast double, lower_bound double, upper_bound double")
+    exports.export_forecast(table, str(tmp_path / "f"))
+    back = read_table(spark, str(tmp_path / "f"))
+    assert back.columns == ["Date", "Forecast", "Lower Bound", "Upper Bound"]
+    assert back.agg(F.min("Lower Bound")).first()[0] == 0.13
+
+    seg = spark.createDataFrame([(1, 0, 5.0), (2, 1, 6.0)], "customer_id int, cluster int, total_spent double")
+    exports.export_segments(seg, str(tmp_path / "s"))
+    exports.export_segment_summary(seg, str(tmp_path / "ss"))
+    perf = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "product_id string, total_revenue double")
+    exports.export_products(perf, str(tmp_path / "pp"))
+    trend = spark.createDataFrame([(dt.date(2024, 1, 1), 1.0)], "period_start date, total_revenue double")
+    exports.export_trend(trend, str(tmp_path / "t"))
+    for name, n in (("s", 2), ("ss", 2), ("pp", 2), ("t", 1)):
+        assert read_table(spark, str(tmp_path / name)).count() == n
+
+
 def test_other_readers(spark, tmp_path):
     (tmp_path / "c.csv").write_text("customer_id,name\n1,Ann\n")
     assert read_customers(spark, str(tmp_path / "c.csv"), schema="customer_id bigint, name string").first().name == "Ann"

@@ -104,6 +104,19 @@ def test_retention_actions_are_ordered(spark):
     assert {r.customer_id: r.n for r in got} == {1: 5, 2: 4, 3: 3, 4: 3}
 
 
+def test_distributions(spark):
+    pred = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "customer_id int, churn_prediction int")
+    assert {r.status: r.customers for r in risk.churn_distribution(pred).collect()} == {
+        "Churned": 1, "Not Churned": 2}
+    people = spark.createDataFrame([(1.0, 1), (2.0, 1), (4.0, 9)], "total_spent double, purchase_frequency int")
+    rows = customers.value_histograms(people, 2).collect()
+    assert {(r.feature, r.bin): r.n for r in rows} == {
+        ("total_spent", 0): 2, ("total_spent", 1): 1,
+        ("purchase_frequency", 0): 2, ("purchase_frequency", 1): 1}
+    with pytest.raises(roles.MissingRole):
+        customers.value_histograms(pred)
+
+
 def test_roles(spark):
     df = spark.createDataFrame([(1, 2.0, "x", 5), (2, 3.0, "y", 5), (3, 3.0, "x", None)],
                                "user_id int, total double, flag string, third int")
