@@ -105,3 +105,13 @@ def average_label(diff_pct: Column) -> Column:
     return (F.when(diff_pct > 10, ABOVE)
             .when(diff_pct < -10, BELOW)
             .otherwise(NEAR))
+
+
+def hash_fraction(key: Column | str, seed: int) -> Column:
+    """A reproducible uniform number in [0, 1) from a key, the same on any engine.
+
+    The first 13 hexadecimal digits (52 bits) of the MD5 of "key:seed".
+    """
+    column = F.col(key) if isinstance(key, str) else key
+    digits = F.substring(F.md5(F.concat_ws(":", column.cast("string"), F.lit(str(seed)))), 1, 13)
+    return F.conv(digits, 16, 10).cast("bigint") / F.lit(float(16 ** 13))

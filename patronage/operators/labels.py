@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.functions.numeric import binary_target
+from patronage.functions.numeric import binary_target, hash_fraction
 from patronage.functions.stats import exact_quantiles, long_form, one_row, quantile_row
 
 # Tiny positive number that keeps the min-max normalisation defined on constant columns.
@@ -61,14 +61,9 @@ def synthetic_churn(df: DataFrame, as_name: str = "churn", quantile: float = 0.7
     return scored.withColumn(as_name, (F.col("churn_score") >= cut).cast("int"))
 
 
-def _spread(key: str, seed: int):
-    """A reproducible uniform number in [0, 1) per row, from its key."""
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2 ** 52)) / F.lit(float(2 ** 52))
-
-
 def split_by_hash(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``. No shuffle, stable per key, stratified in expectation."""
-    return df.withColumn("is_test", _spread(key, seed) < F.lit(test_size))
+    return df.withColumn("is_test", hash_fraction(key, seed) < F.lit(test_size))
 
 
 def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2,
@@ -78,7 +73,7 @@ def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2
     The cut is the exact quantile of the row hashes within each class, so a class of any size
     is never sorted in one task.
     """
-    hashed = df.withColumn("_h", _spread(key, seed))
+    hashed = df.withColumn("_h", hash_fraction(key, seed))
     cuts = exact_quantiles(hashed.select(label, "_h"), [label], [test_size], value="_h")
     # One row per class of a binary label.
     return (hashed.join(F.broadcast(cuts.select(label, "quantile")), label)

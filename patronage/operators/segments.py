@@ -10,7 +10,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.functions.numeric import anomaly_label, average_label, guarded_ratio, half_even
+from patronage.functions.numeric import (
+    anomaly_label, average_label, guarded_ratio, half_even, hash_fraction)
 from patronage.functions.stats import one_row, quantile_row
 
 
@@ -161,7 +162,7 @@ def cluster_sample(clustered: DataFrame, key: str, cluster: str = "cluster", n:
     The rank filter is applied inside each task before the shuffle, so a cluster of any size
     sends at most n rows per task.
     """
-    order = Window.partitionBy(cluster).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    order = Window.partitionBy(cluster).orderBy(hash_fraction(key, seed), key)
     return (clustered.withColumn("_rank", F.row_number().over(order))
             .filter(F.col("_rank") <= n).drop("_rank"))
 

@@ -2,7 +2,7 @@
 
 The texts run on the star-schema tables and use only exact sums (decimals and whole numbers)
 where an order-dependent sum could change the last bits; other doubles are rounded to six
-decimals on both sides. Queries that draw random numbers or fit models have no text.
+decimals on both sides. Queries that fit models have no text.
 """
 
 from __future__ import annotations
@@ -240,6 +240,11 @@ summary AS (SELECT *, CASE WHEN g > 5 THEN 'strong' WHEN g > 0 THEN 'mild' ELSE
   AS outlook FROM grown)"""
 
 
+def _hash(key: str, seed: int = 42) -> str:
+    return (f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT)"
+            f" / CAST({16 ** 13} AS DOUBLE))")
+
+
 def _dtypes() -> str:
     kinds = {
         "customers": ("customer", {"bigint": 1, "double": 1, "int": 1, "string": 2}),
@@ -469,6 +474,11 @@ ORACLES: dict[str, str] = {
         + (days_since_last_purchase - ld) / (hd - ld + 1e-8)) / 3e0 AS s FROM scored, ends)
       SELECT customer_id, {_even('s', 6)} AS churn_score,
         CAST(s >= (SELECT quantile_cont(s, 0.7) FROM mixed) AS INTEGER) AS churn FROM mixed""",
+    "train_test_split": f"""WITH h AS (SELECT doc_id, toxic, {_hash('doc_id')} AS h FROM labels),
+      q AS (SELECT toxic, quantile_cont(h, 0.2) AS cut FROM h GROUP BY toxic)
+      SELECT doc_id, toxic, h <= cut AS is_test FROM h JOIN q USING (toxic)""",
+    "train_test_split_hashed": f"""SELECT c_custkey AS customer_id, {_hash('c_custkey')} < 0.2e0
+      AS is_test FROM customer""",
     "class_weights": """SELECT toxic, count(*) AS rows, CAST((SELECT count(toxic) FROM labels) AS DOUBLE)
       / (2e0 * count(*)) AS weight FROM labels WHERE toxic IS NOT NULL GROUP BY toxic""",
     "confusion_matrix": f"WITH {_metrics_ctes()} SELECT label, prediction, n FROM m",
@@ -539,6 +549,10 @@ ORACLES: dict[str, str] = {
       FROM placed WHERE profile_rank <= 5""",
     "segment_recommendations": f"WITH {SCORED} {_recommendations()}",
     "cluster_opportunities": _opportunities(),
+    "cluster_sample": f"""WITH h AS (SELECT c_custkey AS customer_id, c_acctbal AS balance,
+        c_nationkey AS cluster, row_number() OVER (PARTITION BY c_nationkey
+          ORDER BY {_hash('c_custkey')}, c_custkey) AS r FROM customer)
+      SELECT customer_id, balance, cluster FROM h WHERE r <= 10""",
     "dbscan_noise": f"""WITH {DENSITY} SELECT id AS customer_id,
       id IN (SELECT id FROM core) AS is_core, id NOT IN (SELECT id FROM touched) AS is_noise FROM pts""",
     "dbscan_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT customer_id, cluster FROM clustered",
