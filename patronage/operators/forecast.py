@@ -58,8 +58,11 @@ def _line(series: DataFrame, by: list[str]) -> DataFrame:
     keys = by or [F.lit(0)]
     everything = Window.partitionBy(*keys)
     same_month = Window.partitionBy(*keys, "_month")
-    out = series.select(*by, "ds", "y", minor_units("y").alias("_c"), F.month("ds").alias("_month"),
-                        F.min("ds").over(everything).alias("_first"))
+    out = series.select(*by, "ds", "y", minor_units("y").alias("_c"), F.month("ds").alias("_month"))
+    if by:
+        # One shuffle and one sort serve every window below.
+        out = out.repartition(*by).sortWithinPartitions(*by, "_month")
+    out = out.withColumn("_first", F.min("ds").over(everything))
     out = out.withColumn("_x", F.datediff("ds", "_first").cast("bigint"))
     out = out.withColumns({
         "_mx": F.avg("_x").over(everything),
@@ -115,14 +118,15 @@ def _bounds(df: DataFrame) -> DataFrame:
 
 
 def _parameters(history: DataFrame, by: list[str]) -> DataFrame:
-    """One row per series: line, spread, last period, and the small effect tables."""
-    def effects(index: str, value: str) -> Column:
-        # At most 12 months or 7 weekdays per series; the value is the same on all their rows.
-        return F.map_from_entries(F.collect_set(F.struct(index, value)))
+    """One row per series: line, spread, last period, and the small effect tables (12 months, 7 weekdays)."""
+    def effects(index: str, value: str, slots: range) -> Column:
+        # The value is the same on all rows of a slot; a slot never seen stays null.
+        return F.array(*[F.max(F.when(F.col(index) == i, F.col(value))) for i in slots])
 
     aggs = [F.max("ds").alias("_last"), F.min("ds").alias("_first"), F.first("_slope").alias("_slope"),
             F.first("_level").alias("_level"), F.first("_sigma").alias("_sigma"),
-            effects("_month", "yearly").alias("_yearly"), effects("_dow", "weekly").alias("_weekly")]
+            effects("_month", "yearly", range(1, 13)).alias("_yearly"),
+            effects("_dow", "weekly", range(7)).alias("_weekly")]
     return history.groupBy(*by).agg(*aggs) if by else history.agg(*aggs)
 
 
@@ -139,9 +143,9 @@ def forecast(series: DataFrame, period: str, steps: int, by: Sequence[str] = (),
     ahead = fit.select("*", _future(F.col("_last"), period, steps).alias("ds"))
     ahead = ahead.withColumns({
         "trend": _trend(F.datediff("ds", "_first")),
-        "yearly": F.coalesce(F.try_element_at("_yearly", F.month("ds")), F.lit(0.0)),
-        "weekly": F.coalesce(F.try_element_at(
-            "_weekly", F.weekday("ds") if period == "day" else F.lit(0)), F.lit(0.0))})
+        "yearly": F.coalesce(F.get("_yearly", F.month("ds") - 1), F.lit(0.0)),
+        "weekly": F.coalesce(F.get("_weekly", F.weekday("ds")), F.lit(0.0))
+        if period == "day" else F.lit(0.0)})
     ahead = ahead.withColumn("yhat", F.col("trend") + F.col("yearly") + F.col("weekly"))
     shape = [*by, "ds", "yhat", "yhat_lower", "yhat_upper", "trend", "yearly", "weekly", "is_future"]
     out = _bounds(ahead).withColumn("is_future", F.lit(True)).select(*shape)

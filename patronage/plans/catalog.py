@@ -33,9 +33,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _digits(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Fixed decimals for values whose last bits depend on summation order."""
+    return df.withColumns({c: half_even(F.col(c), digits) for c in columns})
+
+
 def _six(df: DataFrame, *columns: str) -> DataFrame:
-    """Six decimals for values whose last bits depend on summation order."""
-    return df.withColumns({c: half_even(F.col(c), 6) for c in columns})
+    """Six decimals, for rates and scaled values."""
+    return _digits(df, 6, *columns)
 
 
 BEHAVIOUR = ["purchase_frequency", "total_spent", "avg_transaction_value",
@@ -123,7 +128,7 @@ def completeness(spark, d):
 @query
 def describe_features(spark, d):
     rfm = settle(_rfm(spark, d).select("balance", *BEHAVIOUR))
-    return _six(profile.describe_features(rfm), "mean", "std", "p25", "p50", "p75")
+    return _digits(profile.describe_features(rfm), 4, "mean", "std", "p25", "p50", "p75")
 
 
 @query
@@ -522,8 +527,8 @@ def cluster_stats(spark, d):
 
 @query
 def cluster_profiles(spark, d):
-    return _six(segments.cluster_profiles(_clustered(spark, d), BEHAVIOUR),
-                "mean_value", "diff_pct")
+    out = segments.cluster_profiles(_clustered(spark, d), BEHAVIOUR)
+    return _digits(_six(out, "diff_pct"), 4, "mean_value")
 
 
 @query
@@ -533,7 +538,7 @@ def segment_recommendations(spark, d):
 
 @query
 def cluster_opportunities(spark, d):
-    return _six(segments.cluster_opportunities(_clustered(spark, d)), "mean_value")
+    return _digits(segments.cluster_opportunities(_clustered(spark, d)), 4, "mean_value")
 
 
 @query
@@ -571,8 +576,8 @@ def anomaly_summary(spark, d):
 def outlier_characteristics(spark, d):
     rfm = _rfm(spark, d).select(*BEHAVIOUR, F.when(
         F.col("days_since_last_purchase") > 700, -1).otherwise(F.col("nation")).alias("cluster"))
-    return _six(segments.outlier_characteristics(settle(rfm), BEHAVIOUR),
-                "outlier_mean", "normal_mean", "diff_pct")
+    out = segments.outlier_characteristics(settle(rfm), BEHAVIOUR)
+    return _digits(_six(out, "diff_pct"), 4, "outlier_mean", "normal_mean")
 
 
 @query
@@ -633,13 +638,13 @@ def forecast_by_product(spark, d):
 @query
 def forecast_components(spark, d):
     both = _forecast(spark, d, "month", 12, history=True)[1]
-    return _six(forecast.components(both), "trend", "yearly", "weekly")
+    return _digits(forecast.components(both), 2, "trend", "yearly", "weekly")
 
 
 @query
 def forecast_summary(spark, d):
     out = forecast.forecast_summary(*_forecast(spark, d, "month", 12, history=True))
-    return _six(out, "avg_historical", "avg_forecast", "growth_pct", "total_forecast")
+    return _digits(_six(out, "growth_pct"), 2, "avg_historical", "avg_forecast", "total_forecast")
 
 
 @query

@@ -1,8 +1,8 @@
 """The same results stated in SQL, one text per query of the catalog.
 
 The texts run on the star-schema tables and use only exact sums (decimals and whole numbers)
-where an order-dependent sum could change the last bits; other doubles are rounded to six
-decimals on both sides. Queries that fit models have no text.
+where an order-dependent sum could change the last bits; other doubles are rounded on
+both sides. Queries that fit models have no text.
 """
 
 from __future__ import annotations
@@ -100,11 +100,11 @@ def _histogram(ctes: str, source: str, column: str, bins: int) -> str:
 
 def _described(column: str) -> str:
     return f"""SELECT '{column}' AS feature, count({column}) AS "count",
-      {_even(f'avg({column})', 6)} AS mean, {_even(f'stddev_samp({column})', 6)} AS std,
+      {_even(f'avg({column})', 4)} AS mean, {_even(f'stddev_samp({column})', 4)} AS std,
       CAST(min({column}) AS DOUBLE) AS "min",
-      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.25)', 6)} AS p25,
-      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.5)', 6)} AS p50,
-      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.75)', 6)} AS p75,
+      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.25)', 4)} AS p25,
+      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.5)', 4)} AS p50,
+      {_even(f'quantile_cont(CAST({column} AS DOUBLE), 0.75)', 4)} AS p75,
       CAST(max({column}) AS DOUBLE) AS "max" FROM rfm"""
 
 
@@ -314,7 +314,7 @@ def _opportunities() -> str:
         for o, (c, high) in OPPORTUNITIES.items())
     return f"""WITH {SCORED}, long AS ({parts}), placed AS (SELECT *, row_number() OVER (
       PARTITION BY opportunity ORDER BY s, cluster) AS opportunity_rank FROM long)
-    SELECT opportunity, opportunity_rank, cluster, {_even('mean_value', 6)} AS mean_value
+    SELECT opportunity, opportunity_rank, cluster, {_even('mean_value', 4)} AS mean_value
     FROM placed WHERE opportunity_rank <= 2"""
 
 
@@ -324,7 +324,7 @@ def _outliers() -> str:
         f"avg({c}) FILTER (days_since_last_purchase <= 700) AS n FROM rfm" for c in BEHAVIOUR)
     return f"""WITH {RFM}, long AS ({parts}),
     pct AS (SELECT *, coalesce((o - n) / nullif(n, 0) * 100e0, 0e0) AS p FROM long)
-    SELECT feature, {_even('o', 6)} AS outlier_mean, {_even('n', 6)} AS normal_mean,
+    SELECT feature, {_even('o', 4)} AS outlier_mean, {_even('n', 4)} AS normal_mean,
       {_even('p', 6)} AS diff_pct FROM pct WHERE abs(p) > 10"""
 
 
@@ -544,7 +544,7 @@ ORACLES: dict[str, str] = {
       placed AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY abs(p) DESC, position)
         AS profile_rank FROM pct)
       SELECT cluster, size, CAST(size AS DOUBLE) / (SELECT count(*) FROM scored) * 100e0 AS percentage,
-        profile_rank, feature, {_even('mean_value', 6)} AS mean_value,
+        profile_rank, feature, {_even('mean_value', 4)} AS mean_value,
         {_even('p', 6)} AS diff_pct, {_LABELLED} AS characteristic
       FROM placed WHERE profile_rank <= 5""",
     "segment_recommendations": f"WITH {SCORED} {_recommendations()}",
@@ -586,11 +586,11 @@ ORACLES: dict[str, str] = {
         "product_id") + ", " + _ahead("1 MONTH", 3, "product_id") + " " + _table("product_id"),
     "forecast_components": f"""WITH {MONTHLY}, every AS (SELECT ds, trend, yearly, weekly FROM history
         UNION ALL SELECT ds, trend, yearly, weekly FROM ahead)
-      SELECT ds, {_even('trend', 6)} AS trend, {_even('yearly', 6)} AS yearly,
-        {_even('weekly', 6)} AS weekly FROM every""",
-    "forecast_summary": f"""WITH {SUMMARY} SELECT {_even('ah', 6)} AS avg_historical,
-      {_even('af', 6)} AS avg_forecast, {_even('g', 6)} AS growth_pct,
-      {_even('tf', 6)} AS total_forecast, trend_direction, best_period, worst_period, outlook
+      SELECT ds, {_even('trend')} AS trend, {_even('yearly')} AS yearly,
+        {_even('weekly')} AS weekly FROM every""",
+    "forecast_summary": f"""WITH {SUMMARY} SELECT {_even('ah')} AS avg_historical,
+      {_even('af')} AS avg_forecast, {_even('g', 6)} AS growth_pct,
+      {_even('tf')} AS total_forecast, trend_direction, best_period, worst_period, outlook
       FROM summary""",
     "forecast_advice": f"""WITH {SUMMARY} SELECT s.outlook, CAST(position AS BIGINT) AS position, advice
       FROM summary s JOIN {_advice()} ON act.outlook = s.outlook""",
