@@ -657,6 +657,4 @@ def forecast_advice(spark, d):
 
 @query
 def events_kpi_hourly(spark, d):
-    return windowed_kpis(td.table(spark, d, "events"), exact=True).select(
-        F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        "revenue", "events", "active_customers")
+    return windowed_kpis(td.table(spark, d, "events"), exact=True).drop("window_end")

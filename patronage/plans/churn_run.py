@@ -51,12 +51,14 @@ class ChurnRun:
 
 def prepare(features: DataFrame, key: str = "customer_id", target: str | None = None,
             test_size: float = 0.2, seed: int = 42, drop_label_sources: bool = False,
-            exact_split: bool = False) -> tuple[DataFrame, list[str]]:
+            exact_split: bool = False,
+            by_median: bool = False) -> tuple[DataFrame, list[str]]:
     """(table with features, 0/1 ``churn`` and ``is_test``; feature names).
 
     Without a target column the label is derived from the engagement of the customers. Those
     sources stay among the features unless ``drop_label_sources`` is set; a model can then
-    almost reproduce the label, so expect scores near 1.
+    almost reproduce the label, so expect scores near 1. ``by_median`` turns a numeric target
+    with more than two values into above / not above its median instead of above / not above 0.
     """
     target = target or roles.first_match(features.columns, roles.MODEL_TARGET)
     skip = [key, "churn_score", "churn"]
@@ -64,7 +66,7 @@ def prepare(features: DataFrame, key: str = "customer_id", target: str | None =
         labelled = labels.synthetic_churn(features)
         skip += list(labels.LABEL_SOURCES) if drop_label_sources else []
     else:
-        labelled = labels.to_binary(features, target)
+        labelled = (labels.median_binarize if by_median else labels.to_binary)(features, target)
         skip.append(target)
     names = roles.numeric_columns(features, skip)
     if not names:

@@ -46,6 +46,17 @@ def durable_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{durable_root(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Remove what this application has settled; call it when its results are no longer read."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the durable folder and continue from the written table.
 
@@ -54,6 +65,6 @@ def settle(df: DataFrame) -> DataFrame:
     the lineage, and gives the planner real sizes.
     """
     spark = df.sparkSession
-    path = f"{durable_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

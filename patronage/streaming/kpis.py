@@ -18,9 +18,10 @@ def windowed_kpis(events: DataFrame, ts: str = "ts", user: str = "user_id", valu
     """
     users = F.count_distinct(user) if exact and not events.isStreaming else \
         F.approx_count_distinct(user)
-    when = F.col(ts).cast("timestamp")
-    return (events.withColumn("_when", when).withWatermark("_when", late)
-            .groupBy(F.window("_when", width).alias("_w"))
+    if events.isStreaming:
+        # Watermarks need an instant, so zone-less times are read in the session's zone.
+        events = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return (events.groupBy(F.window(ts, width).alias("_w"))
             .agg(money_sum(value).alias("revenue"), F.count("*").alias("events"),
                  users.alias("active_customers"))
             .select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"),

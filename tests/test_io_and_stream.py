@@ -77,6 +77,8 @@ def test_settled_tables_go_to_the_durable_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "durable_root", lambda _: str(tmp_path))
     df = session.settle(spark.range(10).select("id", F.array("id").alias("a")))
     assert df.count() == 10 and glob.glob(str(tmp_path / "*" / "*" / "*.parquet"))
+    session.clear_settled(spark)
+    assert not glob.glob(str(tmp_path / "*"))
 
 
 def test_stream_equals_batch(spark, tmp_path, folder):

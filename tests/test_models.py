@@ -82,6 +82,14 @@ def test_synthetic_target_and_leakage_switch(spark):
     assert len(churn_run.prepare(df)[1]) == 4
 
 
+def test_numeric_target_by_median(spark):
+    df = spark.range(100).select(F.col("id").alias("customer_id"), F.col("id").alias("target"),
+                                 F.rand(1).alias("age"))
+    above_zero = churn_run.prepare(df)[0].agg(F.sum("churn")).first()[0]
+    above_median = churn_run.prepare(df, by_median=True)[0].agg(F.sum("churn")).first()[0]
+    assert (above_zero, above_median) == (99, 50)
+
+
 def test_metrics_without_positive_predictions(spark):
     matrix = spark.createDataFrame([(0, 0, 3), (1, 0, 2)], "label int, prediction int, n bigint")
     r = metrics.metrics_binary(matrix).first()
