@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import mixing, tokens
+from patronage.llm import decontaminate, minhash, mixing, tokens
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -25,11 +25,21 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("key", "passes", "in_part")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
 def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), path, TOKENIZER)
     return tokens.read_tokens(spark, path)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op4_token_output)}
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_mix_sources, op2_minhash_near_dedup, op4_token_output, op7_decontaminate)}
 ORACLES: dict[str, str] = {}
