@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import decontaminate, minhash, mixing, tokens
+from patronage.llm import decontaminate, fingerprints, minhash, mixing, tokens
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -40,6 +40,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
 
 
+def op8_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dedup, op4_token_output, op7_decontaminate)}
+    op1_mix_sources, op2_minhash_near_dedup, op4_token_output, op7_decontaminate,
+    op8_fingerprint)}
 ORACLES: dict[str, str] = {}
