@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import decontaminate, fingerprints, minhash, mixing, tokens
+from patronage.llm import decontaminate, fingerprints, language, minhash, mixing, tokens
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -44,7 +44,12 @@ def op8_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, folder, "documents"))
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_minhash_near_dedup, op4_token_output, op7_decontaminate,
-    op8_fingerprint)}
+    op8_fingerprint, op9_language_id)}
 ORACLES: dict[str, str] = {}
