@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patronage.llm import decontaminate, fingerprints, language, minhash, mixing, tokens
+from patronage.llm import (
+    decontaminate, fingerprints, language, minhash, mixing, quality, tokens)
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -29,6 +31,16 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
 
 
+# Grades of the labels: 0 toxic, 1 harmless but of low quality, 2 good.
+GRADE = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN 1 WHEN quality = 1 THEN 2 END"
+
+
+def op3_quality_grades(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    grader = quality.learn(docs, table(spark, folder, "labels"), grade=F.expr(GRADE))
+    return quality.grade_documents(docs, grader)
+
+
 def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), path, TOKENIZER)
@@ -50,6 +62,6 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dedup, op4_token_output, op7_decontaminate,
+    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op7_decontaminate,
     op8_fingerprint, op9_language_id)}
 ORACLES: dict[str, str] = {}
