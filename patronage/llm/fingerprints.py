@@ -231,7 +231,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     plain = spark.createDataFrame([], f"doc_id {id_type}, {COLUMNS}").schema
     wide = spark.createDataFrame(
         [], f"doc_id {id_type}, {COLUMNS}, part int, first_text string, last_text string").schema
-    ranged = settle(texts.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    ranged = settle(texts.repartitionByRange("id").sortWithinPartitions("id", "text")
                     .mapInArrow(_along(to_arrow_schema(wide)), wide))
     # One row per range from here on: its last text meets the first text of the next range.
     ends = ranged.filter("part is not null").select("part", "doc_id", "first_text", "last_text")

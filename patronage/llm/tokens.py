@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     schema = (f"part int, shard int, before bigint, ids array<{id_type}>, tokens array<bigint>, "
               "first_symbol array<bigint>, rules binary, expansion binary, symbols binary")
     arrow = _arrow_schema(docs.sparkSession, schema)
-    (kept.repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    (kept.repartitionByRange("id").sortWithinPartitions("id", "text")
      .mapInArrow(_encoder(tokenizer_path, arrow), schema).write.parquet(path))
 
 
