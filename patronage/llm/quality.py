@@ -84,23 +84,29 @@ class Grader:
 
 
 def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int,
-               epochs: int = 12, rate: float = 0.08, decay: float = 2e-4, least: int = 4,
-               batch: int = 256, seed: int = 3) -> Grader:
+               epochs: int = 12, rate: float = 0.02, decay: float = 1e-3,
+               least_share: float = 0.003, batch: int = 256, seed: int = 3) -> Grader:
     """Maximum likelihood of a cumulative-link model by Adam over shuffled batches.
 
-    Features of fewer than ``least`` texts keep weight 0. Thresholds are a first one and positive
-    steps, so they stay ordered. Without texts all grades are equally likely.
+    Features of less than ``least_share`` of the texts, or of fewer than four, keep weight 0.
+    Thresholds are a first one and positive steps, so they stay ordered. Without texts all grades
+    are equally likely.
     """
-    weights = np.zeros(1 << BITS)
+    everything = np.zeros(1 << BITS)
     start = np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1))
     if not len(grades):
-        return Grader(weights, start)
-    used = np.bincount(flat, minlength=1 << BITS) >= least
+        return Grader(everything, start)
+    used = np.bincount(flat, minlength=1 << BITS) >= max(4, least_share * len(grades))
+    numbers = np.flatnonzero(used)
+    kept = used[flat]
+    bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+    flat = (np.cumsum(used) - 1)[flat[kept]]
+    weights = np.zeros(len(numbers))
     share = np.array([(grades <= k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     share = np.maximum.accumulate(share + 1e-4 * np.arange(n_grades - 1))
     theta = np.log(share / (1 - share))
     cuts = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])
-    state = {"w": [np.zeros(1 << BITS), np.zeros(1 << BITS)], "c": [0 * cuts, 0 * cuts]}
+    state = {"w": [0 * weights, 0 * weights], "c": [0 * cuts, 0 * cuts]}
     random, turn = np.random.default_rng(seed), 0
     lengths = np.diff(bounds)
     for _ in range(epochs):
@@ -124,12 +130,13 @@ def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grade
                               + g_low[grades[rows] == k + 1].sum()) / len(rows)
             after = np.cumsum(g_theta[::-1])[::-1]
             g_cuts = np.concatenate([after[:1], after[1:] * np.exp(cuts[1:])])
-            touched = np.unique(some)
-            touched = touched[used[touched]]
-            g = np.bincount(some, slope[of], 1 << BITS)[touched] + decay * weights[touched]
+            gradient = np.bincount(some, slope[of], len(numbers))
+            touched = np.flatnonzero(gradient)
+            g = gradient[touched] + decay * weights[touched]
             weights[touched] -= _adam(state["w"], touched, g, turn, rate)
             cuts = cuts - _adam(state["c"], slice(None), g_cuts, turn, rate)
-    return Grader(weights, np.concatenate([cuts[:1], cuts[0] + np.cumsum(np.exp(cuts[1:]))]))
+    everything[numbers] = weights
+    return Grader(everything, np.concatenate([cuts[:1], cuts[0] + np.cumsum(np.exp(cuts[1:]))]))
 
 
 def _adam(state: list[np.ndarray], at, g: np.ndarray, turn: int, rate: float) -> np.ndarray:
