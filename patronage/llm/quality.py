@@ -84,7 +84,7 @@ class Grader:
 
 
 def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int,
-               epochs: int = 12, rate: float = 0.02, decay: float = 1e-3,
+               epochs: int = 30, rate: float = 0.01, decay: float = 1e-3,
                least_share: float = 0.003, batch: int = 256, seed: int = 3) -> Grader:
     """Maximum likelihood of a cumulative-link model by Adam over shuffled batches.
 
