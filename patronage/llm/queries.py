@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, language, minhash, mixing, quality, tokens)
+    decontaminate, fingerprints, html, language, minhash, mixing, quality, tokens)
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -61,7 +61,12 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
+def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.extract(pages, html.learn(pages))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op7_decontaminate,
-    op8_fingerprint, op9_language_id)}
+    op8_fingerprint, op9_language_id, op10_html_extract)}
 ORACLES: dict[str, str] = {}
