@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, html, language, minhash, mixing, quality, tokens)
+    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens)
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -47,6 +47,10 @@ def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.read_tokens(spark, path)
 
 
+def op5_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.sanitise(table(spark, folder, "documents")).drop("sanitised")
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
@@ -67,6 +71,6 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op7_decontaminate,
+    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op5_pii_sanitise, op7_decontaminate,
     op8_fingerprint, op9_language_id, op10_html_extract)}
 ORACLES: dict[str, str] = {}
