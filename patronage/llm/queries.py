@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens)
+    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens,
+    warc)
 from patronage.llm.texts import table
 from patronage.session import durable_root
 
@@ -51,6 +52,16 @@ def op5_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
     return pii.sanitise(table(spark, folder, "documents")).drop("sanitised")
 
 
+def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "warc")
+    warc.write_warc(warc.responses(table(spark, folder, "pages")), path)
+    made = warc.derivatives(warc.read_warc(spark, path).filter("complete").drop("complete"))
+    return made.select(
+        F.col("extra")["X-Page-ID"].cast("bigint").alias("page_id"), "record_id", "kind",
+        "target_uri", "date", "refers_to", "concurrent_to", "content_type", "block",
+        "block_digest", "payload_digest")
+
+
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
@@ -71,6 +82,57 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op5_pii_sanitise, op7_decontaminate,
+    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op5_pii_sanitise, op6_warc_derivatives,
+    op7_decontaminate,
     op8_fingerprint, op9_language_id, op10_html_extract)}
-ORACLES: dict[str, str] = {}
+
+
+def _warc_sql() -> str:
+    """The derivatives of ``op6_warc_derivatives`` from the pages themselves."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def shown(text: str) -> str:
+        return text.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '")
+
+    def digest(data: str) -> str:
+        return (f"'sha1:' || array_to_string(list_transform(range(8), lambda i: list_transform([("
+                f"'0x' || substr(sha1({data}), (i * 5 + 1)::BIGINT, 5))::INT], lambda v: "
+                + " || ".join(f"substr('{warc.BASE32}', ((v >> {15 - 5 * k}) & 31) + 1, 1)"
+                              for k in range(4)) + ")[1]), '')")
+
+    def record_id(*parts: str) -> str:
+        h = "md5(" + " || chr(10) || ".join(f"coalesce({p}::VARCHAR, '-')" for p in parts) + ")"
+        cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+        return "'<urn:uuid:' || " + " || '-' || ".join(
+            f"substr({h}, {a}, {n})" for a, n in cuts) + " || '>'"
+
+    text = "body"
+    for pattern, by in warc.STEPS:
+        text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if by == chr(10) else quoted(by)}, 'g')"
+    size = "octet_length(encode(body))::VARCHAR"
+    head = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
+    fields = ("'http-status: HTTP/1.1 200 OK' || crlf || 'http-header: Content-Type: text/html; "
+              f"charset=utf-8' || crlf || 'http-header: Content-Length: ' || {size} || crlf || "
+              "'source-block-digest: ' || source_block || crlf || 'source-payload-digest: ' || "
+              f"payload_digest || crlf || 'source-payload-length: ' || {size} || crlf")
+    return f"""
+WITH source AS (
+  SELECT page_id, url, coalesce(html, '') AS body, chr(13) || chr(10) AS crlf FROM pages),
+signed AS (
+  SELECT *, {record_id("'response'", "page_id", "url", "body")} AS source_id,
+         {digest("body")} AS payload_digest,
+         {digest(f"('{shown(head)}' || {size} || crlf || crlf || body)")} AS source_block
+  FROM source),
+made AS (
+  SELECT *, 'metadata' AS kind, 'application/warc-fields' AS content_type, {fields} AS block FROM signed
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain; charset=utf-8', trim({text}) FROM signed)
+SELECT page_id, {record_id("kind", "source_id")} AS record_id, kind, url AS target_uri,
+       '2024-01-01T00:00:00Z' AS date, source_id AS refers_to,
+       CASE WHEN kind = 'metadata' THEN source_id END AS concurrent_to, content_type, block,
+       {digest("block")} AS block_digest, payload_digest
+FROM made"""
+
+
+ORACLES: dict[str, str] = {"op6_warc_derivatives": _warc_sql()}
