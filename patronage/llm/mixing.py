@@ -23,6 +23,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def random_key(id_col: str, seed: int) -> Column:
+    """60 bits of a hash of the id that any engine can compute."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 15)
+    return F.conv(digits, 16, 10).cast("bigint")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] | Mapping[str, float],
                    share: float, max_epochs: int) -> DataFrame:
     """One row per source with its target, from (source, source_size).
@@ -82,7 +88,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     size = word_count(F.col("text")) if size is None else size
     keyed = settle(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        size.cast("bigint").alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key")))
+        size.cast("bigint").alias("size"), random_key(id_col, seed).alias("key")))
     targets = source_targets(
         keyed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     order = [F.col("source").asc_nulls_last(), F.col("key").asc(), F.col("doc_id").asc(),
@@ -121,7 +127,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str
     cuts = settle(taken.groupBy("source").agg(
         F.max("passes").alias("passes"),
         F.max(F.when(F.col("in_part"), F.struct("key", "doc_id"))).alias("last")))
-    here = F.struct(F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"),
+    here = F.struct(random_key(id_col, seed).alias("key"),
                     F.col(id_col).alias("doc_id"))
     named = cuts.select(F.col("source").alias("_mix_source"), F.col("passes").alias("_mix_passes"),
                         F.col("last").alias("_mix_last"))

@@ -135,4 +135,98 @@ SELECT page_id, {record_id("kind", "source_id")} AS record_id, kind, url AS targ
 FROM made"""
 
 
-ORACLES: dict[str, str] = {"op6_warc_derivatives": _warc_sql()}
+# The mix: hash keys, running totals within each source, and the level at which targets stop.
+_MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', doc_id::VARCHAR, '17')), 1, 15))::BIGINT AS hash_key
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight
+  FROM sized GROUP BY source),
+rooms AS (
+  SELECT *, source_size * 3 AS most, (source_size * 3)::DOUBLE / weight AS room FROM sources),
+levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+             - coalesce(sum(most) OVER (ORDER BY room, source NULLS LAST
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / sum(weight) OVER (ORDER BY room, source NULLS LAST
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM rooms),
+targets AS (
+  SELECT source, source_size,
+         CASE WHEN coalesce(room < top, true) THEN most::DOUBLE ELSE top * weight END AS target
+  FROM (SELECT *, max(level) FILTER (WHERE level <= room) OVER () AS top FROM levels)),
+budgets AS (
+  SELECT *, round(target)::BIGINT AS budget,
+         CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS passes
+  FROM targets),
+placed AS (
+  SELECT s.doc_id, s.size, b.source_size, b.target, b.budget, b.passes, s.source,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash_key, s.doc_id, s.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, source,
+       (passes * size + greatest(0, least(budget - passes * source_size - before, size)))::BIGINT AS taken
+FROM placed"""
+
+# Near-duplicates: all pairs that share a shingle, and the closure of the links.
+_NEAR_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
+         THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 2),
+         lambda i: w[(i + 1)::INT] || ' ' || w[(i + 2)::INT] || ' ' || w[(i + 3)::INT]) END) AS s
+  FROM worded),
+single AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM shingled),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared
+  FROM single a JOIN single b ON a.x = b.x AND a.doc_id < b.doc_id
+       AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
+ends AS (SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT u, v FROM ends
+  UNION SELECT r.u, e.v FROM reach r JOIN ends e ON r.v = e.u),
+lowest AS (SELECT u, min(v) AS low FROM reach GROUP BY u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM shingled LEFT JOIN lowest ON doc_id = u"""
+
+# Decontamination: windows of documents and items as strings, joined per window length.
+_LEAK_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+pattern AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS x
+  FROM (SELECT item_id, w, least(10, len(w)) AS size,
+               unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM pattern),
+spots AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS x
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM doc CROSS JOIN sizes WHERE len(w) >= size)),
+found AS (SELECT doc_id, item_id, s.size, i FROM spots s JOIN pattern p ON s.x = p.x AND s.size = p.size),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS names
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": _MIX_SQL, "op2_minhash_near_dedup": _NEAR_SQL,
+    "op6_warc_derivatives": _warc_sql(), "op7_decontaminate": _LEAK_SQL}
