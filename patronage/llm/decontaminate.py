@@ -170,3 +170,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         [], f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
         "contaminated boolean, items array<string>, spans array<array<bigint>>")
     return state.mapInArrow(_report(to_arrow_schema(out.schema)), out.schema)
+
+
+def _occurs(searches: list[_Search], words: list[bytes]) -> bool:
+    return any(next(search.find(words), None) for search in searches)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
+                    item_col: str = "item_id", item_text_col: str = "text",
+                    window: int = 10) -> DataFrame:
+    """The rows in which no window occurs, with the columns of ``docs``; nothing is shuffled.
+
+    Occurrences are those of ``contamination``. Rows with a null or wordless text stay.
+    """
+    position = docs.columns.index(text_col)
+
+    def keep(searches: list[_Search]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(
+                    [not _occurs(searches, words_of(t.as_py())) for t in batch.column(position)],
+                    pa.bool_()))
+        return run
+
+    out = docs
+    for block in item_blocks(benchmark, item_col, item_text_col):
+        out = out.mapInArrow(keep(compile_items(block, window)), docs.schema)
+    return out
