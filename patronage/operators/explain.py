@@ -82,10 +82,12 @@ def permutation_importance(model: PipelineModel, test: DataFrame, key: str,
                .select("repeat", "_f", label, *[
                    F.when(F.col("_f") == i, F.col(f"_other{i}")).otherwise(F.col(f"`{c}`"))
                    .alias(c) for i, c in enumerate(features)]))
-    hit = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-    base = one_row(model.transform(test).agg(hit.alias("a")))["a"]
+    # Whole numbers of hits, so that a feature without influence has exactly 0.
+    right = F.col("prediction") == F.col(label)
+    hits, rows = F.sum(right.cast("bigint")).alias("hits"), F.count(right).alias("rows")
+    base = one_row(model.transform(test).agg(hits, rows))
     names = F.array(*[F.lit(c) for c in features])
-    return (model.transform(swapped).groupBy("repeat", "_f").agg(hit.alias("_a"))
-            .groupBy("_f").agg(F.avg("_a").alias("_a"))
+    lost = base["hits"] * F.col("rows") - F.col("hits") * base["rows"]
+    return (model.transform(swapped).groupBy("_f").agg(hits, rows)
             .select(F.element_at(names, F.col("_f") + 1).alias("feature"),
-                    (base - F.col("_a")).alias("importance")))
+                    (lost / (base["rows"] * F.col("rows"))).alias("importance")))
