@@ -85,7 +85,7 @@ class Grader:
 
 def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grades: int,
                epochs: int = 30, rate: float = 0.01, decay: float = 1e-3,
-               least_share: float = 0.003, batch: int = 256, seed: int = 3) -> Grader:
+               least_share: float = 0.0015, batch: int = 256, seed: int = 3) -> Grader:
     """Maximum likelihood of a cumulative-link model by Adam over shuffled batches.
 
     Features of less than ``least_share`` of the texts, or of fewer than four, keep weight 0.
@@ -161,7 +161,7 @@ def _features_out(schema: pa.Schema):
 
 def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
           rating_id_col: str = "doc_id", grade: Column | None = None, n_grades: int = 3,
-          rows: int = 20_000) -> Grader:
+          rows: int = 40_000) -> Grader:
     """A grader from a bounded sample of rated documents.
 
     ``grade`` is a column of ``ratings`` with 0 (worst) to ``n_grades - 1``. At most about ``rows``
