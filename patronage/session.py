@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app_name: str = "patronage", cores: str = "8", **conf: str) -> SparkSession:
@@ -68,3 +73,29 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{_application_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once per application.
+
+    Tasks that run Python import their functions from it, wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="patronage-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def shipped(query: Callable) -> Callable:
+    """A query, taking the session first, whose tasks find this package."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        ship_package(spark)
+        return query(spark, *args)
+    return run
