@@ -13,14 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from patronage.llm import decontaminate, language, minhash, mixing, tokens
 from patronage.llm.queries import TOKENIZER, fresh_folder
 from patronage.llm.texts import table
-from patronage.session import settle
+from patronage.session import settle, shipped
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a sufficient margin."""
     return language.accepted_documents(docs, language.learn(docs))
 
 
+@shipped
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 80 % of the five-word shingles: the smallest id."""
     copies = minhash.near_duplicates(docs, shingle=5, percent=80).filter("not kept")
@@ -28,16 +30,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         .select(*[f"`{c}`" for c in docs.columns])
 
 
+@shipped
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents to the target weights of their sources, one row per repeat."""
     return mixing.mixed_documents(docs)
 
 
+@shipped
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token shards' documents: place, length and checksum of their ids."""
     path = fresh_folder(spark, "pipeline-tokens")

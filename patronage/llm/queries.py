@@ -13,7 +13,7 @@ from patronage.llm import (
     decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens,
     warc)
 from patronage.llm.texts import table
-from patronage.session import durable_root
+from patronage.session import durable_root, shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +81,7 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(pages, html.learn(pages))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
+QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op5_pii_sanitise, op6_warc_derivatives,
     op7_decontaminate,
     op8_fingerprint, op9_language_id, op10_html_extract)}
