@@ -3,8 +3,8 @@
 Every window of ``window`` consecutive item words is a pattern, over words instead of letters.
 Patterns of one length are searched together. Standing at a document word, the block of the two
 words that end there is looked up: the shift table says how far the next possible end of a pattern
-is, a block in no pattern lets the search skip a whole pattern length, and a block that ends
-patterns leads to their bucket, where the words before it are compared directly.
+is, a block or word in no pattern lets the search skip a whole pattern, and a block that ends
+patterns leads to their bucket, where all words are compared directly.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATTERN_BYTES = 16 << 20
+PATTERN_BYTES = 2 << 20
 _WORD = bytes([*range(48, 58), *range(97, 123)])
 # ASCII signs become spaces, A-Z become a-z; the bytes of all other characters stay.
 _CLEAN = bytes(c if c in _WORD or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -27,55 +27,79 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _Search:
-    """Shift table and buckets of the patterns of one length."""
-
-    def __init__(self, length: int, patterns: dict[tuple, set]):
-        self.length, self.block = length, min(2, length)
-        self.skip = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, set]] = {}
-        for words, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = words[end - self.block:end]
-                self.shift[key] = min(self.shift.get(key, self.skip), length - end)
-            self.buckets.setdefault(words[length - self.block:], {})[words] = items
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set]]:
-        """(start, items) of every occurrence."""
-        at, n, block, shift = self.length, len(words), self.block, self.shift
-        if block == 2:
-            while at <= n:
-                step = shift.get((words[at - 2], words[at - 1]), self.skip)
-                if step:
-                    at += step
-                    continue
-                yield from self._confirm(words, at)
-                at += 1
-        else:
-            for at in range(1, n + 1):
-                if (words[at - 1],) in shift:
-                    yield from self._confirm(words, at)
+    """Shift table and buckets of the windows of one length.
+
+    Words of the items are numbered; a block of two words is one number. A bucket holds the places
+    (item, start) of its windows, and a window is compared with the item's own words.
+    """
 
-    def _confirm(self, words: list[bytes], end: int) -> Iterator[tuple[int, set]]:
-        bucket = self.buckets.get(tuple(words[end - self.block:end]))
-        items = bucket and bucket.get(tuple(words[end - self.length:end]))
-        if items:
-            yield end - self.length, items
+    def __init__(self, length: int, window: int, items: list[tuple[object, list[bytes]]]):
+        self.length = length
+        self.items = [(name, w) for name, w in items if min(window, len(w)) == length]
+        self.number: dict[bytes, int] = {}
+        self.shift: dict[int, int] = {}
+        self.buckets: dict[int, list[tuple[int, int]]] = {}
+        single = length == 1
+        for item, (_, words) in enumerate(self.items):
+            ids = [self.number.setdefault(w, len(self.number)) for w in words]
+            for start in range(len(words) - length + 1):
+                for at in range(start + (not single), start + length):
+                    key = ids[at] if single else ids[at - 1] << 32 | ids[at]
+                    left = start + length - 1 - at
+                    if self.shift.get(key, length) > left:
+                        self.shift[key] = left
+                self.buckets.setdefault(key, []).append((item, start))
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, list]]:
+        """(start, names of the items) of every occurrence."""
+        at, n, length, number, shift = self.length - 1, len(words), self.length, self.number, self.shift
+        while at < n:
+            last = number.get(words[at])
+            if last is None:  # no window holds this word
+                at += length
+                continue
+            if length == 1:
+                key = last
+            else:
+                before = number.get(words[at - 1])
+                if before is None:
+                    at += length - 1
+                    continue
+                key = before << 32 | last
+            step = shift.get(key, max(length - 1, 1))
+            if not step:
+                start = at - length + 1
+                here = words[start:at + 1]
+                names = [self.items[item][0] for item, first in self.buckets[key]
+                         if self.items[item][1][first:first + length] == here]
+                if names:
+                    yield start, names
+                step = 1
+            at += step
 
 
 def compile_items(items: Iterable[tuple[object, str | None]], window: int) -> list[_Search]:
     """Searches for the windows of the items, one per pattern length."""
-    by_length: dict[int, dict[tuple, set]] = {}
-    for name, text in items:
-        words = words_of(text)
-        length = min(window, len(words))
-        for i in range(len(words) - length + 1 if length else 0):
-            by_length.setdefault(length, {}).setdefault(tuple(words[i:i + length]), set()).add(name)
-    return [_Search(n, patterns) for n, patterns in sorted(by_length.items())]
+    worded = [(name, words_of(text)) for name, text in items]
+    lengths = {min(window, len(w)) for _, w in worded if w}
+    return [_Search(n, window, worded) for n in sorted(lengths)]
+
+
+_compiled: dict[tuple, list[_Search]] = {}
+
+
+def _searches(block: tuple, window: int) -> list[_Search]:
+    """The tables of a block, built once per worker; tasks carry the texts alone."""
+    key = block, window
+    if key not in _compiled:
+        _compiled.clear()
+        _compiled[key] = compile_items(block, window)
+    return _compiled[key]
 
 
-def _scan(searches: list[_Search], schema: pa.Schema) -> Callable:
+def _scan(block: tuple, window: int, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches = _searches(block, window)
         for batch in batches:
             counts, spans, names = [], [], []
             for text, old_spans, old_names in zip(*(batch.column(i) for i in (1, 2, 3))):
@@ -119,21 +143,22 @@ def _report(schema: pa.Schema) -> Callable:
     return run
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list]:
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple]:
     """The benchmark's items in blocks of at most ``PATTERN_BYTES`` of text (or one longer item).
 
-    Only one block is held at a time; each costs one more search of the documents.
+    Each block costs one more search of the documents, in the same tasks; its tables take about
+    50 times its size in a worker.
     """
     block, size = [], 0
     items = benchmark.select(F.col(id_col), F.col(text_col)).filter(F.col(text_col) != "")
     for name, text in items.toLocalIterator():
         if block and size + len(text) > PATTERN_BYTES:
-            yield block
+            yield tuple(block)
             block, size = [], 0
         block.append((name, text))
         size += len(text)
     if block:
-        yield block
+        yield tuple(block)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
@@ -162,10 +187,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     id_type = state.schema["doc_id"].dataType.simpleString()
     between = spark.createDataFrame([], f"doc_id {id_type}, text string, spans "
                                     "array<array<bigint>>, items array<string>, n_words bigint")
-    searches = [compile_items(block, window)
-                for block in item_blocks(benchmark, item_col, item_text_col)] or [[]]
-    for some in searches:
-        state = state.mapInArrow(_scan(some, to_arrow_schema(between.schema)), between.schema)
+    for block in list(item_blocks(benchmark, item_col, item_text_col)) or [()]:
+        state = state.mapInArrow(
+            _scan(block, window, to_arrow_schema(between.schema)), between.schema)
     out = spark.createDataFrame(
         [], f"doc_id {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
         "contaminated boolean, items array<string>, spans array<array<bigint>>")
@@ -185,8 +209,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
     """
     position = docs.columns.index(text_col)
 
-    def keep(searches: list[_Search]) -> Callable:
+    def keep(block: tuple) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searches = _searches(block, window)
             for batch in batches:
                 yield batch.filter(pa.array(
                     [not _occurs(searches, words_of(t.as_py())) for t in batch.column(position)],
@@ -195,5 +220,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
 
     out = docs
     for block in item_blocks(benchmark, item_col, item_text_col):
-        out = out.mapInArrow(keep(compile_items(block, window)), docs.schema)
+        out = out.mapInArrow(keep(block), docs.schema)
     return out
