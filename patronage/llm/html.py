@@ -55,7 +55,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+")
-FEATURES = 28
+FEATURES = 29
 
 
 @dataclass
@@ -207,6 +207,7 @@ def describe(tree: Tree) -> np.ndarray:
         row[25] = items[v] / tags[v]
         row[26] = chars[v] / max(spaces[v], 1)
         row[27] = len(children[v])
+        row[28] = tag == "h1"
     return out
 
 
@@ -280,7 +281,9 @@ def example_page(seed: int) -> tuple[Tree, list[int]]:
                                      "</p></div>" for _ in range(pick.randint(1, 6)))),
     }
     mark = "\x01"
-    body = [f"<h1>{mark}{words(2, 9)}</h1>"]
+    body = [f"<h1>{mark}{words(1, 9)}</h1>"]
+    if pick.random() < 0.2:
+        body = [f"<header>{body[0]}</header>"]
     for _ in range(pick.choice([1, 2, 4, 8, 15])):
         kind = pick.random()
         if kind < 0.8:
@@ -298,6 +301,8 @@ def example_page(seed: int) -> tuple[Tree, list[int]]:
         body.append(side["comments"]())
     a, b = named(pick.choice(["content", "main", "post", "entry", "article-body"]),
                  pick.choice(["article", "main"]))
+    if pick.random() < 0.15:
+        a, b = pick.choice([("", ""), ("<table><tr><td>", "</td></tr></table>"), ("<div>", "</div>")])
     parts = [side[k]() for k in ("notice", "header", "menu", "ad") if pick.random() < 0.6]
     rest = [side[k]() for k in ("comments", "form", "ad", "sidebar", "footer") if pick.random() < 0.5]
     page = "".join([*parts, a, *body, b, *rest])
@@ -314,7 +319,7 @@ def example_page(seed: int) -> tuple[Tree, list[int]]:
     return tree, label
 
 
-def _training_rows(examples: int, schema: pa.Schema):
+def _training_rows(schema: pa.Schema):
     def batch(pairs: list) -> pa.RecordBatch:
         rows = np.concatenate([describe(t) for t, _ in pairs])
         lists = pa.ListArray.from_arrays(
@@ -380,7 +385,7 @@ def _arrays(root) -> tuple[np.ndarray, ...]:
 
 
 def learn(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id", pages_used: int = 600,
-          examples: int = 600, rounds: int = 20, depth: int = 5) -> Boosted:
+          examples: int = 1500, rounds: int = 30, depth: int = 5) -> Boosted:
     """Boosted trees fitted on a bounded sample of pages that name their parts, and on made-up ones.
 
     About ``pages_used`` pages, chosen by a hash of the id, are labelled by the names of their
@@ -395,7 +400,7 @@ def learn(pages: DataFrame, *, html_col: str = "html", id_col: str = "page_id",
     made = spark.range(examples, numPartitions=4).select(
         F.lit(None).cast("string").alias("html"), F.col("id").alias("seed"))
     out = spark.createDataFrame([], "label double, features array<double>").schema
-    rows = real.unionByName(made).mapInArrow(_training_rows(examples, to_arrow_schema(out)), out)
+    rows = real.unionByName(made).mapInArrow(_training_rows(to_arrow_schema(out)), out)
     fitted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, maxBins=32, seed=5,
                            minInstancesPerNode=10).fit(
         rows.select("label", array_to_vector("features").alias("features")))
