@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import io
 import tempfile
 import uuid
 import zipfile
@@ -78,17 +79,23 @@ def settle(df: DataFrame) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once per application.
 
-    Tasks that run Python import their functions from it, wherever the driver was started.
+    It is packed into the durable folder, from where Spark hands it out. Tasks that run Python import their functions from it, wherever the driver was started.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="patronage-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(package.rglob("*.py")):
             out.write(source, source.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(path))
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(
+        f"{durable_root(spark)}/{package.name}-{app}.zip")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(path.toString())
     _shipped.add(app)
 
 
