@@ -2,7 +2,9 @@
 
 Each language has a zstandard dictionary of raw sample text. A text is compressed block by block
 with every dictionary; the language whose dictionary leaves the fewest bytes wins, and the lead
-over the runner-up says how sure that is.
+over the runner-up says how sure that is. A short text leaves few bytes, so that languages would
+often tie; it is also compressed with each of ``PARTS`` pieces of every sample, and the bytes are
+added up.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 LEVEL = 5
 BLOCK_CHARS = 4000
+SHORT_CHARS = 400
+PARTS = 16
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -78,20 +82,32 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return Languages(tuple(names), tuple(" ".join(found[k]).encode() for k in names))
 
 
-def _compressors(model: Languages) -> list[zstandard.ZstdCompressor]:
+def _compressor(sample: bytes) -> zstandard.ZstdCompressor:
+    data = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(
+        dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def _compressors(model: Languages) -> list[list[zstandard.ZstdCompressor]]:
+    """Per language: one for the whole sample, and one for each of its pieces."""
     made = []
     for sample in model.samples:
-        data = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        data.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(
-            dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False))
+        step = max(1, len(sample) // PARTS)
+        made.append([_compressor(sample), *[
+            _compressor(sample[i * step:(i + 1) * step] or sample) for i in range(PARTS)]])
     return made
 
 
 def compressed_sizes(text: str, compressors: list) -> np.ndarray:
-    """Bytes left of a normalised text per language, over all of its blocks."""
+    """Bytes left of a normalised text per language."""
+    if len(text) <= SHORT_CHARS:
+        data = text.encode()
+        return np.array([sum([len(c.compress(data)) for c in every]) for every in compressors],
+                        np.int64)
     blocks = [text[i:i + BLOCK_CHARS].encode() for i in range(0, len(text), BLOCK_CHARS)]
-    return np.array([sum([len(c.compress(b)) for b in blocks]) for c in compressors], np.int64)
+    return np.array([sum([len(whole.compress(b)) for b in blocks]) for whole, *_ in compressors],
+                    np.int64)
 
 
 def judge(sizes: np.ndarray) -> tuple[int, float]:
@@ -130,7 +146,7 @@ def _predict(model: Languages, least: float, schema: pa.Schema):
 
 
 def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_col: str = "text",
-             least_margin: float = 0.01) -> DataFrame:
+             least_margin: float = 0.005) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted) per row; only the whole text is looked at.
 
     ``score`` is the margin, 0 to 1; ``accepted`` is false where it is below ``least_margin`` or
@@ -147,7 +163,7 @@ def identify(docs: DataFrame, model: Languages, *, id_col: str = "doc_id", text_
 
 
 def accepted_documents(docs: DataFrame, model: Languages, *, id_col: str = "doc_id",
-                       text_col: str = "text", least_margin: float = 0.01) -> DataFrame:
+                       text_col: str = "text", least_margin: float = 0.005) -> DataFrame:
     """The rows whose language is accepted, with the columns of ``docs``; texts are not shuffled."""
     position = docs.columns.index(text_col)
 

@@ -20,12 +20,14 @@ def test_predictions_equal_a_plain_loop(docs, corpus, model):
         if not any(c.isalpha() for c in text or ""):
             assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
             continue
-        sizes = [sum(len(c.compress(clean[i:i + language.BLOCK_CHARS].encode()))
-                     for i in range(0, len(clean), language.BLOCK_CHARS)) for c in makers]
+        blocks = [clean[i:i + language.BLOCK_CHARS].encode()
+                  for i in range(0, len(clean), language.BLOCK_CHARS)]
+        used = 17 if len(clean) <= 400 else 1
+        sizes = [sum(len(c.compress(b)) for c in every[:used] for b in blocks) for every in makers]
         best = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
         assert r.lang_pred == model.names[best[0]]
         assert r.score == (sizes[best[1]] - sizes[best[0]]) / sizes[best[1]]
-        assert r.accepted == (r.score >= 0.01) and 0 <= r.score <= 1
+        assert r.accepted == (r.score >= 0.005) and 0 <= r.score <= 1
     kept = language.accepted_documents(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if r.accepted}
