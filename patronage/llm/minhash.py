@@ -255,8 +255,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                    .select("id", "n", "home", F.coalesce("root", "id").alias("known")))
     largest = (known.groupBy("home", "known").agg(F.count("*").alias("rows")).groupBy("home")
                .agg(F.max(F.struct("rows", "known")).alias("top")))
-    # Written before it is counted again, so that a home with most of the rows can be split.
-    parts = settle(known.join(largest.join(of_home, "home"), "home").select(
+    # A plain join of written tables, so that a home with most of the rows can be split.
+    tops = settle(largest.join(of_home, "home"))
+    parts = settle(known.join(tops, "home").select(
         "id", "n", "known", "home", F.when(F.col("chunks") > 1, F.when(
             F.col("known") == F.col("top.known"), 2).otherwise(1)).otherwise(0).alias("part")))
     again = settle(_salted(parts))
