@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens,
-    warc)
+    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens, warc)
 from patronage.llm.texts import table
 from patronage.session import durable_root, shipped
 
@@ -55,7 +54,7 @@ def op5_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "warc")
     warc.write_warc(warc.responses(table(spark, folder, "pages")), path)
-    made = warc.derivatives(warc.read_warc(spark, path).filter("complete").drop("complete"))
+    made = warc.derivatives(warc.read_warc(spark, path))
     return made.select(
         F.col("extra")["X-Page-ID"].cast("bigint").alias("page_id"), "record_id", "kind",
         "target_uri", "date", "refers_to", "concurrent_to", "content_type", "block",
@@ -82,9 +81,9 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
-    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output, op5_pii_sanitise, op6_warc_derivatives,
-    op7_decontaminate,
-    op8_fingerprint, op9_language_id, op10_html_extract)}
+    op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output,
+    op5_pii_sanitise, op6_warc_derivatives, op7_decontaminate, op8_fingerprint, op9_language_id,
+    op10_html_extract)}
 
 
 def _warc_sql() -> str:

@@ -3,16 +3,19 @@
 A record is a row (record_id, kind, target_uri, date, refers_to, concurrent_to, content_type, block,
 block_digest, payload_digest, extra), with ``extra`` holding any other named fields. Derivatives of a
 response are a metadata record about it and a conversion record with its plain text, both of which
-name it by id, address and date. Everything is built from SQL functions.
+name it by id, address and date. They are built from SQL functions.
 
 Files are written by Spark's text writer, one record after the other; the two line breaks that end a
-record are the writer's separator. They are read back in pieces that begin with the version line, so
-that a file can be split among tasks. A block that has a version line of its own right after an empty
-line would be cut there; ``write_warc`` refuses such blocks, ``read_warc`` tells by ``complete``.
+record are the writer's separator. They are read in pieces that begin with the version line, one
+piece at a time, and a block with such a line of its own is put together again by its stated length.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,36 +163,98 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     block = F.coalesce(F.col("block"), F.lit(""))
     length = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))
     lines = F.array_compact(F.concat(F.array(F.lit(VERSION), *named), others, F.array(length)))
-    safe = F.when(F.contains(block, F.lit(f"{END}{VERSION}{BREAK}")), F.raise_error(
-        F.lit("a block holds a version line"))).otherwise(block)
-    (records.select(F.concat(F.array_join(lines, BREAK), F.lit(END), safe).alias("value"))
+    (records.select(F.concat(F.array_join(lines, BREAK), F.lit(END), block).alias("value"))
      .write.option("lineSep", END).option("compression", compression).text(path))
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    lines = (x.split(":", 1) for x in head.decode("utf-8", "replace").split(BREAK) if ":" in x)
+    return {name.strip().lower(): value.strip() for name, value in lines}
+
+
+def _length(fields: dict[str, str]) -> int:
+    stated = fields.get("content-length", "")
+    return int(stated) if stated.isascii() and stated.isdigit() else -1
+
+
+def _record(piece: bytes) -> dict:
+    head, _, rest = piece.partition(END.encode())
+    fields = _fields(head)
+    length = _length(fields)
+    complete = 0 <= length and rest[length:] == END.encode() and len(rest) >= length
+    block = rest[:length] if complete else rest.removesuffix(END.encode())
+    known = {n.lower(): c for n, c in NAMED.items()}
+    row = {column: fields.get(name) for name, column in known.items()}
+    names = {x.split(b":", 1)[0].strip().decode("utf-8", "replace")
+             for x in head.split(BREAK.encode()) if b":" in x}
+    extra = {n: fields[n.lower()] for n in sorted(names)
+             if n.lower() not in known and n.lower() != "content-length"}
+    return row | {"extra": list(extra.items()), "block": block.decode("utf-8", "replace"),
+                  "complete": complete}
+
+
+def _whole_records(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records from pieces cut before every version line.
+
+    A piece that is shorter than its stated length takes in the pieces after it if they make up
+    that length exactly; otherwise it is an incomplete record, and they are looked at anew.
+    """
+    waiting: deque[bytes] = deque()
+    mark = f"{VERSION}{BREAK}".encode()
+
+    def settled(more: bool) -> Iterator[dict]:
+        while waiting:
+            if not waiting[0]:  # before the first version line of a file
+                waiting.popleft()
+                continue
+            head, found, rest = waiting[0].partition(END.encode())
+            length = _length(_fields(head)) if found else -1
+            want = length + len(END)
+            have, used = len(rest), 1
+            while have < want and used < len(waiting):
+                have += len(mark) + len(waiting[used])
+                used += 1
+            if length >= 0 and have < want and more:
+                return  # the rest may still come
+            if length < 0 or have != want:
+                used = 1
+            yield _record(mark.join(waiting.popleft() for _ in range(used)))
+
+    for piece in pieces:
+        waiting.append(piece)
+        yield from settled(True)
+    yield from settled(False)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files, with ``complete``: whether a block has its stated length.
 
-    Field names are matched without regard to case; of repeated fields the last counts.
+    Field names are matched without regard to case; of repeated fields the last counts. Blocks are
+    read as UTF-8, other bytes become the replacement character. Memory holds one record at a
+    time; a record whose length is stated too high holds what follows until that is reached. A
+    compressed file is read by one task, a plain one may be split, and a block with a version line
+    just where it is split is incomplete.
     """
-    raw = spark.read.option("lineSep", f"{VERSION}{BREAK}").text(path).filter("value <> ''")
-    at = F.instr("value", END)
-    head = F.when(at > 0, F.substring(F.col("value"), F.lit(1), at - 1)).otherwise(F.col("value"))
-    rest = F.when(at > 0, F.substring(F.col("value"), at + 4, F.length("value"))).otherwise(F.lit(""))
-    pairs = F.transform(F.filter(F.split(head, BREAK), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(
-        F.trim(F.substring_index(x, ":", 1)).alias("key"),
-        F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
-    parsed = raw.select(pairs.alias("fields"), rest.alias("rest"))
-
-    def named(name: str) -> Column:
-        return F.get(F.transform(F.filter("fields", lambda f: F.lower(f["key"]) == name.lower()),
-                                 lambda f: f["value"]), F.lit(0))
-
-    length = named("Content-Length").cast("bigint")
-    known = [n.lower() for n in NAMED] + ["content-length"]
-    others = F.map_from_entries(F.filter("fields", lambda f: ~F.lower(f["key"]).isin(known)))
-    block = F.substring(F.col("rest"), F.lit(1), F.length("rest") - F.length(F.lit(END)))
-    return parsed.select(*[named(n).alias(c) for n, c in NAMED.items() if c != "block"],
-                         others.alias("extra"), block.alias("block"),
-                         (F.octet_length(block) == length).alias("complete")) \
-        .select("record_id", "kind", "target_uri", "date", "refers_to", "concurrent_to",
-                "content_type", "block", "block_digest", "payload_digest", "extra", "complete")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    out = spark.createDataFrame([], ", ".join(
+        [f"{c} string" for c in NAMED.values()]
+        + ["extra map<string,string>", "block string", "complete boolean"])).schema
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (v.as_py() for batch in batches for v in batch.column(0))
+        rows: list[dict] = []
+        size = 0
+        for row in _whole_records(pieces):
+            rows.append(row)
+            size += len(row["block"])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    raw = spark.read.option("lineSep", f"{VERSION}{BREAK}").text(path)
+    return (raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, out)
+            .select("record_id", "kind", "target_uri", "date", "refers_to", "concurrent_to",
+                    "content_type", "block", "block_digest", "payload_digest", "extra", "complete"))

@@ -79,11 +79,30 @@ def test_derivatives_refer_to_their_source(pages):
     assert {r.record_id for r in again} == {r.record_id for r in made}
 
 
-def test_a_block_that_would_be_cut_is_refused(spark):
-    page = spark.createDataFrame([(1, "u", "x\r\n\r\nWARC/1.1\r\n")],
-                                 "page_id bigint, url string, html string")
-    with pytest.raises(Exception, match="version line"):
-        warc.write_warc(warc.responses(page), os.path.join(tempfile.mkdtemp(), "w"))
+def test_blocks_with_version_lines_come_back_whole(spark):
+    odd = ["x\r\n\r\nWARC/1.1\r\n", "WARC/1.1\r\nWARC/1.1\r\n\r\n", "\r\n\r\n",
+           "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"]
+    pages = spark.createDataFrame([(i, f"u{i}", t) for i, t in enumerate(odd * 3)],
+                                  "page_id bigint, url string, html string").coalesce(1)
+    path = os.path.join(tempfile.mkdtemp(), "w")
+    warc.write_warc(warc.responses(pages), path)
+    rows = warc.read_warc(spark, path).collect()
+    assert len(rows) == 12 and all(r.complete for r in rows)
+    assert sorted(r.block.partition("\r\n\r\n")[2] for r in rows) == sorted(odd * 3)
+
+
+def test_broken_records_do_not_hide_others(spark):
+    def record(block, stated):
+        return f"WARC/1.1\r\nwarc-type: response\r\nContent-Length: {stated}\r\n\r\n{block}\r\n\r\n"
+    path = os.path.join(tempfile.mkdtemp(), "w.warc.gz")
+    with gzip.open(path, "wt", newline="") as out:
+        out.write(record("good", 4) + record("short", 400) + record("fine", 4) + record("bad", "x")
+                  + record("long", 2) + record("last", 4))
+    rows = warc.read_warc(spark, path).collect()
+    assert [(r.block, r.complete) for r in rows] == [
+        ("good", True), ("short", False), ("fine", True), ("bad", False), ("long", False),
+        ("last", True)]
+    assert {r.kind for r in rows} == {"response"}
 
 
 def test_nothing(spark, pages):
