@@ -7,6 +7,7 @@ probability of the top grades, by which texts are selected.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.language import held_out
-from patronage.llm.texts import NOT_SPACE, pieces, text_bytes, word_hashes
+from patronage.llm.texts import NOT_SPACE, pieces, ragged, text_bytes, word_hashes
 
 BITS = 18
 _WORD = np.zeros(256, bool)
@@ -100,7 +101,7 @@ def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grade
     numbers = np.flatnonzero(used)
     kept = used[flat]
     bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
-    flat = (np.cumsum(used) - 1)[flat[kept]]
+    flat = (np.cumsum(used, dtype=np.int32) - 1)[flat[kept]]
     weights = np.zeros(len(numbers))
     share = np.array([(grades <= k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     share = np.maximum.accumulate(share + 1e-4 * np.arange(n_grades - 1))
@@ -112,8 +113,7 @@ def fit_grades(flat: np.ndarray, bounds: np.ndarray, grades: np.ndarray, n_grade
     for _ in range(epochs):
         for rows in np.array_split(random.permutation(len(grades)), -(-len(grades) // batch)):
             turn += 1
-            at = np.repeat(bounds[rows] - (np.cumsum(lengths[rows]) - lengths[rows]), lengths[rows])
-            some = flat[at + np.arange(len(at))]
+            some = flat[ragged(bounds[rows], lengths[rows])]
             of = np.repeat(np.arange(len(rows)), lengths[rows])
             score = np.bincount(of, weights[some], len(rows))
             theta = np.concatenate([cuts[:1], cuts[0] + np.cumsum(np.exp(cuts[1:]))])
@@ -182,19 +182,15 @@ def learn(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_c
     out = texts.select("grade", F.lit(None).cast("array<int>").alias("features")).schema
     table = texts.mapInArrow(_features_out(to_arrow_schema(out)), out).toArrow()
     lists = table.column("features").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
     lengths = np.array(lists.value_lengths()).astype(np.int64)
-    flat = np.array(lists.flatten()).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     grades = np.array(table.column("grade")).astype(np.int64)
     # The same order of rows whatever order the tasks ended in.
-    order = sorted(range(len(grades)), key=lambda i: (
-        grades[i], lengths[i], flat[bounds[i]:bounds[i + 1]].tobytes()))
-    flat = np.concatenate([flat[bounds[i]:bounds[i + 1]] for i in order]) if order else flat
-    lengths, grades = lengths[order], grades[order]
-    return fit_grades(flat, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), grades,
-                      n_grades)
+    marks = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+    order = np.lexsort((marks, lengths, grades)) if marks else np.empty(0, np.int64)
+    flat = flat[ragged(bounds[order], lengths[order])]
+    return fit_grades(flat, np.concatenate([[0], np.cumsum(lengths[order])]), grades[order], n_grades)
 
 
 def grade_documents(docs: DataFrame, grader: Grader, *, id_col: str = "doc_id",
