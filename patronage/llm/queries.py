@@ -107,7 +107,8 @@ def _warc_sql() -> str:
             f"substr({h}, {a}, {n})" for a, n in cuts) + " || '>'"
 
     text = "body"
-    for pattern, by in warc.STEPS:
+    for pattern, by in (*warc.TAG_STEPS, *((f"&{n};", sign) for n, sign in warc.REFERENCES),
+                        *warc.LINE_STEPS):
         text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if by == chr(10) else quoted(by)}, 'g')"
     size = "octet_length(encode(body))::VARCHAR"
     head = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")

@@ -27,18 +27,17 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"),
               ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("euro", "€"),
               ("amp", "&"))
-# Turning a page into text, step by step: pattern and replacement.
-STEPS = (
+# Turning a page into text, step by step: pattern and replacement before and after the character
+# references are replaced.
+TAG_STEPS = (
     (r"(?is)<!--.*?-->", ""),
     (r"(?is)<(?:script|style|title|noscript)[^>]*>.*?</(?:script|style|title|noscript)[ ]*>", ""),
     (r"[\x09-\x0D\x20]+", " "),
     (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main"
      r"|form|blockquote|pre|br|hr)\b[^>]*>", "\n"),
     (r"<[a-zA-Z/!?][^>]*(?:>|$)", ""),
-    *((f"&{name};", sign) for name, sign in REFERENCES),
-    (r" *\n[ \n]*", "\n"),
-    (r"^\n+|\n+$", ""),
 )
+LINE_STEPS = ((r" *\n[ \n]*", "\n"), (r"^\n+|\n+$", ""))
 NAMED = {"WARC-Record-ID": "record_id", "WARC-Type": "kind", "WARC-Target-URI": "target_uri",
          "WARC-Date": "date", "WARC-Refers-To": "refers_to",
          "WARC-Concurrent-To": "concurrent_to", "Content-Type": "content_type",
@@ -47,16 +46,17 @@ NAMED = {"WARC-Record-ID": "record_id", "WARC-Type": "kind", "WARC-Target-URI":
 
 def digest(data: Column) -> Column:
     """``sha1:`` and the SHA-1 of text or bytes in base 32: eight groups of five hex digits."""
-    hexed = F.sha1(data.cast("binary"))
     letters = F.array(*[F.lit(c) for c in BASE32])
 
-    def group(i: Column) -> Column:
-        value = F.conv(F.substring(hexed, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.get(letters, F.shiftright(value, 15 - 5 * k).bitwiseAND(31))
-                          for k in range(4)])
+    def spelled(hexed: Column) -> Column:
+        def group(i: int) -> Column:
+            return F.conv(F.substring(hexed, i * 5 + 1, 5), 16, 10).cast("int")
+        return F.concat(F.lit("sha1:"), *[
+            F.get(letters, F.shiftright(group(i), 15 - 5 * k).bitwiseAND(31))
+            for i in range(8) for k in range(4)])
 
-    return F.concat(F.lit("sha1:"), F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(7)), group), ""))
+    # Inside a lambda the hash is a value, which is computed once.
+    return F.get(F.transform(F.array(F.sha1(data.cast("binary"))), spelled), F.lit(0))
 
 
 def record_id(*parts: Column) -> Column:
@@ -91,7 +91,11 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 def plain_text(page: Column) -> Column:
     """The text of a page: scripts, styles, titles, comments and tags go, blocks become lines."""
     text = page
-    for pattern, by in STEPS:
+    for pattern, by in TAG_STEPS:
+        text = F.regexp_replace(text, pattern, by)
+    for name, sign in REFERENCES:
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
+    for pattern, by in LINE_STEPS:
         text = F.regexp_replace(text, pattern, by)
     return F.trim(text)
 
