@@ -50,8 +50,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] | Mapping[str, flo
     fill = Window.orderBy(F.col("room"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
     onward = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
     base = by_name.rowsBetween(Window.unboundedPreceding, -1)
     # A source without weight takes nothing.
     limited = (sizes.withColumn("weight", weight)
@@ -65,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] | Mapping[str, flo
         / F.sum("weight").over(onward)
     levelled = limited.withColumn("level", F.when(F.sum("weight").over(onward) > 0, level)) \
         .withColumn("level", F.max(F.when(F.col("level") <= F.col("room"), F.col("level")))
-                    .over(whole))
+                    .over(everything))
     target = F.when(F.col("level").isNull() | (F.col("room") < F.col("level")),
                     F.col("most").cast("double")).otherwise(F.col("level") * F.col("weight"))
     return levelled.select("source", "source_size", "source_base", target.alias("target"))
