@@ -32,7 +32,7 @@ REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "
 TAG_STEPS = (
     (r"(?is)<!--.*?-->", ""),
     (r"(?is)<(?:script|style|title|noscript)[^>]*>.*?</(?:script|style|title|noscript)[ ]*>", ""),
-    (r"[\x09-\x0D\x20]+", " "),
+    (r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "),
     (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main"
      r"|form|blockquote|pre|br|hr)\b[^>]*>", "\n"),
     (r"<[a-zA-Z/!?][^>]*(?:>|$)", ""),
