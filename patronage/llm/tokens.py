@@ -31,8 +31,8 @@ SHARD_TOKENS = 1 << 20
 END_ID = 0
 TABLE = 1 << 18
 
-WORD_LIMIT = 3_000_000
-PIECE_BYTES = 2 << 20
+WORD_LIMIT = 1_000_000
+PIECE_BYTES = 1 << 20
 
 # Classes of bytes: letter, digit, other, white space, and bytes the fast path leaves alone.
 _LETTER, _DIGIT, _OTHER, _SPACE, _ALIEN = range(5)
