@@ -76,6 +76,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 2,000 rows unless the session asks for another number.
+
+    A batch stands in the JVM's buffers and in the Python worker at the same time, so that whole
+    texts in batches of the default 10,000 rows take a large part of a small executor.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "2000")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once per application.
 
@@ -100,9 +111,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shipped(query: Callable) -> Callable:
-    """A query, taking the session first, whose tasks find this package."""
+    """A query, taking the session first, whose tasks find this package and take small batches."""
     @functools.wraps(query)
     def run(spark: SparkSession, *args):
         ship_package(spark)
+        smaller_batches(spark)
         return query(spark, *args)
     return run
