@@ -31,7 +31,7 @@ SHARD_TOKENS = 1 << 20
 END_ID = 0
 TABLE = 1 << 18
 
-WORD_LIMIT = 1_000_000
+WORD_LIMIT = 500_000
 PIECE_BYTES = 1 << 20
 
 # Classes of bytes: letter, digit, other, white space, and bytes the fast path leaves alone.
