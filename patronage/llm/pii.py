@@ -2,9 +2,11 @@
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The values found are
 the protected entities. How much a word near an entity discloses is estimated from the corpus:
-with document counts, PMI(term; entity) = log2(N * near(term, entity) / (has(term) * has(entity))),
-and the entity itself carries IC(entity) = log2(N / has(entity)). A term whose PMI reaches a share
-of the IC tells nearly as much as the entity: it is generalised, or removed beyond a second share.
+PMI(term; entity) = log2(p(term | entity) / p(term)), with p(term) = has(term) / N from document
+counts and p(term | entity) from the entity's different contexts, smoothed so that little evidence
+counts less but nothing is left out. The entity itself carries IC(entity) = log2(N / has(entity)).
+A term whose PMI reaches a share of the IC tells nearly as much as the entity: it is generalised, or
+removed beyond a second share.
 
 Everything is built from SQL functions. The patterns are stated with single-character classes only,
 after marking the separators inside numbers and domains, because nested groups would recurse once
@@ -147,28 +149,31 @@ def _mention(text: Column, span: Column) -> Column:
 
 
 def disclosing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame, *,
-                     share: float, least_contexts: int) -> DataFrame:
+                     share: float, least_contexts: int = 1, prior: float = 1.0) -> DataFrame:
     """(entity, term, ratio) for terms whose PMI with an entity reaches ``share`` of its IC.
 
-    ``mentions`` has (rid, entity, context, term), ``holders`` (rid, entity), ``texts`` (text), all
-    documents of the corpus. Evidence is ``least_contexts`` different contexts, so that copies of
-    one text prove nothing. Word counts cover every word of every text and are added up where
-    they stand before they are shuffled.
+    ``mentions`` has (rid, entity, context, term), ``holders`` (rid, entity, context), ``texts``
+    (text), all documents of the corpus. How often a term comes with an entity is counted over the
+    entity's different contexts, so that copies of one text prove nothing, and smoothed with
+    ``prior`` contexts in which the term is as frequent as anywhere: (with + prior * p(term)) /
+    (contexts + prior). One context costs a term one bit of its PMI, ten cost it an eighth of a bit.
+    ``least_contexts`` leaves out terms with fewer contexts. Word counts cover every word of every
+    text and are added up where they stand before they are shuffled.
     """
-    entities = holders.distinct().groupBy("entity").agg(F.count("*").alias("has_entity"))
+    entities = (holders.distinct().groupBy("entity")
+                .agg(F.countDistinct("rid").alias("has_entity"),
+                     F.countDistinct("context").alias("contexts")))
     near = (mentions.groupBy("entity", "term", "context").agg(F.count("*").alias("_n"))
-            .groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-            .filter(F.col("contexts") >= least_contexts))
-    together = (mentions.join(near.select("entity", "term"), ["entity", "term"], "left_semi")
-                .select("rid", "entity", "term").distinct()
-                .groupBy("entity", "term").agg(F.count("*").alias("near")))
+            .groupBy("entity", "term").agg(F.count("*").alias("near"))
+            .filter(F.col("near") >= least_contexts))
     vocabulary = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
         .groupBy("term").agg(F.count("*").alias("has_term")))
     total = texts.agg(F.count("*").cast("double").alias("n")).scalar()
-    rated = (together.join(entities, "entity").join(vocabulary, "term").withColumn("n", total))
+    rated = near.join(entities, "entity").join(vocabulary, "term").withColumn("n", total)
     information = F.log2(F.col("n") / F.col("has_entity"))
-    pmi = F.log2(F.col("n") * F.col("near") / (F.col("has_term") * F.col("has_entity")))
+    anywhere = F.col("has_term") / F.col("n")
+    pmi = F.log2((F.col("near") + prior * anywhere) / (F.col("contexts") + prior) / anywhere)
     return (rated.withColumn("ratio", F.when(information > 0, pmi / information))
             .filter(F.col("ratio") >= share).select("entity", "term", "ratio"))
 
@@ -198,7 +203,7 @@ def _replaced(text: Column, spans: Column, remove: float) -> Column:
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             share: float = 0.8, remove: float = 0.98, least_contexts: int = 3) -> DataFrame:
+             share: float = 0.8, remove: float = 0.98, least_contexts: int = 1) -> DataFrame:
     """Personal data of every whole text.
 
     Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised): counts and
@@ -222,7 +227,8 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.when(has, F.transform("base", lambda s: _mention(F.col("text"), s))).alias("mentions")))
     near = found.filter(F.size("base") > 0).select(
         "rid", "base", F.explode("mentions").alias("m"))
-    holders = near.select("rid", F.col("m.entity").alias("entity"))
+    holders = near.select("rid", F.col("m.entity").alias("entity"),
+                          F.col("m.context").alias("context"))
     words = settle(near.select("rid", "base", F.col("m.entity").alias("entity"),
                                F.col("m.context").alias("context"), F.explode("m.words").alias("w"))
                    .filter(~F.exists("base", lambda s: (s["start"] < F.col("w.end"))

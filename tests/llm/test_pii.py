@@ -128,3 +128,39 @@ def test_odd_rows(odd_docs, no_docs):
     rows = pii.sanitise(odd_docs).collect()
     assert len(rows) == 6 and {r.spans for r in rows} == {""}
     assert pii.sanitise(no_docs).count() == 0
+
+
+def test_entities_with_one_or_two_mentions_are_rated(spark):
+    pick = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
+    texts = [" ".join(pick.choice(words) for _ in range(12)) for _ in range(2000)]
+    # As at sf0.1: hardly any value stands in more than two documents. Names are written in letters.
+    names = ["".join("bcdfghjklm"[int(c)] for c in f"{i:04d}") for i in range(90)]
+    for i, name in enumerate(names):
+        for d in range(i, i + 1 + i % 2):
+            texts[20 * d + i % 7] += f" alpha {name} u{i}@mail.example.com beta"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    rows = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    marked = sum(r.spans.count("term:") for r in rows.values())
+    print(f"{marked} term spans beside {sum(r.n_email for r in rows.values())} pattern spans")
+    assert marked == sum(len(re.findall("|".join(names), t)) for t in texts) == 135
+    for i, text in enumerate(texts):
+        if "@" in text:
+            assert not re.search("|".join(names), rows[i].sanitised)
+            assert "alpha" in rows[i].sanitised
+
+
+def test_copies_are_no_more_evidence_than_one_text(spark):
+    texts = ["alpha beta gamma delta omega"] * 500
+    texts += ["alpha wintermute a@b.example beta"] + ["alpha tessier c@d.example beta"] * 40
+    holders = [(500, "e1", 1)] + [(501 + i, "e2", 2) for i in range(40)]
+    ratio = {r.entity: r.ratio for r in pii.disclosing_terms(
+        spark.createDataFrame([(r, e, c, "wintermute" if e == "e1" else "tessier")
+                               for r, e, c in holders],
+                              "rid bigint, entity string, context bigint, term string"),
+        spark.createDataFrame(holders, "rid bigint, entity string, context bigint"),
+        spark.createDataFrame([(t,) for t in texts], "text string"), share=0.1).collect()}
+    n = len(texts)
+    for e, has in (("e1", 1), ("e2", 40)):
+        assert ratio[e] == pytest.approx(
+            math.log2((1 + has / n) / 2 / (has / n)) / math.log2(n / has))
