@@ -4,7 +4,8 @@ A rolling hash over the last seven bytes decides where chunks end: at block size
 where the hash is b - 1 modulo b. Every chunk becomes one of 64 characters. Block sizes are
 3 * 2**k, so the ends at one size are among those at half of it. A fingerprint is its size, the
 largest that gives at least 32 chunks, and the signatures at one, two, four and eight times that
-size, joined by colons. Two fingerprints are compared at the sizes they have in common.
+size, joined by colons. A signature has all chunks of the text. Two fingerprints are compared at the
+sizes they have in common.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from patronage.session import settle
 
 SMALLEST = 3
 LEAST_CHUNKS = 32
-LONGEST = 64
+WORD_BITS = 64
 LETTERS = np.frombuffer(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 COMMON = 4
@@ -50,10 +51,9 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
 
 
 def _signature(total: np.ndarray, ends: np.ndarray, n: int) -> bytes:
-    """One character per chunk; what is beyond the last place counts into the last chunk."""
+    """One character per chunk, to the end of the text."""
     if not n:
         return b""
-    ends = ends[:LONGEST - 1]
     bounds = np.concatenate([[0], ends + 1, [n]])
     if bounds[-2] == n:
         bounds = bounds[:-1]
@@ -86,42 +86,73 @@ def fingerprint(text: str | None) -> str:
 
 def _codes(signatures: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in signatures], np.int64)
-    codes = np.zeros((len(signatures), LONGEST), np.uint8)
+    codes = np.zeros((len(signatures), WORD_BITS), np.uint8)
     flat = np.frombuffer("".join(signatures).encode(), np.uint8)
-    codes[np.arange(LONGEST) < lengths[:, None]] = flat
+    codes[np.arange(WORD_BITS) < lengths[:, None]] = flat
     return codes, lengths
 
 
-def _runs(codes: np.ndarray, lengths: np.ndarray) -> list[set]:
-    return [{row[i:i + COMMON] for i in range(n - COMMON + 1)}
-            for row, n in zip((c.tobytes() for c in codes), lengths.tolist())]
+def _related(left: str, right: str) -> bool:
+    runs = {left[i:i + COMMON] for i in range(len(left) - COMMON + 1)}
+    return any(right[i:i + COMMON] in runs for i in range(len(right) - COMMON + 1))
 
 
-def signature_likeness(left: list[str], right: list[str]) -> np.ndarray:
-    """1 - edit distance / total length for pairs of signatures, insertions and deletions only.
-
-    The longest common subsequences of all pairs are found together, 64 rows to a machine word.
-    Signatures of at least ``COMMON`` characters without a common run of that length count as
-    unlike; shorter ones only as alike when equal.
-    """
+def _common_short(left: list[str], right: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of all pairs together, for at most 64 characters."""
     a, la = _codes(left)
     b, lb = _codes(right)
     rows = np.arange(len(left))
     masks = np.zeros((len(left), 128), np.uint64)
-    for i in range(LONGEST):
+    for i in range(WORD_BITS):
         here = la > i
         masks[rows[here], a[here, i]] |= np.uint64(1 << i)
     state = np.full(len(left), ~np.uint64(0))
-    for j in range(LONGEST):
+    for j in range(WORD_BITS):
         here = lb > j
         match = np.where(here, masks[rows, b[:, j]], np.uint64(0))
         used = state & match
         state = (state + used) | (state - used)
-    common = np.bitwise_count(~state).astype(np.int64)
-    like = 2 * common / np.maximum(la + lb, 1)
-    related = np.array([bool(x & y) for x, y in zip(_runs(a, la), _runs(b, lb))], bool)
-    equal = np.array([x == y for x, y in zip(left, right)], bool)
-    return np.where(equal, 1.0, np.where(related, np.minimum(like, 1.0), 0.0))
+    return np.bitwise_count(~state).astype(np.int64)
+
+
+def _common_long(left: str, right: str) -> int:
+    """The same for one pair of any length, on one long integer; equal ends are counted at once."""
+    least = min(len(left), len(right))
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in (left, right))
+    unlike = np.flatnonzero(a[:least] != b[:least])
+    ahead = int(unlike[0]) if len(unlike) else least
+    a, b, least = a[ahead:], b[ahead:], least - ahead
+    unlike = np.flatnonzero(a[::-1][:least] != b[::-1][:least])
+    behind = int(unlike[0]) if len(unlike) else least
+    a, b = a[:len(a) - behind], b[:len(b) - behind]
+    masks = {c: int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little")
+             for c in np.unique(a).tolist()}
+    every = (1 << len(a)) - 1
+    state = every
+    for c in b.tolist():
+        used = state & masks.get(c, 0)
+        if used:
+            state = ((state + used) | (state - used)) & every
+    return ahead + behind + len(a) - state.bit_count()
+
+
+def signature_likeness(left: list[str], right: list[str]) -> np.ndarray:
+    """1 - edit distance / total length for pairs of signatures, insertions and deletions only.
+
+    The longest common subsequences of pairs of up to 64 characters are found together, 64 rows to
+    a machine word; longer ones pair by pair. Signatures of at least ``COMMON`` characters without
+    a common run of that length count as unlike; shorter ones only as alike when equal.
+    """
+    like = np.array([float(x == y) for x, y in zip(left, right)])
+    related = [i for i, (x, y) in enumerate(zip(left, right)) if x != y and _related(x, y)]
+    short = [i for i in related if max(len(left[i]), len(right[i])) <= WORD_BITS]
+    common = dict(zip(short, _common_short([left[i] for i in short],
+                                           [right[i] for i in short]).tolist()))
+    for i in related:
+        if i not in common:
+            common[i] = _common_long(left[i], right[i])
+        like[i] = 2 * common[i] / (len(left[i]) + len(right[i]))
+    return like
 
 
 def likeness(left: list[str], right: list[str]) -> np.ndarray:

@@ -73,3 +73,35 @@ def test_odd_rows(odd_docs, no_docs):
     assert fingerprints.fingerprints(no_docs).count() == 0
     alone = fingerprints.fingerprints(odd_docs.filter("source = 't'")).collect()
     assert len(alone) == 1 and alone[0].near_next == 1
+
+
+def test_long_likeness_equals_the_textbook_table():
+    pick = np.random.default_rng(2)
+    left, right = [], []
+    for n in (0, 3, 63, 64, 65, 66, 127, 128, 129, 200, 300):
+        for _ in range(4):
+            a = "".join(pick.choice(list("ABC/"), n))
+            cut = pick.integers(0, n + 1)
+            left.append(a)
+            right.append(a[:cut // 2] + "".join(pick.choice(list("ABx/"), pick.integers(0, 90)))
+                         + a[cut:])
+    for a, b in ((left, right), (right, left)):
+        got = fingerprints.signature_likeness(a, b)
+        assert np.allclose(got, [slow_likeness(x, y) for x, y in zip(a, b)])
+
+
+def test_a_signature_covers_the_whole_text():
+    pick = np.random.default_rng(3)
+    for _ in range(40):  # a phrase whose chosen size has many chunks
+        phrase = "".join(pick.choice(list("abcdefgh "), 40))
+        text = phrase * 400
+        if len(fingerprints.fingerprint(text).split(":")[1]) > 200:
+            break
+    other = " ".join("".join(pick.choice(list("qrstuvwxyz"), 6)) for _ in range(3000))
+    edited = fingerprints.edited_text(text, other)
+    one, two = fingerprints.fingerprint(text), fingerprints.fingerprint(edited)
+    assert len(one.split(":")[1]) > 200
+    mixed = text[:len(text) // 2] + other[:len(text) // 2]
+    ends = fingerprints.fingerprint(mixed + "x"), fingerprints.fingerprint(mixed + "y")
+    assert ends[0] != ends[1]
+    assert fingerprints.likeness([one], [two])[0] < 0.8
