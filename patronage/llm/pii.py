@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. The values found are
-the protected entities. How much a word near an entity discloses is estimated from the corpus:
+the protected entities. How much a word of the same document discloses is estimated from the corpus:
 PMI(term; entity) = log2(p(term | entity) / p(term)), with p(term) = has(term) / N from document
 counts and p(term | entity) from the entity's different contexts, smoothed so that little evidence
 counts less but nothing is left out. The entity itself carries IC(entity) = log2(N / has(entity)).
@@ -29,6 +29,8 @@ EMAIL = (rf"(?:\G|(?<![A-Za-z0-9._%+{_DOT}-]))[A-Za-z0-9._%+{_DOT}-]++@[A-Za-z0-
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9{_JOIN}]{{2,}}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+BLOCK_WORDS = 128
+# A window around a span. Nothing here is limited to it; tests compare with it.
 NEAR_CHARS = 80
 NEAR_WORDS = 5
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
@@ -107,64 +109,57 @@ def entity(span: Column) -> Column:
 _WORD = r"\p{L}{3,}"
 
 
-def _words_at(context: Column, offset: Column) -> Column:
-    """The words of a short context with their positions in the text."""
-    words = F.regexp_extract_all(context, F.lit(_WORD), F.lit(0))
-    gaps = F.split(context, _WORD, -1)
-    kind = "struct<at:bigint,out:array<struct<term:string,start:bigint,end:bigint>>>"
+def text_words(text: Column) -> Column:
+    """The words of a text with their positions, walked in blocks so that no long list is copied."""
+    kind = "array<struct<term:string,start:bigint,end:bigint>>"
+    none = F.array().cast(kind)
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(words, i))
-        word = F.struct(F.lower(F.get(words, i)).alias("term"), start.alias("start"),
-                        end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], word).alias("out")).cast(kind)
+    def walk(cut: Column) -> Column:
+        words, gaps = cut["words"], cut["gaps"]
 
-    begin = F.struct(offset.alias("at"), F.array().alias("out")).cast(kind)
-    none = F.array().cast("array<struct<term:string,start:bigint,end:bigint>>")
-    return F.when(F.size(words) > 0, F.aggregate(
-        F.sequence(F.lit(0), F.size(words) - 1), begin, step, lambda s: s["out"])).otherwise(none)
+        def step(state: Column, i: Column) -> Column:
+            start = state["at"] + F.length(F.get(gaps, i))
+            end = start + F.length(F.get(words, i))
+            word = F.struct(F.lower(F.get(words, i)).alias("term"), start.alias("start"),
+                            end.alias("end"))
+            return F.struct(end.alias("at"), F.array_append(state["out"], word).alias("out")).cast(
+                f"struct<at:bigint,out:{kind}>")
 
+        def block(state: Column, first: Column) -> Column:
+            last = F.least(first + (BLOCK_WORDS - 1), F.size(words) - 1)
+            begin = F.struct(state["at"].alias("at"), none.alias("out"))
+            return F.aggregate(F.sequence(first, last), begin, step, lambda s: F.struct(
+                s["at"].alias("at"), F.array_append(state["out"], s["out"]).alias("out")).cast(
+                f"struct<at:bigint,out:array<{kind}>>"))
 
-def _mention(text: Column, span: Column) -> Column:
-    """(entity, context hash, words): the words next to a span on either side.
+        begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{kind}>")
+                         .alias("out"))
+        return F.when(F.size(words) > 0, F.aggregate(
+            F.sequence(F.lit(0), F.size(words) - 1, F.lit(BLOCK_WORDS)), begin, block,
+            lambda s: F.flatten(s["out"]))).otherwise(none)
 
-    A word cut off by the window's edge is left out with the characters up to the first gap.
-    """
-    left_from = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    left = F.substring(text, left_from + 1, span["start"] - left_from)
-    cut = F.when(left_from > 0, F.length(F.regexp_extract(left, r"^\p{L}+", 0))).otherwise(F.lit(0))
-    left = F.substring(left, cut + 1, F.lit(NEAR_CHARS))
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS)),
-                             r"^(?s)(.{79}\p{L})$", "$1")
-    after = _words_at(right, span["end"])
-    # The last word of a full window may go on behind it.
-    after = F.filter(after, lambda w: w["end"] < span["end"] + NEAR_CHARS)
-    before = _words_at(left, left_from + cut)
-    near = F.concat(F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)),
-                            F.lit(NEAR_WORDS)), F.slice(after, 1, NEAR_WORDS))
-    return F.struct(entity(span).alias("entity"),
-                    F.xxhash64(F.array_join(F.transform(near, lambda w: w["term"]), " "))
-                    .alias("context"), near.alias("words"))
+    # Inside a lambda the cut text is a value, which is computed once.
+    cut = F.struct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("words"),
+                   F.split(text, _WORD, -1).alias("gaps"))
+    return F.get(F.transform(F.array(cut), walk), F.lit(0))
 
 
 def disclosing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame, *,
                      share: float, least_contexts: int = 1, prior: float = 1.0) -> DataFrame:
     """(entity, term, ratio) for terms whose PMI with an entity reaches ``share`` of its IC.
 
-    ``mentions`` has (rid, entity, context, term), ``holders`` (rid, entity, context), ``texts``
-    (text), all documents of the corpus. How often a term comes with an entity is counted over the
+    ``mentions`` has (entity, term), a row for every different context of the entity that has the
+    term, ``holders`` (rid, entity, context), ``texts`` (text), all documents of the corpus. How often a term comes with an entity is counted over the
     entity's different contexts, so that copies of one text prove nothing, and smoothed with
     ``prior`` contexts in which the term is as frequent as anywhere: (with + prior * p(term)) /
     (contexts + prior). One context costs a term one bit of its PMI, ten cost it an eighth of a bit.
-    ``least_contexts`` leaves out terms with fewer contexts. Word counts cover every word of every
-    text and are added up where they stand before they are shuffled.
+    ``least_contexts`` leaves out terms with fewer contexts. Counts are added up where the words stand before
+    they are shuffled.
     """
     entities = (holders.distinct().groupBy("entity")
                 .agg(F.countDistinct("rid").alias("has_entity"),
                      F.countDistinct("context").alias("contexts")))
-    near = (mentions.groupBy("entity", "term", "context").agg(F.count("*").alias("_n"))
-            .groupBy("entity", "term").agg(F.count("*").alias("near"))
+    near = (mentions.groupBy("entity", "term").agg(F.count("*").alias("near"))
             .filter(F.col("near") >= least_contexts))
     vocabulary = (texts.select(F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
@@ -209,9 +204,10 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised): counts and
     digest of the pattern spans, all spans as ``kind:start:end`` by start and kind, and the text
     with its spans replaced by their kind, or null if there are none. Terms of kind ``term`` are
-    words next to an entity that disclose it (see ``disclosing_terms``); from a ratio of ``remove``
-    they are taken out instead of generalised. They are marked where they stand next to the
-    entity and overlap no pattern span.
+    words that disclose an entity (see ``disclosing_terms``); from a ratio of ``remove`` they are
+    taken out instead of generalised. All words of a document that holds the entity are counted,
+    and marked wherever they stand in it, unless they overlap a pattern span. Documents without
+    pattern spans stay as they are.
 
     A null text is an empty one: no spans, and the digest of the empty string. Rows that repeat an
     id, and rows without one, are treated one by one. An empty table gives an empty result. Other
@@ -221,22 +217,29 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spotted = texts.withColumn("base", pattern_spans(F.col("text")))
     has = F.size("base") > 0
+    outside = F.filter(text_words(F.col("text")), lambda w: ~F.exists(
+        "base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     found = settle(spotted.select(
         F.monotonically_increasing_id().alias("rid"), "doc_id", "base",
-        F.when(has, F.col("text")).alias("text"),
-        F.when(has, F.transform("base", lambda s: _mention(F.col("text"), s))).alias("mentions")))
-    near = found.filter(F.size("base") > 0).select(
-        "rid", "base", F.explode("mentions").alias("m"))
-    holders = near.select("rid", F.col("m.entity").alias("entity"),
-                          F.col("m.context").alias("context"))
-    words = settle(near.select("rid", "base", F.col("m.entity").alias("entity"),
-                               F.col("m.context").alias("context"), F.explode("m.words").alias("w"))
-                   .filter(~F.exists("base", lambda s: (s["start"] < F.col("w.end"))
-                                     & (F.col("w.start") < s["end"])))
-                   .select("rid", "entity", "context", "w.term", "w.start", "w.end"))
-    telling = disclosing_terms(words, holders, texts, share=share, least_contexts=least_contexts)
-    marked = (words.join(telling, ["entity", "term"]).groupBy("rid", "start", "end")
-              .agg(F.max("ratio").alias("ratio")).groupBy("rid")
+        F.when(has, F.col("text")).alias("text"), F.when(has, outside).alias("words")))
+    private = found.filter(F.size("base") > 0)
+    held = private.select(
+        "rid", F.xxhash64(F.array_join(F.col("words.term"), " ")).alias("context"),
+        F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    # Entities of the same documents have the same ratios and are rated as one, so that a document
+    # with many entities of its own is not counted once for each.
+    alike = held.groupBy("entity").agg(F.xxhash64(
+        F.count("*"), F.bit_xor(F.xxhash64("rid")), F.min("rid")).alias("class"))
+    holders = settle(held.join(alike, "entity")
+                     .select("rid", F.col("class").alias("entity"), "context").distinct())
+    once = holders.groupBy("entity", "context").agg(F.min("rid").alias("rid"))
+    terms = private.select("rid", F.array_distinct("words.term").alias("terms"))
+    mentions = once.join(terms, "rid").select("entity", F.explode("terms").alias("term"))
+    telling = disclosing_terms(mentions, holders, texts, share=share, least_contexts=least_contexts)
+    rated = (holders.join(telling, "entity").groupBy("rid", "term")
+             .agg(F.max("ratio").alias("ratio")))
+    marked = (private.select("rid", F.explode("words").alias("w")).select("rid", "w.*")
+              .join(rated, ["rid", "term"]).groupBy("rid")
               .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio"))
                    .alias("terms")))
     plain = F.transform("base", lambda s: F.struct(

@@ -155,12 +155,26 @@ def test_copies_are_no_more_evidence_than_one_text(spark):
     texts += ["alpha wintermute a@b.example beta"] + ["alpha tessier c@d.example beta"] * 40
     holders = [(500, "e1", 1)] + [(501 + i, "e2", 2) for i in range(40)]
     ratio = {r.entity: r.ratio for r in pii.disclosing_terms(
-        spark.createDataFrame([(r, e, c, "wintermute" if e == "e1" else "tessier")
-                               for r, e, c in holders],
-                              "rid bigint, entity string, context bigint, term string"),
+        spark.createDataFrame([("e1", "wintermute"), ("e2", "tessier")],
+                              "entity string, term string"),
         spark.createDataFrame(holders, "rid bigint, entity string, context bigint"),
         spark.createDataFrame([(t,) for t in texts], "text string"), share=0.1).collect()}
     n = len(texts)
     for e, has in (("e1", 1), ("e2", 40)):
         assert ratio[e] == pytest.approx(
             math.log2((1 + has / n) / 2 / (has / n)) / math.log2(n / has))
+
+
+def test_terms_far_from_their_entity_are_marked(spark):
+    pick = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
+    texts = [" ".join(pick.choice(words) for _ in range(400)) for _ in range(300)]
+    for i in range(0, 300, 60):
+        texts[i] = f"Wintermute, {texts[i]} mm@neuro.example.com {texts[i + 1]} écOLE wintermute"
+    texts[7] = "Dear Wintermute " + texts[7]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    for r in pii.sanitise(df).collect():
+        text = texts[r.doc_id]
+        terms = [(m.start(), 4, m.end()) for m in re.finditer("(?i)wintermute|école", text)]
+        assert r.spans == (listed(base_spans(text) + terms) if "@" in text else "")
+        assert r.sanitised is None or not re.search("(?i)wintermute|école", r.sanitised)
