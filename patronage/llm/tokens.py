@@ -52,14 +52,16 @@ class _Encoder:
     with a space before it) and single white-space characters; each is encoded alone. For texts of
     ASCII and the Latin letters of U+00C0 to U+00FF without apostrophes and without wider white
     space that cut follows from byte classes, so every distinct word is encoded once and found
-    again by a 64-bit hash and its length. All other texts are encoded as they are.
+    again by a 64-bit hash and its length. All other texts, and those that hold one of the
+    vocabulary's added tokens, are encoded as they are.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode()
+                      for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -97,6 +99,12 @@ class _Encoder:
         odd = kind == _ALIEN
         odd[1:] |= space[1:] & space[:-1] & ~first[1:-1]
         text_odd = np.diff(np.concatenate([[0], np.cumsum(odd)])[bounds]) > 0
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                text_odd[np.searchsorted(bounds, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
         begins = first[:-1] | space
         begins[1:] |= kind[1:] != kind[:-1]
         # A single space before another character of its text belongs to the word it precedes.
@@ -114,7 +122,6 @@ class _Encoder:
         if len(self.keys):
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
         if not known.all():
-            raw = data.tobytes()
             new = np.flatnonzero(~known)
             at = sample[new]
             self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(

@@ -77,3 +77,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     path = os.path.join(tempfile.mkdtemp(), "t")
     tokens.write_tokens(no_docs, path, TOKENIZER)
     assert tokens.read_tokens(spark, path).count() == 0
+
+
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = ["alpha beta", "", "a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>y z",
+             "<|endoftext", "|>", "plain words <|endoftext|>", "it's <|endoftext|>"]
+    got = [g.tolist() for g in tokens.encode_column(TOKENIZER, pa.array(texts, pa.string()))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50_256 in got[2]
