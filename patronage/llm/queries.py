@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, html, language, minhash, mixing, pii, quality, tokens, warc)
+    decontaminate, fingerprints, html, language, minhash, mixing, periodic, pii, quality, tokens,
+    warc)
 from patronage.llm.texts import table
 from patronage.session import durable_root, shipped
 
@@ -80,10 +81,26 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(pages, html.learn(pages))
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic.planted(table(spark, folder, "documents"))
+    found = periodic.periodic_runs(docs, least=12, collapsed="sha256")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]), F.lit("\n")))
+    return found.withColumn("_longest", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("_longest.before")).alias("start"), F.col("_longest.length").alias("length"),
+        (-F.col("_longest.short")).alias("period"),
+        F.expr("(1000 * _longest.length) div -_longest.short").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.col("collapsed").alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output,
     op5_pii_sanitise, op6_warc_derivatives, op7_decontaminate, op8_fingerprint, op9_language_id,
-    op10_html_extract)}
+    op10_html_extract, op12_periodic_runs)}
 
 
 def _warc_sql() -> str:
