@@ -188,7 +188,7 @@ def intervals(words: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
     first = 1
     while len(sizes) and max(least, 2 * first) <= sizes.max():
         step, reach = _step(first, least), max(2 * first, least)
-        core = max(TILE_WORDS, 4 * first) // step * step
+        core = max(TILE_WORDS, 4 * first, 2 * least) // step * step
         some = np.flatnonzero((sizes >= max(least, 2 * first)) & (sizes <= core))
         low, high = bounds[some], bounds[some + 1]
         tile, period, start, end = solve_tiles(shared, low, high, low, high, first, least)
