@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import (
-    decontaminate, fingerprints, html, language, minhash, mixing, periodic, pii, quality, tokens,
-    warc)
+    alignment, decontaminate, fingerprints, html, language, minhash, mixing, neighbours,
+    periodic, pii, quality, tokens, warc)
 from patronage.llm.texts import table
 from patronage.session import durable_root, shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -81,6 +82,13 @@ def op10_html_extract(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(pages, html.learn(pages))
 
 
+def op11_align_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "alignments")
+    alignment.write_alignments(table(spark, folder, "documents"), path, TOKENIZER, PIECES)
+    return alignment.read_alignments(spark, path, groups="sha256").withColumnRenamed(
+        "groups", "groups_sha256")
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     docs = periodic.planted(table(spark, folder, "documents"))
     found = periodic.periodic_runs(docs, least=12, collapsed="sha256")
@@ -97,10 +105,15 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("collapsed").alias("collapsed_sha256"))
 
 
+def op13_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op1_mix_sources, op2_minhash_near_dedup, op3_quality_grades, op4_token_output,
     op5_pii_sanitise, op6_warc_derivatives, op7_decontaminate, op8_fingerprint, op9_language_id,
-    op10_html_extract, op12_periodic_runs)}
+    op10_html_extract, op11_align_tokens, op12_periodic_runs,
+    op13_nearest_vectors)}
 
 
 def _warc_sql() -> str:
