@@ -7,10 +7,10 @@ side that it overlaps. Of these pairs the links are those that also end together
 Alignments are written as a table of chunks of about ``CHUNK_LINKS`` links, in which a document
 stays whole: ``ids`` and ``n_*`` per document; ``a`` and ``b`` the token ids of all of them, as
 little-endian unsigned integers of ``width`` bytes; ``a_last`` and ``b_last`` one bit a token, set
-where the token is the last of its side in its group; ``pairs`` (a << 32 | b, ascending) and
-``times`` the linked pairs of the chunk and how often each occurs. Pairs are counted over the corpus
-from the chunks' own counts, so a pair that occurs everywhere is one row a chunk, and the counts
-return to a chunk as one list as long as ``pairs``.
+where the token is the last of its side in its group; these four as zstandard frames; ``pairs``
+(a << 32 | b, ascending) and ``times`` the linked pairs of the chunk and how often each occurs. Pairs
+are counted over the corpus from the chunks' own counts, so a pair that occurs everywhere is one row
+a chunk, and the counts return to a chunk as one list as long as ``pairs``.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,13 +161,21 @@ def _aligned(vocabulary: _Vocabularies, data: np.ndarray, bounds: np.ndarray) ->
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _spread(frame: pa.Scalar, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(frame.as_py()), kind)
+
+
 def _chunk(number: int, width: int, ids: list, parts: list[dict]) -> dict:
     joined = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
     pairs, times = np.unique(joined["pairs"], return_counts=True)
     return ({"chunk": number, "width": width, "ids": ids}
             | {k: joined[k].tolist() for k in _COUNTS}
-            | {k: joined[k].astype(f"<u{width}").tobytes() for k in ("a", "b")}
-            | {k: np.packbits(joined[k]).tobytes() for k in ("a_last", "b_last")}
+            | {k: _squeezed(joined[k].astype(f"<u{width}")) for k in ("a", "b")}
+            | {k: _squeezed(np.packbits(joined[k])) for k in ("a_last", "b_last")}
             | {"pairs": pairs.tolist(), "times": times.tolist()})
 
 
@@ -263,13 +272,13 @@ def _scorer(schema: pa.Schema, form: str) -> Callable:
                 n_a, n_b, n_groups, n_links = (row[k].values.to_numpy() for k in _COUNTS)
                 kind = f"<u{row['width'].as_py()}"
                 names = names or _names(row["width"].as_py())
-                a, b = (np.frombuffer(row[k].as_py(), kind).astype(np.int64) for k in ("a", "b"))
-                a_last, b_last = (np.unpackbits(
-                    np.frombuffer(row[k + "_last"].as_py(), np.uint8), count=len(ids)).astype(bool)
-                    for k, ids in (("a", a), ("b", b)))
-                # A text's tokens are contiguous on both sides, so what ends together ends a group.
+                a, b = (_spread(row[k], kind).astype(np.int64) for k in ("a", "b"))
+                a_last, b_last = (np.unpackbits(_spread(row[k + "_last"], "u1"), count=len(ids))
+                                  .astype(bool) for k, ids in (("a", a), ("b", b)))
+                # A text's tokens are contiguous on both sides, so what ends together ends a group;
+                # the counts are in the order of the chunk's pairs.
                 pairs = a[a_last] << 32 | b[b_last]
-                place = np.searchsorted(row["pairs"].values.to_numpy(), pairs)
+                place = np.unique(pairs, return_inverse=True)[1]
                 n = row["n"].values.to_numpy()[place] if len(pairs) else pairs
                 best = np.array(row["best"].values.to_pylist(), np.int64)[place] if len(pairs) else pairs
                 texts = _written(names, a, a_last, b, b_last, n_a, n_b)
@@ -299,7 +308,7 @@ def read_alignments(spark: SparkSession, path: str, *, groups: str = "text",
                                       .alias("c"))
                 .select("chunk", F.col("c.n").alias("n"), F.col("c.best").alias("best")))
     none = F.array()
-    rows = chunks.drop("times").join(returned, "chunk", "left").drop("chunk").withColumns({
+    rows = chunks.drop("pairs", "times").join(returned, "chunk", "left").drop("chunk").withColumns({
         "n": F.coalesce("n", none.cast("array<bigint>")),
         "best": F.coalesce("best", none.cast("array<boolean>"))})
     id_type = chunks.schema["ids"].dataType.elementType.simpleString()
