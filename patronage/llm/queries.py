@@ -54,13 +54,17 @@ def op5_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
-    path = fresh_folder(spark, "warc")
-    warc.write_warc(warc.responses(table(spark, folder, "pages")), path)
-    made = warc.derivatives(warc.read_warc(spark, path))
-    return made.select(
-        F.col("extra")["X-Page-ID"].cast("bigint").alias("page_id"), "record_id", "kind",
-        "target_uri", "date", "refers_to", "concurrent_to", "content_type", "block",
-        "block_digest", "payload_digest")
+    pages = table(spark, folder, "pages")
+    sources, made = fresh_folder(spark, "warc"), fresh_folder(spark, "warc-derivatives")
+    warc.write_warc(warc.responses(pages), sources)
+    warc.write_warc(warc.derivatives(warc.read_warc(spark, sources)), made)
+    extra = F.col("extra")
+    return warc.read_warc(spark, made).select(
+        extra["X-Page-ID"].try_cast(pages.schema["page_id"].dataType).alias("page_id"), "record_id",
+        "kind", "target_uri", "date", "refers_to",
+        extra["WARC-Refers-To-Target-URI"].alias("refers_to_target_uri"),
+        extra["WARC-Refers-To-Date"].alias("refers_to_date"), "concurrent_to", "content_type",
+        "block", "block_digest", "payload_digest")
 
 
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,6 +120,21 @@ QUERIES: dict[str, Query] = {f.__name__: shipped(f) for f in (
     op13_nearest_vectors)}
 
 
+# How SQL turns a page into text, step by step. Of character references it knows only those that the
+# given pages hold; a test holds the others against the standard library.
+_TAG_STEPS = (
+    (r"(?is)<!--.*?-->", ""),
+    (r"(?is)<(?:script|style|title|noscript)[^>]*>.*?</(?:script|style|title|noscript)[ ]*>", ""),
+    (r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "),
+    (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main"
+     r"|form|blockquote|pre|br|hr)\b[^>]*>", "\n"),
+    (r"<[a-zA-Z/!?][^>]*(?:>|$)", ""),
+)
+_REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"),
+               ("middot", "·"), ("amp", "&"))
+_LINE_STEPS = ((r" *\n[ \n]*", "\n"), (r"^\n+|\n+$", ""))
+
+
 def _warc_sql() -> str:
     """The derivatives of ``op6_warc_derivatives`` from the pages themselves."""
     def quoted(text: str) -> str:
@@ -137,8 +156,7 @@ def _warc_sql() -> str:
             f"substr({h}, {a}, {n})" for a, n in cuts) + " || '>'"
 
     text = "body"
-    for pattern, by in (*warc.TAG_STEPS, *((f"&{n};", sign) for n, sign in warc.REFERENCES),
-                        *warc.LINE_STEPS):
+    for pattern, by in (*_TAG_STEPS, *((f"&{n};", sign) for n, sign in _REFERENCES), *_LINE_STEPS):
         text = f"regexp_replace({text}, {quoted(pattern)}, {'chr(10)' if by == chr(10) else quoted(by)}, 'g')"
     size = "octet_length(encode(body))::VARCHAR"
     head = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ")
@@ -159,7 +177,8 @@ made AS (
   UNION ALL
   SELECT *, 'conversion', 'text/plain; charset=utf-8', trim({text}) FROM signed)
 SELECT page_id, {record_id("kind", "source_id")} AS record_id, kind, url AS target_uri,
-       '2024-01-01T00:00:00Z' AS date, source_id AS refers_to,
+       '2024-01-01T00:00:00Z' AS date, source_id AS refers_to, url AS refers_to_target_uri,
+       CASE WHEN url IS NOT NULL THEN '2024-01-01T00:00:00Z' END AS refers_to_date,
        CASE WHEN kind = 'metadata' THEN source_id END AS concurrent_to, content_type, block,
        {digest("block")} AS block_digest, payload_digest
 FROM made"""

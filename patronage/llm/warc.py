@@ -3,7 +3,7 @@
 A record is a row (record_id, kind, target_uri, date, refers_to, concurrent_to, content_type, block,
 block_digest, payload_digest, extra), with ``extra`` holding any other named fields. Derivatives of a
 response are a metadata record about it and a conversion record with its plain text, both of which
-name it by id, address and date. They are built from SQL functions.
+name it by id, address and date.
 
 Files are written by Spark's text writer, one record after the other; the two line breaks that end a
 record are the writer's separator. They are read in pieces that begin with the version line, one
@@ -12,32 +12,31 @@ piece at a time, and a block with such a line of its own is put together again b
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import html
+import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 VERSION = "WARC/1.1"
 BREAK = "\r\n"
 END = BREAK + BREAK
-# The alphabet of base 32, and character references with a meaning in plain text.
+# Fixed value: the alphabet of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-REFERENCES = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("copy", "©"),
-              ("middot", "·"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"), ("euro", "€"),
-              ("amp", "&"))
-# Turning a page into text, step by step: pattern and replacement before and after the character
-# references are replaced.
-TAG_STEPS = (
-    (r"(?is)<!--.*?-->", ""),
-    (r"(?is)<(?:script|style|title|noscript)[^>]*>.*?</(?:script|style|title|noscript)[ ]*>", ""),
-    (r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "),
-    (r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main"
-     r"|form|blockquote|pre|br|hr)\b[^>]*>", "\n"),
-    (r"<[a-zA-Z/!?][^>]*(?:>|$)", ""),
-)
-LINE_STEPS = ((r" *\n[ \n]*", "\n"), (r"^\n+|\n+$", ""))
+# What a page loses whole, what separates its lines, and what else is markup.
+_HIDDEN = re.compile(r"<!--.*?-->|<(?:script|style|title|noscript)[^>]*>.*?"
+                     r"</(?:script|style|title|noscript) *>", re.I | re.S)
+_WHITE = re.compile(r"[\t-\r ]{2,}|[\t-\r]")
+_TAG = re.compile(r"(</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside"
+                  r"|main|form|blockquote|pre|br|hr)\b[^>]*>)|<[a-z/!?][^>]*(?:>|$)", re.I | re.A)
+_LINES = re.compile(r" *\n[ \n]*")
+BATCH_BYTES = 4 << 20
 NAMED = {"WARC-Record-ID": "record_id", "WARC-Type": "kind", "WARC-Target-URI": "target_uri",
          "WARC-Date": "date", "WARC-Refers-To": "refers_to",
          "WARC-Concurrent-To": "concurrent_to", "Content-Type": "content_type",
@@ -84,30 +83,78 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         F.lit(None).cast("string").alias("concurrent_to"),
         F.lit("application/http;msgtype=response").alias("content_type"), block.alias("block"),
         digest(block).alias("block_digest"), digest(body).alias("payload_digest"),
-        F.create_map(F.lit("X-Page-ID"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-        .alias("extra"))
+        F.when(F.col(id_col).isNotNull(), F.create_map(
+            F.lit("X-Page-ID"), F.col(id_col).cast("string")))
+        .otherwise(F.create_map().cast("map<string,string>")).alias("extra"))
 
 
-def plain_text(page: Column) -> Column:
-    """The text of a page: scripts, styles, titles, comments and tags go, blocks become lines."""
-    text = page
-    for pattern, by in TAG_STEPS:
-        text = F.regexp_replace(text, pattern, by)
-    for name, sign in REFERENCES:
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(sign))
-    for pattern, by in LINE_STEPS:
-        text = F.regexp_replace(text, pattern, by)
-    return F.trim(text)
+def plain_text(page: str) -> str:
+    """The text of a page: scripts, styles, titles, comments and tags go, blocks become lines.
 
-
-def http_head(block: Column) -> Column:
-    return F.substring_index(block, END, 1)
-
-
-def http_body(block: Column) -> Column:
-    """What follows the first empty line; empty without one."""
-    at = F.instr(block, END)
-    return F.when(at > 0, F.substring(block, at + 4, F.length(block))).otherwise(F.lit(""))
+    Character references, named or by number, become the characters they stand for, and a space that
+    does not break becomes a plain one.
+    """
+    text = _WHITE.sub(" ", _HIDDEN.sub("", page))
+    text = _TAG.sub(lambda tag: "\n" if tag.group(1) else "", text)
+    if "&" in text:
+        text = html.unescape(text).replace("\xa0", " ")
+    return _LINES.sub("\n", text).strip("\n").strip(" ")
+
+
+def _digest(data: str) -> str:
+    return "sha1:" + base64.b32encode(hashlib.sha1(data.encode()).digest()).decode()
+
+
+def _derived_id(kind: str, source: str | None) -> str:
+    h = hashlib.md5("\n".join((kind, "-" if source is None else source)).encode()).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+
+def _derived(source: dict) -> Iterator[dict]:
+    """The metadata and the conversion record of one response."""
+    head, _, body = (source["block"] or "").partition(END)
+    status, *headers = head.split(BREAK)
+    fields = [f"http-status: {status}", *(f"http-header: {h}" for h in headers),
+              f"source-block-digest: {source['block_digest'] or '-'}",
+              f"source-payload-digest: {source['payload_digest'] or '-'}",
+              f"source-payload-length: {len(body.encode())}", ""]
+    uri, date, name = source["target_uri"], source["date"], source["record_id"]
+    extra = dict(source["extra"] or ())
+    if uri is not None:
+        extra |= {"WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date}
+    for kind, content_type, block in (
+            ("metadata", "application/warc-fields", BREAK.join(fields)),
+            ("conversion", "text/plain; charset=utf-8", plain_text(body))):
+        yield {"record_id": _derived_id(kind, name), "kind": kind, "target_uri": uri, "date": date,
+               "refers_to": name, "concurrent_to": name if kind == "metadata" else None,
+               "content_type": content_type, "block": block, "block_digest": _digest(block),
+               "payload_digest": source["payload_digest"], "extra": list(extra.items())}
+
+
+def _batched(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row["block"])
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+RECORD = ", ".join([*(f"{c} string" for c in NAMED.values()), "extra map<string,string>",
+                    "block string"])
+_ORDER = ["record_id", "kind", "target_uri", "date", "refers_to", "concurrent_to", "content_type",
+          "block", "block_digest", "payload_digest", "extra"]
+
+
+def _deriver(schema: pa.Schema) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
+        yield from _batched((d for s in sources for d in _derived(s)), schema)
+    return run
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -118,49 +165,17 @@ def derivatives(records: DataFrame) -> DataFrame:
     also when it is empty. Both refer to the response by id, address and date; ids depend on the
     response's id alone, so derivatives can be built again. Null blocks count as empty; repeated
     responses give repeated derivatives; without records the result is empty. Columns other than
-    those of a record are not looked at.
+    those of a record are not looked at. A task holds a few megabytes of blocks, or one longer block.
     """
-    block = F.coalesce(F.col("block"), F.lit(""))
+    out = records.sparkSession.createDataFrame([], RECORD).schema
     source = records.filter("kind = 'response'").select(
-        F.col("record_id").alias("source_id"), "target_uri", F.col("date").alias("source_date"),
-        "extra", block.alias("source_block"), F.col("block_digest").alias("source_block_digest"),
-        F.col("payload_digest").alias("source_payload_digest"))
-    head = F.split(http_head(F.col("source_block")), BREAK)
-    fields = F.array_join(F.concat(
-        F.array(F.concat(F.lit("http-status: "), F.get(head, F.lit(0)))),
-        F.transform(F.slice(head, 2, F.greatest(F.size(head) - 1, F.lit(0))),
-                    lambda h: F.concat(F.lit("http-header: "), h)),
-        F.array(F.concat(F.lit("source-block-digest: "),
-                         F.coalesce("source_block_digest", F.lit("-"))),
-                F.concat(F.lit("source-payload-digest: "),
-                         F.coalesce("source_payload_digest", F.lit("-"))),
-                F.concat(F.lit("source-payload-length: "),
-                         F.octet_length(http_body(F.col("source_block"))).cast("string")))), BREAK)
-    text = plain_text(http_body(F.col("source_block")))
-    kinds = F.array(
-        F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"),
-                 F.concat(fields, F.lit(BREAK)).alias("block")),
-        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"),
-                 text.alias("block")))
-    made = source.select("*", F.explode(kinds).alias("d"))
-    refers = F.col("source_id")
-    return made.select(
-        record_id(F.col("d.kind"), F.col("source_id")).alias("record_id"),
-        F.col("d.kind").alias("kind"), "target_uri", F.col("source_date").alias("date"),
-        refers.alias("refers_to"),
-        F.when(F.col("d.kind") == "metadata", refers).alias("concurrent_to"),
-        F.col("d.type").alias("content_type"), F.col("d.block").alias("block"),
-        digest(F.col("d.block")).alias("block_digest"),
-        F.col("source_payload_digest").alias("payload_digest"),
-        F.map_concat("extra", F.when(
-            F.col("target_uri").isNotNull(),
-            F.create_map(F.lit("WARC-Refers-To-Target-URI"), F.col("target_uri"),
-                         F.lit("WARC-Refers-To-Date"), F.col("source_date")))
-            .otherwise(F.create_map().cast("map<string,string>"))).alias("extra"))
-
-
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC text; fields that are null are left out."""
+        "record_id", "target_uri", "date", "block", "block_digest", "payload_digest", "extra")
+    return source.mapInArrow(_deriver(to_arrow_schema(out)), out).select(*_ORDER)
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip",
+               level: str = "BEST_SPEED") -> None:
+    """Write records as WARC text; fields that are null are left out. ``level`` is that of gzip."""
     named = [F.concat(F.lit(f"{name}: "), F.col(column)) for name, column in NAMED.items()]
     others = F.transform(F.map_entries("extra"),
                          lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
@@ -168,7 +183,8 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     length = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))
     lines = F.array_compact(F.concat(F.array(F.lit(VERSION), *named), others, F.array(length)))
     (records.select(F.concat(F.array_join(lines, BREAK), F.lit(END), block).alias("value"))
-     .write.option("lineSep", END).option("compression", compression).text(path))
+     .write.option("lineSep", END).option("compression", compression)
+     .option("zlib.compress.level", level).text(path))
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -239,26 +255,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     compressed file is read by one task, a plain one may be split, and a block with a version line
     just where it is split is incomplete.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    out = spark.createDataFrame([], ", ".join(
-        [f"{c} string" for c in NAMED.values()]
-        + ["extra map<string,string>", "block string", "complete boolean"])).schema
+    out = spark.createDataFrame([], RECORD + ", complete boolean").schema
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = (v.as_py() for batch in batches for v in batch.column(0))
-        rows: list[dict] = []
-        size = 0
-        for row in _whole_records(pieces):
-            rows.append(row)
-            size += len(row["block"])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        yield from _batched(_whole_records(v.as_py() for batch in batches for v in batch.column(0)),
+                            schema)
 
     raw = spark.read.option("lineSep", f"{VERSION}{BREAK}").text(path)
     return (raw.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, out)
-            .select("record_id", "kind", "target_uri", "date", "refers_to", "concurrent_to",
-                    "content_type", "block", "block_digest", "payload_digest", "extra", "complete"))
+            .select(*_ORDER, "complete"))

@@ -2,12 +2,13 @@ import base64
 import glob
 import gzip
 import hashlib
+import html
 import os
 import tempfile
 
 import pytest
 
-from patronage.llm import warc
+from patronage.llm import queries, warc
 
 PAGES = [(1, "http://a/1", "<html><title>t</title><body><p>Hello &amp; <b>bye</b></p><p>two</p></body>"),
          (2, "http://a/2", ""), (3, None, None), (4, "http://é/", "ü\r\n\r\nWARC\r\n\r\nx"),
@@ -112,3 +113,34 @@ def test_nothing(spark, pages):
     warc.write_warc(none, path)
     assert warc.read_warc(spark, path).count() == 0
     assert warc.derivatives(warc.responses(pages).withColumn("kind", warc.F.lit("request"))).count() == 0
+
+
+def test_all_references_are_decoded():
+    names = sorted(html.entities.html5)
+    for name in names:
+        want = html.unescape(f"a&{name}b").replace("\xa0", " ")
+        if not set(want) & set("\n\t "):
+            assert warc.plain_text(f"<p>a&{name}b</p>") == want, name
+    assert warc.plain_text("<i>caf&eacute; &#8217;s &#x27;x&#X27; &amp;lt; AT&T &unknown; &#169;") == \
+        "café ’s 'x' &lt; AT&T &unknown; ©"
+    assert warc.plain_text("a&nbsp;b") == "a b" and warc.plain_text("&lt;b&gt;") == "<b>"
+
+
+def test_query_with_and_without_ids(spark, pages, monkeypatch):
+    """Both kinds come back from their own files, also for a page without an id or address."""
+    monkeypatch.setattr(queries, "table", lambda *_: pages)
+    got = queries.op6_warc_derivatives(spark, "").collect()
+    assert len(got) == 2 * len(PAGES) and {r.page_id for r in got} == {None, 1, 2, 3, 4}
+    for r in got:
+        url = r.target_uri
+        assert (r.refers_to_target_uri, r.refers_to_date) == (
+            (url, "2024-01-01T00:00:00Z") if url else (None, None))
+        assert r.block_digest == sha(r.block)
+    texts = {r.page_id: r.block for r in got if r.kind == "conversion"}
+    assert texts[None] == "n" + "y" * 50_000 and texts[4] == "ü WARC x"
+    named = spark.createDataFrame([("seven", "u", "<p>x"), ("", "v", "y")],
+                                  "page_id string, url string, html string")
+    monkeypatch.setattr(queries, "table", lambda *_: named)
+    assert {r.page_id for r in queries.op6_warc_derivatives(spark, "").collect()} == {"seven", ""}
+    monkeypatch.setattr(queries, "table", lambda *_: named.limit(0))
+    assert queries.op6_warc_derivatives(spark, "").collect() == []
