@@ -13,6 +13,7 @@ piece at a time, and a block with such a line of its own is put together again b
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import html
 import re
@@ -32,10 +33,10 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # What a page loses whole, what separates its lines, and what else is markup.
 _HIDDEN = re.compile(r"<!--.*?-->|<(?:script|style|title|noscript)[^>]*>.*?"
                      r"</(?:script|style|title|noscript) *>", re.I | re.S)
-_WHITE = re.compile(r"[\t-\r ]{2,}|[\t-\r]")
-_TAG = re.compile(r"(</?(?:p|div|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside"
-                  r"|main|form|blockquote|pre|br|hr)\b[^>]*>)|<[a-z/!?][^>]*(?:>|$)", re.I | re.A)
-_LINES = re.compile(r" *\n[ \n]*")
+_BLOCKS = frozenset(
+    "p div h1 h2 h3 h4 h5 h6 li ul ol table tr td th article section header footer nav aside main form "
+    "blockquote pre br hr".split())
+_NAME = re.compile(r"/?(\w+)", re.A)
 BATCH_BYTES = 4 << 20
 NAMED = {"WARC-Record-ID": "record_id", "WARC-Type": "kind", "WARC-Target-URI": "target_uri",
          "WARC-Date": "date", "WARC-Refers-To": "refers_to",
@@ -88,17 +89,41 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         .otherwise(F.create_map().cast("map<string,string>")).alias("extra"))
 
 
+@functools.lru_cache(4096)
+def _tag_text(tag: str) -> str:
+    """What stands for a tag, without its angle brackets: a line break or nothing."""
+    name = _NAME.match(tag)
+    return "\n" if name and name.group(1).lower() in _BLOCKS else ""
+
+
+def _without_tags(text: str) -> str:
+    """``text`` with tags gone; an angle bracket that begins no tag stays, an open tag ends the text."""
+    first, *rest = text.split("<")
+    out, held = [first], ""
+    for part in rest:
+        if not held and not (part and (part[0].isascii() and part[0].isalpha() or part[0] in "/!?")):
+            out += ("<", part)
+            continue
+        held = f"{held}<{part}" if held else part
+        tag, closed, after = held.partition(">")
+        if closed:
+            out += (_tag_text(tag), after)
+            held = ""
+    return "".join(out)
+
+
 def plain_text(page: str) -> str:
     """The text of a page: scripts, styles, titles, comments and tags go, blocks become lines.
 
-    Character references, named or by number, become the characters they stand for, and a space that
-    does not break becomes a plain one.
+    White space becomes one space, lines without text go. Character references, named or by number,
+    become the characters they stand for, and a space that does not break becomes a plain one.
     """
-    text = _WHITE.sub(" ", _HIDDEN.sub("", page))
-    text = _TAG.sub(lambda tag: "\n" if tag.group(1) else "", text)
+    # Bytes are split at the white space of ASCII only.
+    text = b" ".join(_HIDDEN.sub("", page).encode().split()).decode()
+    text = _without_tags(text)
     if "&" in text:
         text = html.unescape(text).replace("\xa0", " ")
-    return _LINES.sub("\n", text).strip("\n").strip(" ")
+    return "\n".join(x for x in (line.strip(" ") for line in text.split("\n")) if x)
 
 
 def _digest(data: str) -> str:
@@ -152,8 +177,8 @@ _ORDER = ["record_id", "kind", "target_uri", "date", "refers_to", "concurrent_to
 
 def _deriver(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sources = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(batch.num_rows))
-        yield from _batched((d for s in sources for d in _derived(s)), schema)
+        yield from _batched((d for batch in batches for s in batch.to_pylist() for d in _derived(s)),
+                            schema)
     return run
 
 

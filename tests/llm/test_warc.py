@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import html
 import os
+import random
+import re
 import tempfile
 
 import pytest
@@ -126,6 +128,30 @@ def test_all_references_are_decoded():
     assert warc.plain_text("a&nbsp;b") == "a b" and warc.plain_text("&lt;b&gt;") == "<b>"
 
 
+def by_patterns(page):
+    """The text of a page by the patterns that the SQL uses, tags in the order of the page."""
+    for pattern, by in queries._TAG_STEPS[:3]:
+        page = re.sub(pattern, by, page)
+    (lines, _), (others, _) = queries._TAG_STEPS[3:]
+    page = re.sub(f"({lines.removeprefix('(?i)')})|{others}", lambda m: "\n" if m.group(1) else "", page,
+                  flags=re.I | re.A)
+    page = html.unescape(page).replace("\xa0", " ")
+    for pattern, by in queries._LINE_STEPS:
+        page = re.sub(pattern, by, page)
+    return page.strip(" ")
+
+
+def test_text_equals_a_chain_of_patterns(spark):
+    pick = random.Random(4)
+    parts = ["<p>", "</p>", "<P class='x>y'>", "<b>", "</b >", "<br/>", "<p-x>", "< b", "<", ">", "a < b", "&lt;",
+             "&amp;lt;", "text", "more text ", "\n", "\t ", "<!-- c <p> -->", "<script>if (a<b) x</script>",
+             "<style >s</style>", "<title>t</title>", "<h2>", "</h2>", "<h7>", "<!doctype html>", "<?x?>",
+             "<a href='", "&#10;", "é", "\u2003", "\x1c", "<td", "</div>", "</", "</1>", "<é>"]
+    for _ in range(3000):
+        page = "".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))
+        assert warc.plain_text(page) == by_patterns(page), page
+
+
 def test_query_with_and_without_ids(spark, pages, monkeypatch):
     """Both kinds come back from their own files, also for a page without an id or address."""
     monkeypatch.setattr(queries, "table", lambda *_: pages)
