@@ -5,12 +5,13 @@ have a token border, and a group of tokens ends. Inside a group each token meets
 side that it overlaps. Of these pairs the links are those that also end together.
 
 Alignments are written as a table of chunks of about ``CHUNK_LINKS`` links, in which a document
-stays whole: ``ids`` and ``n_*`` per document; ``a`` and ``b`` the token ids of all of them, as
-little-endian unsigned integers of ``width`` bytes; ``a_last`` and ``b_last`` one bit a token, set
-where the token is the last of its side in its group; these four as zstandard frames; ``pairs``
-(a << 32 | b, ascending) and ``times`` the linked pairs of the chunk and how often each occurs. Pairs
-are counted over the corpus from the chunks' own counts, so a pair that occurs everywhere is one row
-a chunk, and the counts return to a chunk as one list as long as ``pairs``.
+stays whole: ``ids``, ``n_*`` and the checksum of the groups per document; ``a`` and ``b`` the token
+ids of all of them, as little-endian unsigned integers of ``width`` bytes; ``a_last`` and ``b_last``
+one bit a token, set where the token is the last of its side in its group; ``pairs`` (a << 32 | b,
+ascending) and ``times`` the linked pairs of the chunk and how often each occurs; ``places`` the place
+of each link's pair among them, in 4 bytes. Ids, bits and places are zstandard frames. Pairs are
+counted over the corpus from the chunks' own counts, so a pair that occurs everywhere is one row a
+chunk, and the counts return to a chunk as one list as long as ``pairs``; tokens are not moved for it.
 """
 
 from __future__ import annotations
@@ -79,7 +80,9 @@ class _Vocabularies:
         pieces_ = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = _Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i)
                                else p.replace("▁", " ").encode() for i, p in pieces_])
-        self.width = 2 if max(len(self.a_bytes.length), len(self.b_bytes.length)) <= 1 << 16 else 4
+        largest = max(len(self.a_bytes.length), len(self.b_bytes.length))
+        self.width = 2 if largest <= 1 << 16 else 4
+        self.names = _names(largest)
 
 
 def _vocabulary(a_path: str, b_path: str) -> _Vocabularies:
@@ -133,6 +136,30 @@ def overlaps(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end:
     return np.repeat(np.arange(len(a_start)), met), ragged(first, met)
 
 
+def _names(largest: int) -> list[str]:
+    """What is written for a token: its id and the sign after it, by side and place in its group."""
+    ids = [str(i) for i in range(largest)]
+    return [i + sign for sign in ",|;" for i in ids]
+
+
+def _written(names: list[str], a: np.ndarray, a_last: np.ndarray, b: np.ndarray, b_last: np.ndarray,
+             n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
+    """Every text's groups as ``a1,a2|b1;a3|b2,b3``."""
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    a_before = np.concatenate([[0], np.cumsum(np.bincount(a_group))])  # a tokens up to a group
+    b_before = np.concatenate([[0], np.cumsum(np.bincount(b_group))])
+    code, third = np.empty(len(a) + len(b), np.int64), len(names) // 3
+    code[np.arange(len(a)) + b_before[a_group]] = a + third * a_last
+    code[np.arange(len(b)) + a_before[b_group + 1]] = b + 2 * third * b_last
+    cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+    shown = list(map(names.__getitem__, code.tolist()))
+    return ["".join(shown[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
+
+
+def _digest(groups: str) -> str:
+    return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+
+
 def _aligned(vocabulary: _Vocabularies, data: np.ndarray, bounds: np.ndarray) -> dict:
     """Tokens, groups and links of the texts of one piece, flat, with counts per text."""
     n = len(bounds) - 1
@@ -153,7 +180,8 @@ def _aligned(vocabulary: _Vocabularies, data: np.ndarray, bounds: np.ndarray) ->
     left, right = left[together], right[together]
     a_last, b_last = (np.diff(g, append=g[-1:] + 1) != 0 for g in (a_group, b_group))
     text_of = np.repeat(np.arange(n), n_a)
-    return {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(text_of[a_last], minlength=n),
+    shown = _written(vocabulary.names, a, a_last, b, b_last, n_a, n_b)
+    return {"digests": np.array([_digest(t) for t in shown], object), "n_a": n_a, "n_b": n_b, "n_groups": np.bincount(text_of[a_last], minlength=n),
             "n_links": np.bincount(text_of[left], minlength=n), "a": a, "b": b, "a_last": a_last,
             "b_last": b_last, "pairs": a[left] << 32 | b[right]}
 
@@ -171,12 +199,13 @@ def _spread(frame: pa.Scalar, kind: str) -> np.ndarray:
 
 def _chunk(number: int, width: int, ids: list, parts: list[dict]) -> dict:
     joined = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-    pairs, times = np.unique(joined["pairs"], return_counts=True)
+    pairs, places, times = np.unique(joined["pairs"], return_inverse=True, return_counts=True)
     return ({"chunk": number, "width": width, "ids": ids}
             | {k: joined[k].tolist() for k in _COUNTS}
             | {k: _squeezed(joined[k].astype(f"<u{width}")) for k in ("a", "b")}
             | {k: _squeezed(np.packbits(joined[k])) for k in ("a_last", "b_last")}
-            | {"pairs": pairs.tolist(), "times": times.tolist()})
+            | {"pairs": pairs.tolist(), "times": times.tolist(), "digests": joined["digests"].tolist(),
+               "places": _squeezed(places.astype("<u4"))})
 
 
 def _writer(schema: pa.Schema, a_path: str, b_path: str) -> Callable:
@@ -223,7 +252,7 @@ def write_alignments(docs: DataFrame, path: str, a_path: str, b_path: str, *,
     shape = (f"chunk bigint, width int, ids array<{kept.schema['id'].dataType.simpleString()}>, "
              + ", ".join(f"{k} array<bigint>" for k in _COUNTS)
              + ", a binary, b binary, a_last binary, b_last binary, pairs array<bigint>, "
-             "times array<bigint>")
+             "times array<bigint>, digests array<string>, places binary")
     kept.mapInArrow(_writer(_arrow(docs.sparkSession, shape), a_path, b_path), shape) \
         .write.parquet(path)
 
@@ -243,51 +272,29 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
         "pair", "n", (F.col("n") == F.col("_most")).alias("best"))
 
 
-def _names(width: int) -> list[str]:
-    """What is written for a token: its id and the sign after it, by side and place in its group."""
-    ids = [str(i) for i in range(1 << 8 * width)]
-    return [i + sign for sign in ",|;" for i in ids]
-
-
-def _written(names: list[str], a: np.ndarray, a_last: np.ndarray, b: np.ndarray, b_last: np.ndarray,
-             n_a: np.ndarray, n_b: np.ndarray) -> list[str]:
-    """Every text's groups as ``a1,a2|b1;a3|b2,b3``."""
-    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
-    a_before = np.concatenate([[0], np.cumsum(np.bincount(a_group))])  # a tokens up to a group
-    b_before = np.concatenate([[0], np.cumsum(np.bincount(b_group))])
-    code, third = np.empty(len(a) + len(b), np.int64), len(names) // 3
-    code[np.arange(len(a)) + b_before[a_group]] = a + third * a_last
-    code[np.arange(len(b)) + a_before[b_group + 1]] = b + 2 * third * b_last
-    cuts = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
-    shown = list(map(names.__getitem__, code.tolist()))
-    return ["".join(shown[x:y])[:-1] for x, y in zip(cuts, cuts[1:])]
+def _texts(row: dict) -> list[str]:
+    kind = f"<u{row['width'].as_py()}"
+    a, b = (_spread(row[k], kind).astype(np.int64) for k in ("a", "b"))
+    a_last, b_last = (np.unpackbits(_spread(row[k + "_last"], "u1"), count=len(ids)).astype(bool)
+                      for k, ids in (("a", a), ("b", b)))
+    n_a, n_b = (row[k].values.to_numpy() for k in ("n_a", "n_b"))
+    largest = int(max(a.max(initial=0), b.max(initial=0))) + 1
+    return _written(_names(largest), a, a_last, b, b_last, n_a, n_b)
 
 
-def _scorer(schema: pa.Schema, form: str) -> Callable:
+def _scorer(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[str] = []
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {k: batch.column(i)[at] for i, k in enumerate(batch.schema.names)}
-                n_a, n_b, n_groups, n_links = (row[k].values.to_numpy() for k in _COUNTS)
-                kind = f"<u{row['width'].as_py()}"
-                names = names or _names(row["width"].as_py())
-                a, b = (_spread(row[k], kind).astype(np.int64) for k in ("a", "b"))
-                a_last, b_last = (np.unpackbits(_spread(row[k + "_last"], "u1"), count=len(ids))
-                                  .astype(bool) for k, ids in (("a", a), ("b", b)))
-                # A text's tokens are contiguous on both sides, so what ends together ends a group;
-                # the counts are in the order of the chunk's pairs.
-                pairs = a[a_last] << 32 | b[b_last]
-                place = np.unique(pairs, return_inverse=True)[1]
-                n = row["n"].values.to_numpy()[place] if len(pairs) else pairs
-                best = np.array(row["best"].values.to_pylist(), np.int64)[place] if len(pairs) else pairs
-                texts = _written(names, a, a_last, b, b_last, n_a, n_b)
-                if form == "sha256":
-                    texts = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                place = _spread(row["places"], "<u4")
+                n = row["n"].values.to_numpy()[place] if len(place) else np.empty(0, np.int64)
+                best = np.array(row["best"].values.to_pylist(), np.int64)[place]
+                n_links = row["n_links"].values.to_numpy()
+                groups = pa.array(_texts(row), pa.string()) if "a" in row else row["digests"].values
                 yield pa.RecordBatch.from_arrays(
-                    [row["ids"].values, *map(pa.array, (n_a, n_b, n_groups, n_links,
-                                                        _sums(best, n_links), _sums(n, n_links))),
-                     pa.array(texts, pa.string())], schema=schema)
+                    [row["ids"].values, *(row[k].values for k in _COUNTS),
+                     pa.array(_sums(best, n_links)), pa.array(_sums(n, n_links)), groups], schema=schema)
     return run
 
 
@@ -308,10 +315,12 @@ def read_alignments(spark: SparkSession, path: str, *, groups: str = "text",
                                       .alias("c"))
                 .select("chunk", F.col("c.n").alias("n"), F.col("c.best").alias("best")))
     none = F.array()
-    rows = chunks.drop("pairs", "times").join(returned, "chunk", "left").drop("chunk").withColumns({
-        "n": F.coalesce("n", none.cast("array<bigint>")),
-        "best": F.coalesce("best", none.cast("array<boolean>"))})
+    tokens = ["width", "a", "b", "a_last", "b_last"] if groups == "text" else ["digests"]
+    rows = chunks.select("chunk", "ids", *_COUNTS, "places", *tokens) \
+        .join(returned, "chunk", "left").drop("chunk").withColumns({
+            "n": F.coalesce("n", none.cast("array<bigint>")),
+            "best": F.coalesce("best", none.cast("array<boolean>"))})
     id_type = chunks.schema["ids"].dataType.elementType.simpleString()
     shape = (f"`{id_col}` {id_type}, " + ", ".join(f"{k} bigint" for k in _COUNTS)
              + ", n_best bigint, count_sum bigint, groups string")
-    return rows.mapInArrow(_scorer(_arrow(spark, shape), groups), shape)
+    return rows.mapInArrow(_scorer(_arrow(spark, shape)), shape)
