@@ -12,6 +12,14 @@ neighbours of each other. From that:
   and two crowded cells are split into ever smaller boxes until they are decided.
 
 So a cell holding a third of all rows costs work linear in its rows, spread over many tasks.
+
+Which cells can be near each other is found in one of two ways with the same result. With few
+features the neighbours of a cell are enumerated on the grid. Their number grows with a power of the
+features, so beyond ``GRID_FEATURES`` cells are treated as balls in a metric space: each belongs to
+the nearest of some pivots, is copied to the pivots that a ball within reach could belong to, and
+meets there only balls whose distance to that pivot is about its own. The distances to the first
+pivots rule out most of these pairs, the boxes the rest. That work depends on how many points are
+near each other, not on the number of features.
 """
 
 from __future__ import annotations
@@ -19,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +42,13 @@ MAX_HOT_CELLS = 20_000
 CHUNK_ROWS = 4_096
 # Two cells with at most this many point pairs are compared directly, larger ones are split.
 DIRECT_PAIRS = 10_000
+# The neighbours of a cell are enumerated on the grid up to this many features.
+GRID_FEATURES = 5
+# Pivots of the metric partitions, chosen among this many cells, and how many of their distances are
+# compared before the boxes.
+MOST_PIVOTS = 96
+PIVOT_SAMPLE = 4_000
+LEADING_PIVOTS = 6
 # Splitting is exact at any depth; past this depth points are nearly identical.
 MAX_SPLITS = 24
 
@@ -160,6 +176,104 @@ class _Grid:
         sides = [f"{p}_{s}{j}" for p in "ab" for j in range(d) for s in ("lo", "hi")]
         return settle(boxed.filter(gap <= limit).select("a", "b", "a_n", "b_n", *sides))
 
+    def _sides(self, p: str) -> list[str]:
+        return [f"{p}_{s}{j}" for j in range(self.d) for s in ("lo", "hi")]
+
+    def _boxed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose boxes are within eps, with counts and boxes."""
+        def side(p: str) -> DataFrame:
+            return self.cells.select(F.col("cell").alias(p), F.col("n").alias(f"{p}_n"), *[
+                F.col(f"{s}{j}").alias(f"{p}_{s}{j}") for j in range(self.d) for s in ("lo", "hi")])
+
+        boxed = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        return settle(boxed.filter(self._gap2() <= F.lit(self.eps2)).select(
+            "a", "b", "a_n", "b_n", *self._sides("a"), *self._sides("b")))
+
+    def _gap2(self) -> Column:
+        return _box_gap2(self.d, _named("a_lo"), _named("a_hi"), _named("b_lo"), _named("b_hi"))
+
+    def balls(self) -> DataFrame:
+        """Each cell as a ball (middle, radius) with its distances to all pivots and the nearest one.
+
+        The pivots lie far from each other: each is the cell of a bounded sample that is farthest
+        from those before it. The sample and the pivots are all that the driver sees.
+        """
+        d = self.d
+        middle = F.array(*[(F.col(f"lo{j}") + F.col(f"hi{j}")) / 2 for j in range(d)])
+        radius = F.sqrt(_sum([(F.col(f"hi{j}") - F.col(f"lo{j}")) * (F.col(f"hi{j}") - F.col(f"lo{j}"))
+                              for j in range(d)])) / 2
+        cells = self.cells.withColumns({"middle": middle, "radius": radius})
+        seen = np.array([r["middle"] for r in cells.orderBy(F.xxhash64("cell"), "cell").limit(
+            PIVOT_SAMPLE).select("middle").collect()])
+        chosen = [0]
+        left = np.sqrt(((seen - seen[0]) ** 2).sum(1)) if len(seen) else np.empty(0)
+        wanted = min(MOST_PIVOTS, max(LEADING_PIVOTS, math.isqrt(len(seen))))
+        while len(chosen) < wanted and len(left) and left.max() > 0:
+            chosen.append(int(left.argmax()))
+            left = np.minimum(left, np.sqrt(((seen - seen[chosen[-1]]) ** 2).sum(1)))
+        pivots = F.array(*[F.array(*[F.lit(float(x)) for x in seen[i]]) for i in chosen]) \
+            if len(seen) else F.array(middle)
+        away = F.transform(pivots, lambda p: F.sqrt(F.aggregate(
+            F.zip_with(p, "middle", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)))
+        out = settle(cells.drop(*[f"c{j}" for j in range(d)]).withColumn("away", away))
+        return out.withColumn("home", (F.array_position("away", F.array_min("away")) - 1).cast("int")) \
+            .withColumns({f"away{k}": F.coalesce(F.get("away", k), F.lit(0.0))
+                          for k in range(LEADING_PIVOTS)})
+
+    def met_balls(self) -> DataFrame:
+        """Unordered pairs (a, b) of cells that meet in a partition, not yet compared.
+
+        If two middles are within w of each other, their distances to a pivot differ by w at most,
+        and neither is farther from the other's pivot than from its own by more than 2 w. So a ball
+        copied to every pivot within that margin meets all balls that live there and are within
+        reach. It is copied only to pivots before its own, which finds each pair once.
+        """
+        balls = self.balls()
+        widest = balls.agg(F.max("radius")).first()[0] or 0.0
+        reach = (self.eps + 2 * widest) * (1 + 1e-9)
+        own_reach = (F.lit(self.eps + widest) + F.col("radius")) * F.lit(1 + 1e-9)
+        facts = ["cell", "radius", *[f"away{k}" for k in range(LEADING_PIVOTS)],
+                 *[f"{s}{j}" for j in range(self.d) for s in ("lo", "hi")]]
+
+        def ring(x: Column) -> Column:
+            return F.floor(x / F.lit(reach)).cast("bigint")
+
+        living = balls.select(*facts, F.col("home").alias("part"),
+                              ring(F.get("away", F.col("home"))).alias("ring"))
+        # Partitions with many balls are cut into chunks, each of which meets all copies. There are
+        # fewer than MAX_HOT_CELLS of them.
+        rows = living.groupBy("part", "ring").agg(F.count("*").alias("here"))
+        total = living.count()
+        hot = rows.filter(F.col("here") > max(CHUNK_ROWS, total // MAX_HOT_CELLS)).select(
+            "part", "ring", self._chunks(F.col("here")).alias("chunks"))
+
+        def chunked(df: DataFrame, salt) -> DataFrame:
+            n = F.coalesce("chunks", F.lit(1).cast("bigint"))
+            return df.join(F.broadcast(hot), ["part", "ring"], "left").withColumn(
+                "salt", salt(n)).drop("chunks")
+
+        living = chunked(living, lambda n: F.pmod(F.xxhash64("cell"), n))
+        margin = 2 * own_reach
+        copies = balls.select(*facts, "home", F.posexplode(F.slice(
+            "away", 1, F.col("home") + 1)).alias("part", "far"), F.get("away", F.col("home")).alias("_own"))
+        copies = copies.filter(F.col("far") - F.col("_own") <= margin).withColumn(
+            "ring", F.explode(F.sequence(ring(F.greatest(F.col("far") - own_reach, F.lit(0.0))),
+                                         ring(F.col("far") + own_reach))))
+        copies = chunked(copies, lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+        a = living.select("part", "ring", "salt", *[F.col(c).alias(f"a_{c}") for c in facts])
+        b = copies.select("part", "ring", "salt", "home", *[F.col(c).alias(f"b_{c}") for c in facts])
+        return a.join(b, ["part", "ring", "salt"]).filter(
+            (F.col("home") > F.col("part")) | (F.col("a_cell") < F.col("b_cell")))
+
+    def near_balls(self) -> DataFrame:
+        """What ``near_cells`` gives, found by pivots."""
+        bound = (F.lit(self.eps) + F.col("a_radius") + F.col("b_radius")) * F.lit(1 + 1e-9)
+        met = self.met_balls()
+        for k in range(LEADING_PIVOTS):
+            met = met.filter(F.abs(F.col(f"a_away{k}") - F.col(f"b_away{k}")) <= bound)
+        return self._boxed(met.filter(self._gap2() <= F.lit(self.eps2)).select(
+            F.col("a_cell").alias("a"), F.col("b_cell").alias("b")))
+
     def _toward(self, pairs: DataFrame) -> DataFrame:
         """Both directions of the pairs as (cell, target, target count, target box)."""
         def end(src: str, dst: str) -> Column:
@@ -285,10 +399,11 @@ def _cell_edges(grid: _Grid, near: DataFrame, core: DataFrame, core_cells: DataF
 
 
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
-           min_samples: int = 5, scale: bool = True) -> DataFrame:
+           min_samples: int = 5, scale: bool = True, pivots: bool | None = None) -> DataFrame:
     """Key, features, ``cluster`` and ``is_core``; cluster -1 marks noise.
 
-    Features are standardised first unless ``scale`` is off. Clusters are numbered from 0 by
+    Features are standardised first unless ``scale`` is off. Near cells are found by ``pivots`` or on
+    the grid; unless stated, by the number of features. Clusters are numbered from 0 by
     their smallest core key; a border point joins the lowest-numbered cluster that reaches it.
     """
     features = list(features)
@@ -297,7 +412,8 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     scaled = standard_scale(data, features) if scale else data
     grid = _Grid(scaled.select(F.col(key).alias("_id"), *[
         F.col(f"`{c}`").alias(f"x{j}") for j, c in enumerate(features)]), d, eps, min_samples)
-    near = grid.near_cells()
+    by_pivots = d > GRID_FEATURES if pivots is None else pivots
+    near = grid.near_balls() if by_pivots else grid.near_cells()
     flagged = grid.flag_core(near)
     core = flagged.filter("is_core")
     core_cells = settle(core.groupBy("cell").agg(

@@ -17,6 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from patronage.operators import boosting
 from patronage.operators.labels import with_class_weight
 
 MODEL_NAMES = {
@@ -25,6 +26,8 @@ MODEL_NAMES = {
     "gbt": "Gradient Boosting (level-wise)",
     "gbt_sampled": "Gradient Boosting (sampled)",
     "mlp": "Neural Network",
+    "boosted": "Second-Order Boosting (level-wise)",
+    "boosted_leaf": "Second-Order Boosting (leaf-wise)",
 }
 
 
@@ -75,12 +78,30 @@ def fit_perceptron(train: DataFrame, features: Sequence[str], label: str = "chur
         maxIter=max_iter, seed=seed), train, features)
 
 
+def fit_second_order(train: DataFrame, features: Sequence[str], label: str = "churn",
+                     rounds: int = 100, max_depth: int = 6, rate: float = 0.1,
+                     **options) -> boosting.Booster:
+    """Boosted trees from first and second derivatives, grown level by level."""
+    return boosting.fit(train, features, label, rounds=rounds, max_depth=max_depth, rate=rate,
+                        **options)
+
+
+def fit_leaf_wise(train: DataFrame, features: Sequence[str], label: str = "churn",
+                  rounds: int = 100, leaves: int = 31, rate: float = 0.1,
+                  **options) -> boosting.Booster:
+    """The same, grown leaf by leaf, without L2 and with at least 20 rows in a leaf."""
+    return boosting.fit(train, features, label, rounds=rounds, leaves=leaves, rate=rate,
+                        **{"l2": 0.0, "least_weight": 1e-3, "least_rows": 20, **options})
+
+
 FITS = {
     "lr": fit_logistic,
     "rf": fit_forest,
     "gbt": fit_boosting,
     "gbt_sampled": lambda train, features, **kw: fit_boosting(train, features, sampled=True, **kw),
     "mlp": fit_perceptron,
+    "boosted": fit_second_order,
+    "boosted_leaf": fit_leaf_wise,
 }
 
 

@@ -12,16 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage import roles
-from patronage.functions.calendar import parsed_timestamp
+from patronage.functions.calendar import parsed_timestamp, period_start
 from patronage.functions.numeric import half_even
-from patronage.functions.stats import equal_width_histogram
+from patronage.functions.stats import equal_width_histogram, one_row
 from patronage.operators import (
-    customers as customer_ops, explain, features, forecast, labels, metrics, models, prepare,
-    products as product_ops, profile, risk, sales, segments)
+    boosting, changepoints, customers as customer_ops, explain, features, forecast, labels, metrics,
+    models, prepare, products as product_ops, profile, risk, sales, segments, sketches)
 from patronage.operators.dbscan import dbscan
 from patronage.plans import churn_run, testdata as td
 from patronage.plans.feature_table import engineered, processed_features
-from patronage.session import settle
+from patronage.session import fresh_path, settle
+from patronage.sources.buckets import write_bucketed
+from patronage.sources.checked import read_checked
+from patronage.streaming import recency
 from patronage.streaming.kpis import windowed_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,14 +465,35 @@ QUERIES["churn_rf"] = _scored("rf", balanced=True)
 QUERIES["churn_gbt"] = _scored("gbt", rounds=20)
 QUERIES["churn_gbt_sampled"] = _scored("gbt_sampled", rounds=20)
 QUERIES["churn_mlp"] = _scored("mlp")
+QUERIES["churn_boosted"] = _scored("boosted", rounds=20, max_depth=4)
+QUERIES["churn_boosted_leaf"] = _scored("boosted_leaf", rounds=10, leaves=8)
+
+# Stated cuts, so that the gains have a checkable result.
+GAIN_EDGES = {"purchase_frequency": [2, 5, 8, 10, 12, 15, 20],
+              "days_since_last_purchase": [160, 200, 300, 500, 900],
+              "avg_transaction_value": [100_000, 130_000, 150_000, 170_000, 200_000]}
+
+
+@query
+def boosting_split_gains(spark, d):
+    """The gain of every first cut of a boosted tree that predicts a negative balance."""
+    rfm = _rfm(spark, d).withColumn("y", (F.col("balance") < 0).cast("double"))
+    share = one_row(rfm.agg(F.avg("y").alias("p")))["p"]
+    rows = boosting.binned(rfm, GAIN_EDGES, [F.lit(0).alias("node"), (share - F.col("y")).alias("g"),
+                                             (share * (1 - share)).alias("h")])
+    gains = boosting.split_gains(boosting.histograms(settle(rows)))
+    return _six(gains.drop("node"), "gain", "g_left", "h_left", "g_right", "h_right")
 
 
 @query
 def model_comparison(spark, d):
-    """Weighted test metrics of a linear, a tree and a network model."""
+    """Weighted test metrics of all five kinds of model: linear, forest, both boostings, network."""
     table, names = _prepared(spark, d)
     runs = [churn_run.train(table, names, "lr", max_iter=100),
-            churn_run.train(table, names, "rf", trees=20), churn_run.train(table, names, "mlp")]
+            churn_run.train(table, names, "rf", trees=20),
+            churn_run.train(table, names, "boosted", rounds=5, max_depth=4),
+            churn_run.train(table, names, "boosted_leaf", rounds=5, leaves=6),
+            churn_run.train(table, names, "mlp")]
     return metrics.metrics_table({r.name: r.confusion() for r in runs})
 
 
@@ -567,6 +591,15 @@ def dbscan_clusters(spark, d):
     return _anomalies(spark, d).select("customer_id", "cluster")
 
 
+@query
+def dbscan_all_features(spark, d):
+    """Anomalies over every numeric column of the feature table, twelve of them."""
+    table = settle(_processed(spark, d))
+    names = [c for c in table.columns if c != "customer_id"]
+    found = dbscan(table, "customer_id", names, eps=1.25, min_samples=5, scale=False)
+    return found.select("customer_id", "cluster", "is_core")
+
+
 @query
 def anomaly_summary(spark, d):
     return segments.anomaly_summary(_anomalies(spark, d))
@@ -635,6 +668,35 @@ def forecast_by_product(spark, d):
     return forecast.forecast_table(ahead, by=["product_id"])
 
 
+@query
+def forecast_normal_sums(spark, d):
+    """The sums that a fit with a bending trend solves, by place in the upper triangle."""
+    sums = changepoints.normal_sums(_series("month")(spark, d), changepoints.SHAPES["month"])
+    return _six(sums.select(F.posexplode("products").alias("place", "product")), "product")
+
+
+@query
+def forecast_changepoint(spark, d):
+    ahead = changepoints.forecast(_series("month")(spark, d), "month", 12)
+    return _digits(ahead.drop("is_future", "weekly"), 0, "yhat", "yhat_lower", "yhat_upper", "trend",
+                   "yearly")
+
+
+@query
+def forecast_changepoint_weekly(spark, d):
+    ahead = changepoints.forecast(_series("week")(spark, d), "week", 52)
+    return _digits(ahead.drop("is_future", "weekly"), 0, "yhat", "yhat_lower", "yhat_upper", "trend",
+                   "yearly")
+
+
+@query
+def forecast_changepoint_by_product(spark, d):
+    series = forecast.sales_series(td.sales_lines(spark, d), "month", by=["product_id"])
+    ahead = changepoints.forecast(series, "month", 3, by=["product_id"], changes=6, yearly=2)
+    return _digits(ahead.select("product_id", "ds", "yhat", "yhat_lower", "yhat_upper"), 0, "yhat",
+                   "yhat_lower", "yhat_upper")
+
+
 @query
 def forecast_components(spark, d):
     both = _forecast(spark, d, "month", 12, history=True)[1]
@@ -658,3 +720,59 @@ def forecast_advice(spark, d):
 @query
 def events_kpi_hourly(spark, d):
     return windowed_kpis(td.table(spark, d, "events"), exact=True).drop("window_end")
+
+
+@query
+def customer_stream(spark, d):
+    """The latest figures per customer after all transactions have passed as a stream."""
+    table = td.transactions(spark, d)
+    source = fresh_path(spark, "stream-in")
+    table.write.parquet(source)
+    stream = spark.readStream.schema(table.schema).parquet(source)
+    out, state = fresh_path(spark, "stream-out"), fresh_path(spark, "stream-state")
+    updates = recency.customer_recency(stream, late="36500 days")
+    recency.write_updates(updates, out, state).awaitTermination()
+    return recency.current_customers(spark.read.parquet(out)).drop("is_quiet")
+
+
+# --- growing tables --------------------------------------------------------------------------
+
+@query
+def sales_from_sketches(spark, d):
+    """Quarters rolled up from stored days; distinct customers within 3 % of the exact number."""
+    days = settle(sketches.daily_sketches(td.transactions(spark, d)))
+    exact = td.transactions(spark, d).groupBy(period_start(F.col("date"), "quarter").alias(
+        "period_start")).agg(F.count_distinct("customer_id").alias("_exact"))
+    near = F.abs(F.col("unique_customers") - F.col("_exact")) <= 0.03 * F.col("_exact")
+    return sketches.rolled_up(days, "quarter").join(exact, "period_start").select(
+        "period", "total_revenue", "transaction_count", near.alias("customers_within_3_percent"))
+
+
+@query
+def profile_from_sketches(spark, d):
+    """Figures of the order values from one stored sketch per priority."""
+    stored = settle(sketches.column_sketches(
+        td.table(spark, d, "orders"), ["o_totalprice"], F.col("o_orderpriority")))
+    return _digits(sketches.profile(stored).drop("p25", "p50", "p75"), 2, "mean", "std")
+
+
+@query
+def scan_with_quarantine(spark, d):
+    """Customers written as CSV, every 40th with a broken balance and every 41st cut short, read back."""
+    source, path = td.customers(spark, d), fresh_path(spark, "csv")
+    balance = F.when(F.col("customer_id") % 40 == 0, "unknown").otherwise(F.col("balance").cast("string"))
+    since = F.when(F.col("customer_id") % 7 == 0, "some day").otherwise("2001-05-06")
+    whole = F.concat_ws(",", "customer_id", balance, since)
+    source.select(F.when(F.col("customer_id") % 41 == 0, F.col("customer_id").cast("string"))
+                  .otherwise(whole).alias("customer_id,balance,created_at")) \
+        .write.option("header", True).option("sep", "\x01").csv(path)
+    return read_checked(spark, path, "customer_id bigint, balance double, created_at string").report
+
+
+@query
+def customer_rfm_bucketed(spark, d):
+    """Frequency, spend and recency from tables laid out by customer, without an exchange."""
+    left = write_bucketed(td.customers(spark, d), "patronage_customers", "customer_id", 8)
+    right = write_bucketed(td.transactions(spark, d), "patronage_transactions", "customer_id", 8)
+    return features.customer_rfm(left, right, td.AS_OF).select(
+        "customer_id", "last_purchase_date", *BEHAVIOUR)

@@ -7,6 +7,8 @@ both sides. Queries that fit models have no text.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 AS_OF = "TIMESTAMP '2002-01-01 00:00:00'"
 
 
@@ -240,6 +242,119 @@ summary AS (SELECT *, CASE WHEN g > 5 THEN 'strong' WHEN g > 0 THEN 'mild' ELSE
   AS outlook FROM grown)"""
 
 
+def _bending(series: str, shape, step: str, steps: int, key: str = "", draws: int = 200,
+             seed: int = 42) -> str:
+    """The forecast with a bending trend: sums, sweeps one after the other, and simulated bounds."""
+    size, c, y = shape.size, shape.changes, 2 * shape.yearly
+    k = f"{key}, " if key else ""
+    on = f"USING ({key})" if key else "ON true"
+    ridge = "[" + ", ".join(f"{r!r}::DOUBLE" for r in shape.ridge()) + "]"
+    hinges = ", ".join(f"greatest(t - {p!r}::DOUBLE, 0e0)" for p in shape.places())
+    waves = ", ".join(f"{f}(dn * {2.0 * i / 365.25!r}::DOUBLE * pi())"
+                      for i in range(1, shape.yearly + 1) for f in ("sin", "cos"))
+    terms = f"[1e0, t, {hinges}, {waves}]"
+    dot = lambda a, b: f"list_sum(list_transform({a}, lambda u, e: u * {b}))"
+    return f"""raw AS ({series}),
+    span AS (SELECT {k}min(ds) AS first_ds, max(ds) AS last_ds, count(*) AS n,
+      greatest(date_diff('day', min(ds), max(ds)), 1)::DOUBLE AS days,
+      CASE WHEN max(abs(y)) > 0 THEN max(abs(y)) ELSE 1e0 END AS size FROM raw
+      {f'GROUP BY {key}' if key else ''}),
+    placed AS (SELECT {k}y / size AS v, date_diff('day', first_ds, ds) / days AS t,
+      date_diff('day', DATE '1970-01-01', ds)::DOUBLE AS dn FROM raw JOIN span {on}),
+    z AS (SELECT {k}{terms[:-1]}, v] AS z FROM placed),
+    products AS (SELECT {k}i, j, sum(z[i] * z[j]) AS v FROM z,
+      (SELECT unnest(range(1, {size + 2})) AS i), (SELECT unnest(range(1, {size + 2})) AS j)
+      GROUP BY {k}i, j),
+    lines AS (SELECT {k}i, list(v + CASE WHEN i = j AND i <= {size} THEN {ridge}[i] ELSE 0e0 END
+      ORDER BY j) AS line FROM products GROUP BY {k}i),
+    swept AS (SELECT {k}1::BIGINT AS p, list(line ORDER BY i) AS a FROM lines
+      {f'GROUP BY {key}' if key else ''}
+      UNION ALL SELECT {k}p + 1, list_transform(a, lambda line, i: list_transform(line, lambda x, j:
+        CASE WHEN i = p AND j = p THEN -1e0 / a[p][p] WHEN i = p OR j = p THEN x / a[p][p]
+        ELSE x - line[p] * a[p][j] / a[p][p] END)) FROM swept WHERE p <= {size}),
+    solved AS (SELECT {k}a, a[{size + 1}][1:{size}] AS w, n, first_ds, last_ds, days, size
+      FROM swept JOIN span {on} WHERE p = {size + 1}),
+    fit AS (SELECT *, sqrt(greatest(a[{size + 1}][{size + 1}]
+        - list_sum(list_transform(w, lambda x, i: x * x * {ridge}[i])), 0e0)
+        / greatest(n - list_sum(list_transform({ridge}, lambda r, i: 1e0 + r * a[i][i])), 1e0)) AS sigma,
+      list_avg(list_transform(w[3:{2 + c}], lambda x: abs(x))) AS strength FROM solved),
+    future AS (SELECT *, CAST(last_ds + h * INTERVAL {step} AS DATE) AS ds
+      FROM fit, (SELECT unnest(range(1, {steps + 1})) AS h)),
+    timed AS (SELECT *, date_diff('day', first_ds, ds) / days AS t,
+      date_diff('day', DATE '1970-01-01', ds)::DOUBLE AS dn,
+      coalesce(lag(date_diff('day', first_ds, ds) / days) OVER (
+        {f'PARTITION BY {key}' if key else ''} ORDER BY h),
+        date_diff('day', first_ds, last_ds) / days) AS t_before FROM future),
+    termed AS (SELECT *, {terms} AS x FROM timed),
+    valued AS (SELECT *, size * {dot(f'x[1:{2 + c}]', 'w[e]')} AS trend,
+      size * {dot(f'x[{3 + c}:{2 + c + y}]', f'w[{2 + c} + e]')} AS yearly,
+      sigma * sqrt(1e0 + greatest(-list_sum(list_transform(x, lambda u, i: u * list_sum(
+        list_transform(x, lambda o, j: o * a[i][j])))), 0e0)) AS spread FROM termed),
+    code AS (SELECT s, h, md5(concat_ws(':', {seed}, s, h)) AS code
+      FROM (SELECT unnest(range(1, {draws + 1})) AS s), (SELECT unnest(range(1, {steps + 1})) AS h)),
+    chance AS (SELECT s, h, {', '.join(
+        f"(CAST('0x' || substr(code, {8 * i + 1}, 8) AS BIGINT) + 0.5e0) / {2.0 ** 32!r}::DOUBLE AS u{i}"
+        for i in range(4))} FROM code),
+    draw AS (SELECT s, h, u0, -sign(u1 - 0.5e0) * ln(greatest(1e0 - 2e0 * abs(u1 - 0.5e0), 1e-12))
+      AS bend, sqrt(-2e0 * ln(u2)) * cos(2e0 * pi() * u3) AS noise FROM chance),
+    sloped AS (SELECT {k}s, v.h, spread, noise, t - t_before AS span, sum(
+        CASE WHEN u0 < (t - t_before) * {c / shape.reach!r}::DOUBLE THEN bend * strength ELSE 0e0 END)
+      OVER (PARTITION BY {k}s ORDER BY v.h) AS slope FROM valued v JOIN draw d ON d.h = v.h),
+    paths AS (SELECT {k}h, sum(slope * span) OVER (PARTITION BY {k}s ORDER BY h) + spread * noise AS off
+      FROM sloped),
+    bounds AS (SELECT {k}h, quantile_cont(off, 0.1e0) AS low, quantile_cont(off, 1e0 - 0.1e0) AS high
+      FROM paths GROUP BY {k}h),
+    ahead AS (SELECT {k}ds, trend, yearly, trend + yearly AS yhat,
+      trend + yearly + size * low AS yhat_lower, trend + yearly + size * high AS yhat_upper
+      FROM valued JOIN bounds USING ({k}h))"""
+
+
+def _bent(period: str):
+    from patronage.operators.changepoints import SHAPES
+    return SHAPES[period]
+
+
+def _bent_table(series: str, shape, step: str, steps: int, key: str = "") -> str:
+    shown = ["yhat", "yhat_lower", "yhat_upper", *([] if key else ["trend", "yearly"])]
+    return (f"WITH RECURSIVE {_bending(series, shape, step, steps, key)} SELECT "
+            + (f"{key}, " if key else "") + "ds, "
+            + ", ".join(f"{_even(x, 0)} AS {x}" for x in shown) + " FROM ahead")
+
+
+def _product_series() -> str:
+    return f"""SELECT l_partkey AS product_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
+        {_money('l_extendedprice')} AS y FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2"""
+
+
+def _normal_sums() -> str:
+    shape = _bent("month")
+    width = shape.size + 1
+    return f"""WITH RECURSIVE {_bending(_series('month'), shape, '1 MONTH', 1)}
+    SELECT CAST((i - 1) * {width} - ((i - 1) * (i - 2)) // 2 + j - i AS INTEGER) AS place,
+      {_even('v', 6)} AS product FROM products WHERE i <= j"""
+
+
+def _split_gains() -> str:
+    from patronage.plans.catalog import GAIN_EDGES
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS feature, len(list_filter({cuts}, lambda e: e < {c})) AS bin, y FROM labelled"
+        for i, (c, cuts) in enumerate(GAIN_EDGES.items()))
+    score = lambda g, h: f"({g}) * ({g}) / (({h}) + 1e0)"
+    return f"""WITH {RFM}, labelled AS (SELECT *, CAST(balance < 0 AS INTEGER) AS y FROM rfm),
+    share AS (SELECT avg(y) AS p FROM labelled), long AS ({rows}),
+    cells AS (SELECT feature, bin, count(*) AS n, sum(y) AS ones FROM long GROUP BY 1, 2),
+    sides AS (SELECT feature, bin, p, sum(n) OVER w AS n_left, sum(ones) OVER w AS ones_left,
+      sum(n) OVER (PARTITION BY feature) AS n_all, sum(ones) OVER (PARTITION BY feature) AS ones_all
+      FROM cells, share WINDOW w AS (PARTITION BY feature ORDER BY bin)),
+    sums AS (SELECT feature, bin, n_left * p - ones_left AS gl, n_left * p * (1 - p) AS hl,
+      (n_all - n_left) * p - (ones_all - ones_left) AS gr, (n_all - n_left) * p * (1 - p) AS hr
+      FROM sides WHERE n_all > n_left)
+    SELECT CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin,
+      {_even(f"({score('gl', 'hl')} + {score('gr', 'hr')} - {score('gl + gr', 'hl + hr')}) / 2e0", 6)}
+        AS gain, {_even('gl', 6)} AS g_left, {_even('hl', 6)} AS h_left, {_even('gr', 6)} AS g_right,
+      {_even('hr', 6)} AS h_right FROM sums WHERE hl >= 1 AND hr >= 1"""
+
+
 def _hash(key: str, seed: int = 42) -> str:
     return (f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT)"
             f" / CAST({16 ** 13} AS DOUBLE))")
@@ -584,6 +699,27 @@ ORACLES: dict[str, str] = {
         f"""SELECT l_partkey AS product_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS ds,
         {_money('l_extendedprice')} AS y FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1, 2""",
         "product_id") + ", " + _ahead("1 MONTH", 3, "product_id") + " " + _table("product_id"),
+    "customer_stream": f"""SELECT o_custkey AS customer_id, count(*) AS purchase_frequency,
+      {_money('o_totalprice')} AS total_spent, max(o_orderdate) AS last_purchase_date FROM orders
+      WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1""",
+    "sales_from_sketches": f"""SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS period,
+      {_money('o_totalprice')} AS total_revenue, count(o_totalprice) AS transaction_count,
+      true AS customers_within_3_percent FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
+    "profile_from_sketches": f"""SELECT 'o_totalprice' AS feature, count(*) AS count,
+      {_even('avg(o_totalprice)')} AS mean, {_even('stddev_samp(o_totalprice)')} AS std,
+      min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders""",
+    "scan_with_quarantine": """SELECT 'rows' AS measure, NULL::VARCHAR AS "column", count(*) AS n
+      FROM customer WHERE c_custkey % 40 <> 0 AND c_custkey % 41 <> 0
+      UNION ALL SELECT 'quarantined', NULL, count(*) FROM customer
+      WHERE c_custkey % 40 = 0 OR c_custkey % 41 = 0
+      UNION ALL SELECT 'coerced_dates', 'created_at', count(*) FROM customer
+      WHERE c_custkey % 40 <> 0 AND c_custkey % 41 <> 0 AND c_custkey % 7 = 0""",
+    "forecast_normal_sums": _normal_sums(),
+    "forecast_changepoint": _bent_table(_series("month"), _bent("month"), "1 MONTH", 12),
+    "forecast_changepoint_weekly": _bent_table(_series("week"), _bent("week"), "7 DAY", 52),
+    "forecast_changepoint_by_product": _bent_table(
+        _product_series(), replace(_bent("month"), changes=6, yearly=2), "1 MONTH", 3, "product_id"),
+    "boosting_split_gains": _split_gains(),
     "forecast_components": f"""WITH {MONTHLY}, every AS (SELECT ds, trend, yearly, weekly FROM history
         UNION ALL SELECT ds, trend, yearly, weekly FROM ahead)
       SELECT ds, {_even('trend')} AS trend, {_even('yearly')} AS yearly,
@@ -598,3 +734,22 @@ ORACLES: dict[str, str] = {
       coalesce(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 0e0) AS revenue,
       count(*) AS events, count(DISTINCT user_id) AS active_customers FROM events GROUP BY 1""",
 }
+
+# Density over all columns of the feature table, stated on that table's own text.
+ORACLES["dbscan_all_features"] = f"""WITH RECURSIVE pts AS (
+  SELECT customer_id AS id, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _FEATURES)}] AS x
+  FROM ({ORACLES['processed_features']})),
+near AS (SELECT p.id AS a, q.id AS b FROM pts p JOIN pts q
+  ON list_sum([(p.x[i] - q.x[i]) ** 2 for i in range(1, {len(_FEATURES) + 1})]) <= 1.25e0 * 1.25e0),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 5),
+core_edge AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(id, seed) AS (SELECT id, id FROM core
+  UNION SELECT e.b, r.seed FROM reach r JOIN core_edge e ON e.a = r.id WHERE r.seed < e.b),
+seeds AS (SELECT id, min(seed) AS seed FROM reach GROUP BY id),
+numbered AS (SELECT id, dense_rank() OVER (ORDER BY seed) - 1 AS number FROM seeds),
+labelled AS (SELECT id, number FROM numbered UNION ALL
+  SELECT n.a, min(number) FROM near n JOIN numbered c ON c.id = n.b
+  WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a)
+SELECT pts.id AS customer_id, coalesce(number, -1) AS cluster,
+  pts.id IN (SELECT id FROM core) AS is_core FROM pts LEFT JOIN labelled USING (id)"""
+ORACLES["customer_rfm_bucketed"] = ORACLES["customer_rfm"]

@@ -56,6 +56,11 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{durable_root(spark)}/{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder among those that all executors share."""
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def clear_settled(spark: SparkSession) -> None:
     """Remove what this application has settled; call it when its results are no longer read."""
     context = spark.sparkContext

@@ -31,12 +31,12 @@ def brute(points, eps, min_samples):
     return {i: label.get(i, -1) for i in ids}, core
 
 
-def run(spark, points, eps, min_samples):
+def run(spark, points, eps, min_samples, **options):
     d = len(next(iter(points.values())))
     names = [f"f{j}" for j in range(d)]
     df = spark.createDataFrame([(i, *p) for i, p in points.items()],
                                "id bigint, " + ", ".join(f"{n} double" for n in names)).repartition(5)
-    rows = dbscan(df, "id", names, eps, min_samples, scale=False).collect()
+    rows = dbscan(df, "id", names, eps, min_samples, scale=False, **options).collect()
     assert len(rows) == len(points)
     return {r.id: r.cluster for r in rows}, {r.id for r in rows if r.is_core}
 
@@ -123,3 +123,64 @@ def test_anomaly_summary(spark):
     assert [r.id for r in segments.outlier_sample(df, "id").collect()] == [1]
     none = segments.anomaly_summary(df.filter("cluster >= 0")).first()
     assert (none.n_outliers, none.outlier_percentage) == (0, 0.0)
+
+
+def spread_out(seed, n):
+    """Twelve features: groups on lower-dimensional shapes, scattered points, copies of one point."""
+    rng = random.Random(seed)
+    points = {}
+    for i in range(n):
+        if i % 6 == 0:
+            points[i] = tuple(rng.uniform(-2, 2) for _ in range(12))
+        elif i % 6 == 1:
+            points[i] = (0.5,) * 12
+        else:
+            t, group = rng.uniform(0, 3), i % 4
+            points[i] = tuple(math.sin(t + 0.4 * j + group) + 2 * (group == j % 4) + rng.gauss(0, 0.08)
+                              for j in range(12))
+    return points
+
+
+@pytest.mark.parametrize("eps,min_samples", [(0.6, 5), (1.0, 8), (0.3, 3)])
+def test_twelve_features_match_brute_force(spark, eps, min_samples):
+    points = spread_out(int(10 * eps), 360)
+    labels, core = brute(points, eps, min_samples)
+    assert run(spark, points, eps, min_samples) == (labels, core)
+    assert len(set(labels.values())) > 2
+
+
+def test_pivots_and_grid_agree(spark):
+    points = blobs(9, 3, 300)
+    want = brute(points, 0.6, 4)
+    assert run(spark, points, 0.6, 4, pivots=True) == run(spark, points, 0.6, 4, pivots=False) == want
+
+
+def test_full_partitions_are_split(spark, monkeypatch):
+    monkeypatch.setattr(module, "CHUNK_ROWS", 10)
+    monkeypatch.setattr(module, "MAX_HOT_CELLS", 50)
+    monkeypatch.setattr(module, "MOST_PIVOTS", 2)
+    points = spread_out(4, 240)
+    assert run(spark, points, 0.7, 5) == brute(points, 0.7, 5)
+
+
+def test_met_balls_hold_all_near_pairs_once(spark):
+    points = spread_out(8, 300)
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()],
+                               "_id bigint, " + ", ".join(f"x{j} double" for j in range(12)))
+    grid = module._Grid(df, 12, 0.8, 5)
+    met = [tuple(sorted((r.a_cell, r.b_cell))) for r in grid.met_balls().select(
+        "a_cell", "b_cell").collect()]
+    assert len(met) == len(set(met))
+    near = {tuple(sorted((r.a, r.b))) for r in grid.near_balls().select("a", "b").collect()}
+    cells = {r["cell"]: (r["lo"], r["hi"]) for r in grid.cells.selectExpr(
+        "cell", "array(" + ",".join(f"lo{j}" for j in range(12)) + ") AS lo",
+        "array(" + ",".join(f"hi{j}" for j in range(12)) + ") AS hi").collect()}
+
+    def gap(a, b):
+        return math.sqrt(sum(max(p - q, r - s, 0) ** 2 for p, q, r, s in zip(
+            cells[a][0], cells[b][1], cells[b][0], cells[a][1])))
+
+    names = sorted(cells)
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if gap(a, b) <= 0.8}
+    assert near == want and near <= set(met)
+    assert len(met) < len(names) * (len(names) - 1) / 2
