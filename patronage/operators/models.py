@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.operators import boosting
+from patronage.operators import boosting, network
 from patronage.operators.labels import with_class_weight
 
 MODEL_NAMES = {
@@ -26,6 +26,7 @@ MODEL_NAMES = {
     "gbt": "Gradient Boosting (level-wise)",
     "gbt_sampled": "Gradient Boosting (sampled)",
     "mlp": "Neural Network",
+    "network": "Neural Network (ReLU, dropout)",
     "boosted": "Second-Order Boosting (level-wise)",
     "boosted_leaf": "Second-Order Boosting (leaf-wise)",
 }
@@ -100,6 +101,7 @@ FITS = {
     "gbt": fit_boosting,
     "gbt_sampled": lambda train, features, **kw: fit_boosting(train, features, sampled=True, **kw),
     "mlp": fit_perceptron,
+    "network": network.fit,
     "boosted": fit_second_order,
     "boosted_leaf": fit_leaf_wise,
 }

@@ -465,6 +465,7 @@ QUERIES["churn_rf"] = _scored("rf", balanced=True)
 QUERIES["churn_gbt"] = _scored("gbt", rounds=20)
 QUERIES["churn_gbt_sampled"] = _scored("gbt_sampled", rounds=20)
 QUERIES["churn_mlp"] = _scored("mlp")
+QUERIES["churn_network"] = _scored("network", balanced=True, epochs=40)
 QUERIES["churn_boosted"] = _scored("boosted", rounds=20, max_depth=4)
 QUERIES["churn_boosted_leaf"] = _scored("boosted_leaf", rounds=10, leaves=8)
 
