@@ -151,7 +151,9 @@ def split_gains(cells: DataFrame, l2: float = 1.0, least_weight: float = 1.0,
 def _best_cuts(rows: DataFrame, l2: float, least_weight: float, least_rows: int) -> dict[int, dict]:
     """The best cut of each node; of equal ones the first feature and bin."""
     fields = ["gain", "feature", "bin", "g_left", "h_left", "g_right", "h_right"]
-    best = split_gains(histograms(rows), l2, least_weight, least_rows).groupBy("node").agg(
+    # Bounded by nodes x features x bins, so one task may hold all cells and nothing moves again.
+    cells = histograms(rows).repartition(1)
+    best = split_gains(cells, l2, least_weight, least_rows).groupBy("node").agg(
         F.max_by(F.struct(*fields), F.struct("gain", -F.col("feature"), -F.col("bin"))).alias("b"))
     return {r["node"]: r["b"].asDict() for r in best.collect() if r["b"]["gain"] is not None}
 
