@@ -6,10 +6,12 @@ must share one among the first ``COORDINATES - least + 1`` of each, whatever com
 have (prefix merging). The order is rarest first, so keys of passages that many texts share are
 not posted, and a text whose keys are mostly its own is skipped altogether (skip merging).
 
-Texts that share a posted key are compared on their full sets, in blocks: each text is in one chunk,
-under its most widely shared key; chunks hold a bounded number of texts and are compared with
-themselves, then with the other chunks they share a key with, unless all of their texts are linked
-already. A task sees two chunks, and returns a spanning forest of their links instead of all pairs.
+Collisions are counted in blocks: each text is in one chunk, under its most widely shared key; chunks
+hold a bounded number of texts and meet themselves, then the other chunks they share a key with,
+unless all of their texts are linked already. A task sees two chunks, merges the posting lists of
+their coordinates, and counts in how many lists each two texts meet. Pairs that meet in at least
+``least`` are compared on their full sets, no others. The task returns a spanning forest of the links
+instead of all pairs.
 """
 
 from __future__ import annotations
@@ -119,8 +121,8 @@ def _roots(links: np.ndarray, n: int, known: np.ndarray) -> list[tuple[int, int]
     return forest
 
 
-def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """Index pairs (i, j) with 100 * intersection >= percent * union, by counting per shared value."""
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``left`` shares with each of ``right``, counted value by value."""
     sets = [*left, *right]
     sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
@@ -139,12 +141,32 @@ def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> n
         part = np.zeros((len(sets), step), np.float32)
         part[owner[cuts[k]:cuts[k + 1]], column[cuts[k]:cuts[k + 1]] - k * step] = 1
         common += part[:len(left)] @ part[len(left):].T
-    both = sizes[:len(left), None] + sizes[None, len(left):]
-    whole = common.astype(np.int64)
-    return np.argwhere((100 * whole >= percent * (both - whole)) & (whole > 0))
+    return common.astype(np.int64)
 
 
-def _block_links(percent: int, schema: pa.Schema):
+def _similar(left: list[np.ndarray], right: list[np.ndarray], left_posts: list[np.ndarray],
+             right_posts: list[np.ndarray], least: int, percent: int) -> np.ndarray:
+    """Index pairs (i, j) that collide in ``least`` posting lists and, confirmed on the sets, have
+    100 * intersection >= percent * union."""
+    collide = _shared(left_posts, right_posts) >= least
+    rows, columns = np.flatnonzero(collide.any(1)), np.flatnonzero(collide.any(0))
+    if not len(rows):
+        return np.empty((0, 2), np.int64)
+    some, others = [left[i] for i in rows], [right[j] for j in columns]
+    common = _shared(some, others)
+    both = (np.array([len(s) for s in some])[:, None] + np.array([len(s) for s in others]))
+    linked = (100 * common >= percent * (both - common)) & (common > 0) & collide[np.ix_(rows, columns)]
+    i, j = np.nonzero(linked)
+    return np.stack([rows[i], columns[j]], 1)
+
+
+def _posts(keys: list[int]) -> np.ndarray:
+    """The posting lists of a signature: coordinate and value as one number."""
+    return (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)) | np.array(
+        keys, np.int32).view(np.uint32).astype(np.uint64)
+
+
+def _block_links(least: int, percent: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -152,8 +174,10 @@ def _block_links(percent: int, schema: pa.Schema):
                 right = batch.column(1)[at].as_py()
                 every = left if right is None else left + right
                 sets = [np.frombuffer(d["set"], np.uint64) for d in every]
+                posts = [_posts(d["keys"]) for d in every]
                 n = len(left)
-                pairs = _similar(sets[:n], sets if right is None else sets[n:], percent)
+                pairs = _similar(sets[:n], sets if right is None else sets[n:], posts[:n],
+                                 posts if right is None else posts[n:], least, percent)
                 if right is None:
                     pairs = pairs[pairs[:, 0] < pairs[:, 1]]
                 else:
@@ -168,19 +192,19 @@ def _block_links(percent: int, schema: pa.Schema):
     return run
 
 
-def _chunked(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(chunk, docs): one row per chunk with its texts' ids, sets and known classes."""
-    return (members.join(sets, "id").groupBy("chunk")
-            .agg(F.collect_list(F.struct("id", "known", "set")).alias("docs")))
+def _chunked(members: DataFrame, sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(chunk, docs): one row per chunk with its texts' ids, sets, signatures and known classes."""
+    return (members.join(sets, "id").join(keys, "id").groupBy("chunk")
+            .agg(F.collect_list(F.struct("id", "known", "set", "keys")).alias("docs")))
 
 
-def _links(pairs: DataFrame, chunks: DataFrame, percent: int, id_type: str) -> DataFrame:
+def _links(pairs: DataFrame, chunks: DataFrame, least: int, percent: int, id_type: str) -> DataFrame:
     """Links within the pairs of chunks (a, b); b is null for a chunk with itself."""
     sides = (pairs.join(chunks.select(F.col("chunk").alias("a"), F.col("docs").alias("left")), "a")
              .join(chunks.select(F.col("chunk").alias("b"), F.col("docs").alias("right")), "b",
                    "left").select("left", "right"))
     empty = sides.sparkSession.createDataFrame([], f"u {id_type}, v {id_type}")
-    return sides.mapInArrow(_block_links(percent, _arrow(empty)), empty.schema)
+    return sides.mapInArrow(_block_links(least, percent, _arrow(empty)), empty.schema)
 
 
 def _salted(homes: DataFrame) -> DataFrame:
@@ -233,6 +257,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets_schema = posts.select("id").withColumn("set", F.lit(b"").cast("binary"))
     wanted = texts.join(posts.select("id").distinct(), "id", "left_semi")
     sets = settle(wanted.mapInArrow(_sets(shingle, _arrow(sets_schema)), sets_schema.schema))
+    signed_sets = (sets, classes.select(F.col("rep").alias("id"), "keys"))
 
     # First: every chunk with itself, and the chunks of one home with its first.
     homes = posts.groupBy("id", "n").agg(F.max(F.struct("shared", "key")).alias("home")).select(
@@ -245,7 +270,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     star = names.join(of_home.filter("chunks > 1"), "home").filter("chunk <> b")
     pairs = names.select(F.col("chunk").alias("a"), itself).unionByName(
         star.select(F.col("chunk").alias("a"), "b"))
-    links = settle(_links(pairs, settle(_chunked(alone, sets)), percent, id_type))
+    links = settle(_links(pairs, settle(_chunked(alone, *signed_sets)), least, percent, id_type))
 
     # Then: chunks that share a key, unless all their texts under that key are linked already.
     # Where a home has several chunks, its largest class gets chunks of its own, which need no
@@ -272,7 +297,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
               .filter("least(low_a, low_b) <> greatest(high_a, high_b)").select("a", "b").distinct())
     mixed = under.filter("part = 1 and low <> high").select(F.col("chunk").alias("a"), itself) \
         .distinct()
-    more = settle(_links(across.unionByName(mixed), settle(_chunked(again, sets)), percent, id_type))
+    more = settle(_links(across.unionByName(mixed), settle(_chunked(again, *signed_sets)), least, percent, id_type))
 
     final = connected_components(links.unionByName(more))
     lowest = final.join(final.groupBy("root").agg(F.min("node").alias("component")), "root") \

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from patronage.llm import minhash
@@ -55,3 +56,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert {r.component_id for r in rows if r.doc_id == 1} == {1}
     assert 1 in {r.component_id for r in rows if r.doc_id == 2}
     assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_pairs_below_the_threshold_are_not_compared(monkeypatch):
+    """Collisions decide which sets are looked at; a pair needs both counts."""
+    pick = np.random.default_rng(3)
+    sets = [np.unique(pick.integers(0, 400, 300).astype(np.uint64)) for _ in range(12)]
+    sets += [np.delete(s, slice(0, 9)) for s in sets[:6]]
+    posts = [pick.integers(0, 3, 64).astype(np.uint64) + (np.arange(64, dtype=np.uint64) << np.uint64(32))
+             for _ in range(12)]
+    posts += [p.copy() for p in posts[:4]] + [p ^ np.uint64(7) for p in posts[4:6]]
+    seen, counted = [], minhash._shared
+    monkeypatch.setattr(minhash, "_shared", lambda a, b: seen.append((len(a), len(b))) or counted(a, b))
+    got = {tuple(p) for p in minhash._similar(sets, sets, posts, posts, 50, 90).tolist()}
+    meet = {(i, j) for i in range(18) for j in range(18) if (posts[i] == posts[j]).sum() >= 50}
+    like = {(i, j) for i in range(18) for j in range(18) if 100 * len(np.intersect1d(sets[i], sets[j]))
+            >= 90 * len(np.union1d(sets[i], sets[j]))}
+    assert got == meet & like and {(i, 12 + i) for i in range(4)} <= got and (4, 16) in like - got
+    assert seen == [(18, 18), (18, 18)]
+    far = [p + np.uint64(10 + i) for i, p in enumerate(posts)]
+    assert len(minhash._similar(sets, sets, posts, far, 50, 90)) == 0 and len(seen) == 3
