@@ -6,7 +6,7 @@ PMI(term; entity) = log2(p(term | entity) / p(term)), with p(term) = has(term) /
 counts and p(term | entity) from the entity's different contexts, smoothed so that little evidence
 counts less but nothing is left out. The entity itself carries IC(entity) = log2(N / has(entity)).
 A term whose PMI reaches a share of the IC tells nearly as much as the entity: it is generalised, or
-removed beyond a second share.
+removed where it leaves at most a few bits of the IC open.
 
 Everything is built from SQL functions. The patterns are stated with single-character classes only,
 after marking the separators inside numbers and domains, because nested groups would recurse once
@@ -30,9 +30,6 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9{_JOIN}]{{2,}}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BLOCK_WORDS = 128
-# A window around a span. Nothing here is limited to it; tests compare with it.
-NEAR_CHARS = 80
-NEAR_WORDS = 5
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
 
@@ -106,7 +103,7 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), value)
 
 
-_WORD = r"\p{L}{3,}"
+_WORD = r"[\p{L}\p{N}]+"
 
 
 def text_words(text: Column) -> Column:
@@ -146,7 +143,8 @@ def text_words(text: Column) -> Column:
 
 def disclosing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame, *,
                      share: float, least_contexts: int = 1, prior: float = 1.0) -> DataFrame:
-    """(entity, term, ratio) for terms whose PMI with an entity reaches ``share`` of its IC.
+    """(entity, term, ratio, left) for terms whose PMI with an entity reaches ``share`` of its IC;
+    ``left`` is the IC without the PMI, in bits.
 
     ``mentions`` has (entity, term), a row for every different context of the entity that has the
     term, ``holders`` (rid, entity, context), ``texts`` (text), all documents of the corpus. How often a term comes with an entity is counted over the
@@ -169,8 +167,9 @@ def disclosing_terms(mentions: DataFrame, holders: DataFrame, texts: DataFrame,
     information = F.log2(F.col("n") / F.col("has_entity"))
     anywhere = F.col("has_term") / F.col("n")
     pmi = F.log2((F.col("near") + prior * anywhere) / (F.col("contexts") + prior) / anywhere)
-    return (rated.withColumn("ratio", F.when(information > 0, pmi / information))
-            .filter(F.col("ratio") >= share).select("entity", "term", "ratio"))
+    return (rated.withColumns({"ratio": F.when(information > 0, pmi / information),
+                               "left": information - pmi})
+            .filter(F.col("ratio") >= share).select("entity", "term", "ratio", "left"))
 
 
 def _listed(spans: Column) -> Column:
@@ -179,13 +178,13 @@ def _listed(spans: Column) -> Column:
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _replaced(text: Column, spans: Column, remove: float) -> Column:
+def _replaced(text: Column, spans: Column, remove_bits: float) -> Column:
     """The text with its spans replaced from left to right; of overlapping ones the first counts."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     kind = "struct<at:bigint,out:string>"
 
     def step(state: Column, s: Column) -> Column:
-        sign = F.when((s["kind"] == 4) & (s["ratio"] >= remove), F.lit("")) \
+        sign = F.when((s["kind"] == 4) & (s["left"] <= remove_bits), F.lit("")) \
             .otherwise(F.get(names, s["kind"]))
         done = F.struct(s["end"].alias("at"), F.concat(
             state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), sign)
@@ -198,14 +197,15 @@ def _replaced(text: Column, spans: Column, remove: float) -> Column:
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-             share: float = 0.8, remove: float = 0.98, least_contexts: int = 1) -> DataFrame:
+             share: float = 0.8, remove_bits: float = 1.0, least_contexts: int = 1) -> DataFrame:
     """Personal data of every whole text.
 
     Returns (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, sanitised): counts and
     digest of the pattern spans, all spans as ``kind:start:end`` by start and kind, and the text
     with its spans replaced by their kind, or null if there are none. Terms of kind ``term`` are
-    words that disclose an entity (see ``disclosing_terms``); from a ratio of ``remove`` they are
-    taken out instead of generalised. All words of a document that holds the entity are counted,
+    words, runs of letters and digits, that disclose an entity (see ``disclosing_terms``); those that
+    leave at most ``remove_bits`` of it open are taken out instead of generalised. With one context
+    that are terms that stand nowhere else. All words of a document that holds the entity are counted,
     and marked wherever they stand in it, unless they overlap a pattern span. Documents without
     pattern spans stay as they are.
 
@@ -237,16 +237,16 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     mentions = once.join(terms, "rid").select("entity", F.explode("terms").alias("term"))
     telling = disclosing_terms(mentions, holders, texts, share=share, least_contexts=least_contexts)
     rated = (holders.join(telling, "entity").groupBy("rid", "term")
-             .agg(F.max("ratio").alias("ratio")))
+             .agg(F.min("left").alias("left")))
     marked = (private.select("rid", F.explode("words").alias("w")).select("rid", "w.*")
               .join(rated, ["rid", "term"]).groupBy("rid")
-              .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "ratio"))
+              .agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "left"))
                    .alias("terms")))
     plain = F.transform("base", lambda s: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.lit(0.0).alias("ratio")))
+        F.lit(0.0).alias("left")))
     every = F.array_sort(F.concat(plain, F.coalesce(F.col("terms"), F.array().cast(
-        "array<struct<start:bigint,kind:int,end:bigint,ratio:double>>"))))
+        "array<struct<start:bigint,kind:int,end:bigint,left:double>>"))))
 
     def count(kind: int) -> Column:
         of_kind = F.filter("base", lambda s: s["kind"] == kind)
@@ -256,5 +256,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return (found.join(marked, "rid", "left").withColumn("every", every)
             .select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
                     _listed(F.col("every")).alias("spans"),
-                    F.when(F.size("every") > 0, _replaced(F.col("text"), F.col("every"), remove))
+                    F.when(F.size("every") > 0, _replaced(F.col("text"), F.col("every"), remove_bits))
                     .alias("sanitised")))

@@ -50,7 +50,9 @@ def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_pii_sanitise(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.sanitise(table(spark, folder, "documents")).drop("sanitised")
+    found = pii.sanitise(table(spark, folder, "documents"))
+    # A document without spans stays as it is and has no text here.
+    return found.withColumn("sanitised_sha256", F.sha2("sanitised", 256)).drop("sanitised")
 
 
 def op6_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,41 +63,49 @@ def test_patterns_equal_brute_force(spark, texts):
         assert (r.sanitised is None) == (not spans)
 
 
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W_]+")
 
 
 def brute_terms(texts, share, least):
-    """Term spans by the definition, for texts whose windows hold whole words."""
-    near, contexts, places = defaultdict(set), defaultdict(set), defaultdict(set)
-    holders, has = defaultdict(set), defaultdict(set)
+    """Term spans, and which of them are removed, by the definition: all words of a document that
+    holds the entity, counted over the entity's different contexts."""
+    has, holders, contexts, near = (defaultdict(set) for _ in range(4))
+    places, n = defaultdict(set), len(texts)
     for d, text in enumerate(texts):
+        base = base_spans(text)
         for w in WORD.finditer(text):
             has[w[0].lower()].add(d)
-        base = base_spans(text)
+        outside = [w for w in WORD.finditer(text)
+                   if not any(x < w.end() and w.start() < y for x, _, y in base)]
+        context = tuple(w[0].lower() for w in outside)
         for a, kind, b in base:
-            value = text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b])
-            e = f"{kind}:{value}"
+            e = (kind, text[a:b].lower() if kind < 2 else re.sub("[^0-9]", "", text[a:b]))
             holders[e].add(d)
-            before = list(WORD.finditer(text, max(0, a - pii.NEAR_CHARS), a))[-pii.NEAR_WORDS:]
-            after = list(WORD.finditer(text, b, b + pii.NEAR_CHARS))[:pii.NEAR_WORDS]
-            window = tuple(w[0].lower() for w in before + after)
-            for w in before + after:
-                if any(x < w.end() and w.start() < y for x, _, y in base):
-                    continue
-                t = w[0].lower()
-                near[e, t].add(d)
-                contexts[e, t].add(window)
-                places[e, t].add((d, w.start(), w.end()))
-    out = defaultdict(set)
-    for (e, t), docs in near.items():
-        information = math.log2(len(texts) / len(holders[e]))
-        pmi = math.log2(len(texts) * len(docs) / (len(has[t]) * len(holders[e])))
-        if len(contexts[e, t]) >= least and information and pmi / information >= share - 1e-12:
+            contexts[e].add(context)
+            for w in outside:
+                near[e, w[0].lower()].add(context)
+                places[e, w[0].lower()].add((d, w.start(), w.end()))
+    out = defaultdict(dict)
+    for (e, t), found in near.items():
+        p, information = len(has[t]) / n, math.log2(n / len(holders[e]))
+        pmi = math.log2((len(found) + p) / (len(contexts[e]) + 1) / p)
+        if len(found) >= least and information > 0 and pmi / information >= share - 1e-12:
             for d, a, b in places[e, t]:
-                out[d].add((a, 4, b))
+                out[d][a, 4, b] = min(out[d].get((a, 4, b), 99.0), information - pmi)
     return out
 
 
+def brute_text(text, base, terms):
+    """The text with its spans replaced; terms that leave a bit or less open are gone."""
+    out, at = "", 0
+    for a, kind, b in sorted([*base, *terms]):
+        if a >= at:
+            gone = kind == 4 and terms[a, kind, b] <= 1 + 1e-12
+            out += text[at:a] + ("" if gone else f"[{pii.KINDS[kind].upper()}]")
+            at = b
+    return out + text[at:]
+
+
 def test_terms_that_disclose_are_marked(spark):
     pick = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "lambda"]
@@ -117,7 +125,9 @@ def test_terms_that_disclose_are_marked(spark):
     rows = pii.sanitise(df, share=0.8, least_contexts=3).collect()
     assert any("term" in r.spans for r in rows)
     for r in rows:
-        assert r.spans == listed(base_spans(texts[r.doc_id]) + list(want[r.doc_id]))
+        base = base_spans(texts[r.doc_id])
+        assert r.spans == listed(base + list(want[r.doc_id]))
+        assert r.sanitised == (brute_text(texts[r.doc_id], base, want[r.doc_id]) if base else None)
         if "Wintermute" in texts[r.doc_id]:
             assert "Wintermute" not in r.sanitised and "[EMAIL]" in r.sanitised
     clean = [r for r in rows if not base_spans(texts[r.doc_id])]
@@ -178,3 +188,31 @@ def test_terms_far_from_their_entity_are_marked(spark):
         terms = [(m.start(), 4, m.end()) for m in re.finditer("(?i)wintermute|école", text)]
         assert r.spans == (listed(base_spans(text) + terms) if "@" in text else "")
         assert r.sanitised is None or not re.search("(?i)wintermute|école", r.sanitised)
+
+
+def test_query_returns_what_it_sanitises(spark, monkeypatch):
+    """Terms of rare entities are removed or generalised, words that stand elsewhere too are kept."""
+    from patronage.llm import queries
+    pick = random.Random(8)
+    words = [f"{a}{b}" for a in ("al", "be", "ga", "om") for b in ("pha", "ta", "mma", "ega", "x", "7")]
+    texts = [" ".join(pick.choice(words) for _ in range(25)) for _ in range(2000)]
+    for i in range(0, 2000, 45):
+        texts[i] += f" Mr {chr(65 + i % 26)}{i}zz wrote from u{i}@mail.example.com, flat 9{i}b"
+        if i % 2:
+            texts[i + 1] += f" as {chr(65 + i % 26)}{i}zz said"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    rows = {r.doc_id: r for r in queries.op5_pii_sanitise(spark, "").collect()}
+    want, removed = brute_terms(texts, 0.8, 1), 0
+    for i, text in enumerate(texts):
+        base = base_spans(text)
+        assert rows[i].spans == listed(base + list(want[i]))
+        shown = brute_text(text, base, want[i])
+        assert rows[i].sanitised_sha256 == (hashlib.sha256(shown.encode()).hexdigest() if base else None)
+        removed += sum(x <= 1 + 1e-12 for x in want[i].values())
+    terms = sum(len(t) for t in want.values())
+    assert 20 <= removed < terms
+    names = [(i, m.start(), 4, m.end()) for i, t in enumerate(texts) for m in re.finditer(r"\b[A-Z]\d+zz\b", t) if "@" in t]
+    assert all((a, k, b) in want[i] for i, a, k, b in names)
+    common = sum(1 for i, t in want.items() for a, _, b in t if texts[i][a:b] in words)
+    assert common == 0
