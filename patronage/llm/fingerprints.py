@@ -3,9 +3,9 @@
 A rolling hash over the last seven bytes decides where chunks end: at block size b a chunk ends
 where the hash is b - 1 modulo b. Every chunk becomes one of 64 characters. Block sizes are
 3 * 2**k, so the ends at one size are among those at half of it. A fingerprint is its size, the
-largest that gives at least 32 chunks, and the signatures at one, two, four and eight times that
-size, joined by colons. A signature has all chunks of the text. Two fingerprints are compared at the
-sizes they have in common.
+largest that gives at least 32 chunks, and the signatures at one, two, four and so on up to 128 times
+that size, joined by colons. A signature has all chunks of the text. Two fingerprints are compared at
+the sizes they have in common.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ WORD_BITS = 64
 LETTERS = np.frombuffer(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 COMMON = 4
-LEVELS = 4
+LEVELS = 8
+NEAR_LEVELS = 4
+SHORT = 16
 
 
 def rolling_hash(data: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ def _signature(total: np.ndarray, ends: np.ndarray, n: int) -> bytes:
 
 
 def fingerprint(text: str | None) -> str:
-    """The fingerprint of a text; a null or empty text has ``3::::``."""
+    """The fingerprint of a text; a null or empty text has the smallest size and empty signatures."""
     data = np.frombuffer((text or "").encode(), np.uint8)
     n = len(data)
     rolled = rolling_hash(data)
@@ -92,9 +94,11 @@ def _codes(signatures: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def _related(left: str, right: str) -> bool:
-    runs = {left[i:i + COMMON] for i in range(len(left) - COMMON + 1)}
-    return any(right[i:i + COMMON] in runs for i in range(len(right) - COMMON + 1))
+def _related(left: str, right: str, short: bool) -> bool:
+    """Whether the two have a run of ``COMMON`` in common; if ``short``, a quarter of one is enough."""
+    size = min(COMMON, -(-min(len(left), len(right)) // 4)) if short else COMMON
+    runs = {left[i:i + size] for i in range(len(left) - size + 1)}
+    return size > 0 and any(right[i:i + size] in runs for i in range(len(right) - size + 1))
 
 
 def _common_short(left: list[str], right: list[str]) -> np.ndarray:
@@ -136,18 +140,19 @@ def _common_long(left: str, right: str) -> int:
     return ahead + behind + len(a) - state.bit_count()
 
 
-def signature_likeness(left: list[str], right: list[str]) -> np.ndarray:
+def signature_likeness(left: list[str], right: list[str], short: bool = False) -> np.ndarray:
     """1 - edit distance / total length for pairs of signatures, insertions and deletions only.
 
     The longest common subsequences of pairs of up to 64 characters are found together, 64 rows to
     a machine word; longer ones pair by pair. Signatures of at least ``COMMON`` characters without
-    a common run of that length count as unlike; shorter ones only as alike when equal.
+    a common run of that length count as unlike, as single characters meet by chance; shorter ones
+    only as alike when equal. With ``short``, a run of a quarter of the shorter one is enough.
     """
     like = np.array([float(x == y) for x, y in zip(left, right)])
-    related = [i for i, (x, y) in enumerate(zip(left, right)) if x != y and _related(x, y)]
-    short = [i for i in related if max(len(left[i]), len(right[i])) <= WORD_BITS]
-    common = dict(zip(short, _common_short([left[i] for i in short],
-                                           [right[i] for i in short]).tolist()))
+    related = [i for i, (x, y) in enumerate(zip(left, right)) if x != y and _related(x, y, short)]
+    brief = [i for i in related if max(len(left[i]), len(right[i])) <= WORD_BITS]
+    common = dict(zip(brief, _common_short([left[i] for i in brief],
+                                           [right[i] for i in brief]).tolist()))
     for i in related:
         if i not in common:
             common[i] = _common_long(left[i], right[i])
@@ -156,19 +161,31 @@ def signature_likeness(left: list[str], right: list[str]) -> np.ndarray:
 
 
 def likeness(left: list[str], right: list[str]) -> np.ndarray:
-    """Likeness of fingerprint pairs, 0 to 1: the best over the block sizes they share."""
+    """Likeness of fingerprint pairs, 0 to 1: the best over the block sizes they share.
+
+    Shared sizes count among the first ``NEAR_LEVELS`` of both. Where the finest shared signatures
+    are shorter than ``SHORT``, or shared only further up, these two are compared as short ones.
+    """
     one = [f.split(":") for f in left]
     two = [f.split(":") for f in right]
     best = np.array([float(x == y) for x, y in zip(left, right)])
-    for up_a in range(LEVELS):
-        for up_b in range(LEVELS):
-            rows = [i for i, (x, y) in enumerate(zip(one, two))
-                    if int(x[0]) << up_a == int(y[0]) << up_b and best[i] < 1
-                    and (x[up_a + 1] or y[up_b + 1])]
-            if rows:
-                got = signature_likeness([one[i][up_a + 1] for i in rows],
-                                         [two[i][up_b + 1] for i in rows])
-                best[rows] = np.maximum(best[rows], got)
+    # By how many doublings the second's smallest size is above the first's.
+    above = [int(y[0]).bit_length() - int(x[0]).bit_length() for x, y in zip(one, two)]
+
+    def compare(rows: list[int], levels: list[int], short: bool) -> None:
+        if rows:
+            got = signature_likeness([one[i][n + above[i] + 1] for i, n in zip(rows, levels)],
+                                     [two[i][n + 1] for i, n in zip(rows, levels)], short)
+            best[rows] = np.maximum(best[rows], got)
+
+    for level in range(NEAR_LEVELS):
+        rows = [i for i, k in enumerate(above) if 0 <= level + k < NEAR_LEVELS and best[i] < 1
+                and (one[i][level + k + 1] or two[i][level + 1])]
+        compare(rows, [level] * len(rows), False)
+    finest = [max(0, -k) for k in above]
+    rows = [i for i, (k, n) in enumerate(zip(above, finest)) if best[i] < 1 and abs(k) < LEVELS and (
+        abs(k) >= NEAR_LEVELS or min(len(one[i][n + k + 1]), len(two[i][n + 1])) < SHORT)]
+    compare(rows, [finest[i] for i in rows], True)
     return best
 
 
