@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # HTML element names by what they do to the layout.
-RAW = {"script", "style", "title", "noscript", "template", "textarea", "svg", "math", "iframe",
-       "object", "select", "canvas", "audio", "video"}
+RAW = {"script", "style", "title", "noscript", "template", "textarea", "iframe", "select", "button",
+       "canvas", "audio", "video"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source",
         "track", "wbr"}
 PARAGRAPH = {"p", "pre", "blockquote", "figcaption", "address"}
@@ -162,12 +162,14 @@ def describe(tree: Tree) -> np.ndarray:
     children: list[list[int]] = [[] for _ in range(n)]
     before, depth = [0] * n, [0] * n
     aside, main, run = [0] * n, [0] * n, 0
+    place = [0] * n
     for v in range(n):
         up = tree.parent[v]
         before[v] = run
         run += chars[v]
         items[v] += tree.tag[v] == "li"
         if up >= 0:
+            place[v] = len(children[up])
             children[up].append(v)
             depth[v] = depth[up] + 1
             aside[v], main[v] = aside[up], main[up]
@@ -192,7 +194,7 @@ def describe(tree: Tree) -> np.ndarray:
         row[11] = chars[v] / tags[v]
         row[12] = stops[v] / max(spaces[v], 1)
         row[13] = math.log1p(tags[v])
-        row[14] = family.index(v) / len(family) if len(family) < 50 else 0.5
+        row[14] = place[v] / len(family)
         row[15] = math.log1p(len(family))
         around = chars[up] - chars[v] if up >= 0 else 0
         row[16] = math.log1p(around / max(len(family) - 1, 1))

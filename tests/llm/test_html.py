@@ -98,3 +98,21 @@ def test_odd_rows(spark, model):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert html.extract(none, model).count() == 0
     assert len(html.learn(none, examples=40, rounds=2, depth=2).trees) == 2
+
+
+def test_formulas_stay_and_controls_go(model):
+    page = """<html><body><nav><a href="/">Home</a></nav><article class="post-content"><h1>A title</h1>
+      <p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be a number <button>Copy</button>that is larger
+      than all others, which goes on for some words more.</p><p>Then <object>the inner text</object> and
+      <svg><text>a label</text></svg> follow, with quite a few words to make a line.</p></article>
+      </body></html>"""
+    assert html.main_texts([page], model) == [
+        "A title\nLet x+1 be a number that is larger than all others, which goes on for some words more.\n"
+        "Then the inner text and a label follow, with quite a few words to make a line."]
+
+
+def test_place_among_many_siblings():
+    tree = html.parse("<div>" + "".join(f"<p>text {i}</p>" for i in range(120)) + "</div>")
+    rows = html.describe(tree)
+    places = [rows[v, 14] for v in range(len(tree.parent)) if tree.tag[v] == "p"]
+    assert places == [i / 120 for i in range(120)]
