@@ -17,24 +17,26 @@ Which cells can be near each other is found in one of two ways with the same res
 features the neighbours of a cell are enumerated on the grid. Their number grows with a power of the
 features, so beyond ``GRID_FEATURES`` cells are treated as balls in a metric space: each belongs to
 the nearest of some pivots, is copied to the pivots that a ball within reach could belong to, and
-meets there only balls whose distance to that pivot is about its own. The distances to the first
-pivots rule out most of these pairs, the boxes the rest. That work depends on how many points are
-near each other, not on the number of features.
+meets there only balls whose distance to that pivot is about its own. A task compares the balls that
+live at such a place with the copies sent there as blocks of numbers: the distances of the middles
+rule out most pairs, the boxes the rest. Only pairs that are left become rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.ordering import with_running
 from patronage.operators.components import connected_components
 from patronage.operators.prepare import safe_numeric, standard_scale
-from patronage.session import settle
+from patronage.session import settle, ship_package
 
 # At most this many cells can be "hot"; their table is the only one broadcast.
 MAX_HOT_CELLS = 20_000
@@ -44,11 +46,12 @@ CHUNK_ROWS = 4_096
 DIRECT_PAIRS = 10_000
 # The neighbours of a cell are enumerated on the grid up to this many features.
 GRID_FEATURES = 5
-# Pivots of the metric partitions, chosen among this many cells, and how many of their distances are
-# compared before the boxes.
+# Pivots of the metric partitions, chosen among this many cells.
+LEAST_PIVOTS = 6
 MOST_PIVOTS = 96
 PIVOT_SAMPLE = 4_000
-LEADING_PIVOTS = 6
+# Pairs of balls that are compared at once in a task.
+MET_PAIRS = 1 << 20
 # Splitting is exact at any depth; past this depth points are nearly identical.
 MAX_SPLITS = 24
 
@@ -86,6 +89,56 @@ def _boxes(d: int) -> list[Column]:
             for e in (F.min(f"x{j}").alias(f"lo{j}"), F.max(f"x{j}").alias(f"hi{j}"))]
 
 
+def _close(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``a`` and ``b`` (radius, lows, highs) whose boxes are, up to rounding, within ``eps``."""
+    d = (a.shape[1] - 1) // 2
+    lo_a, hi_a, lo_b, hi_b = a[:, 1:d + 1], a[:, d + 1:], b[:, 1:d + 1], b[:, d + 1:]
+    # Distances of the middles, seen from the middle of the block so that little is cancelled.
+    p, q = (lo_a + hi_a) / 2, (lo_b + hi_b) / 2
+    p, q = p - p.mean(0), q - p.mean(0)
+    p2, q2 = (p * p).sum(1), (q * q).sum(1)
+    far = (a[:, :1] + b[:, 0] + eps) * (1 + 1e-9)
+    bound = far * far + 1e-12 * (p2[:, None] + q2)
+    # Whatever is no number is left to the boxes.
+    i, j = np.nonzero(~(p2[:, None] + q2 - 2 * (p @ q.T) > bound))
+    gap = np.maximum(np.maximum(lo_a[i] - hi_b[j], lo_b[j] - hi_a[i]), 0.0)
+    keep = ~((gap * gap).sum(1) > eps * eps * (1 + 1e-9))
+    return i[keep], j[keep]
+
+
+def _meeting(d: int, eps: float) -> Callable:
+    """Rows (part, ring, salt, copy, home, cell, radius, lows, highs) in that order to pairs of cells."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, names, balls = None, None, np.empty((0, 2 * d + 1))
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            copy = batch.column(3).to_numpy(zero_copy_only=False)
+            home = batch.column(4).to_numpy(zero_copy_only=False)
+            facts = np.stack([batch.column(i).to_numpy(zero_copy_only=False)
+                              for i in range(6, 7 + 2 * d)], 1)
+            heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else []
+            for first, last in zip(heads, np.append(heads[1:], len(key))):
+                if place is None or (key[first] != place).any():
+                    place, names, balls = key[first], None, balls[:0]
+                middle = first + int(np.count_nonzero(~copy[first:last]))
+                if middle > first:
+                    more = batch.column(5).slice(first, middle - first)
+                    names = more if names is None else pa.concat_arrays([names, more])
+                    balls = np.concatenate([balls, facts[first:middle]])
+                if not len(balls):
+                    continue
+                step = max(1, MET_PAIRS // len(balls))
+                for at in range(middle, last, step):
+                    to = min(at + step, last)
+                    i, j = _close(balls, facts[at:to], eps)
+                    a, b = names.take(pa.array(i)), batch.column(5).take(pa.array(j + at))
+                    # Two balls of one home meet twice; the pair is kept once.
+                    once = pc.or_(pa.array(home[j + at] > place[0]), pc.less(a, b))
+                    yield pa.RecordBatch.from_arrays(
+                        [a.filter(once), b.filter(once)], names=["a_cell", "b_cell"])
+    return run
+
+
 class _Grid:
     """The points of one run with their cells and the tables derived from them."""
 
@@ -207,7 +260,7 @@ class _Grid:
             PIVOT_SAMPLE).select("middle").collect()])
         chosen = [0]
         left = np.sqrt(((seen - seen[0]) ** 2).sum(1)) if len(seen) else np.empty(0)
-        wanted = min(MOST_PIVOTS, max(LEADING_PIVOTS, math.isqrt(len(seen))))
+        wanted = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(len(seen))))
         while len(chosen) < wanted and len(left) and left.max() > 0:
             chosen.append(int(left.argmax()))
             left = np.minimum(left, np.sqrt(((seen - seen[chosen[-1]]) ** 2).sum(1)))
@@ -216,29 +269,27 @@ class _Grid:
         away = F.transform(pivots, lambda p: F.sqrt(F.aggregate(
             F.zip_with(p, "middle", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)))
         out = settle(cells.drop(*[f"c{j}" for j in range(d)]).withColumn("away", away))
-        return out.withColumn("home", (F.array_position("away", F.array_min("away")) - 1).cast("int")) \
-            .withColumns({f"away{k}": F.coalesce(F.get("away", k), F.lit(0.0))
-                          for k in range(LEADING_PIVOTS)})
+        return out.withColumn("home", (F.array_position("away", F.array_min("away")) - 1).cast("int"))
 
     def met_balls(self) -> DataFrame:
-        """Unordered pairs (a, b) of cells that meet in a partition, not yet compared.
+        """Unordered pairs (a, b) of cells that meet in a partition and whose boxes may be within eps.
 
         If two middles are within w of each other, their distances to a pivot differ by w at most,
         and neither is farther from the other's pivot than from its own by more than 2 w. So a ball
         copied to every pivot within that margin meets all balls that live there and are within
-        reach. It is copied only to pivots before its own, which finds each pair once.
+        reach. It is copied only to pivots before its own, which finds each pair once. Balls that
+        meet are compared block by block, by one product of matrices, and what that leaves by boxes.
         """
         balls = self.balls()
         widest = balls.agg(F.max("radius")).first()[0] or 0.0
         reach = (self.eps + 2 * widest) * (1 + 1e-9)
         own_reach = (F.lit(self.eps + widest) + F.col("radius")) * F.lit(1 + 1e-9)
-        facts = ["cell", "radius", *[f"away{k}" for k in range(LEADING_PIVOTS)],
-                 *[f"{s}{j}" for j in range(self.d) for s in ("lo", "hi")]]
+        facts = ["cell", "radius", *[f"{s}{j}" for s in ("lo", "hi") for j in range(self.d)]]
 
         def ring(x: Column) -> Column:
             return F.floor(x / F.lit(reach)).cast("bigint")
 
-        living = balls.select(*facts, F.col("home").alias("part"),
+        living = balls.select(*facts, F.col("home").alias("part"), "home",
                               ring(F.get("away", F.col("home"))).alias("ring"))
         # Partitions with many balls are cut into chunks, each of which meets all copies. There are
         # fewer than MAX_HOT_CELLS of them.
@@ -260,18 +311,19 @@ class _Grid:
             "ring", F.explode(F.sequence(ring(F.greatest(F.col("far") - own_reach, F.lit(0.0))),
                                          ring(F.col("far") + own_reach))))
         copies = chunked(copies, lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
-        a = living.select("part", "ring", "salt", *[F.col(c).alias(f"a_{c}") for c in facts])
-        b = copies.select("part", "ring", "salt", "home", *[F.col(c).alias(f"b_{c}") for c in facts])
-        return a.join(b, ["part", "ring", "salt"]).filter(
-            (F.col("home") > F.col("part")) | (F.col("a_cell") < F.col("b_cell")))
+        place = ["part", "ring", "salt", "copy"]
+        both = living.withColumn("copy", F.lit(False)).select(*place, "home", *facts).unionByName(
+            copies.withColumn("copy", F.lit(True)).select(*place, "home", *facts))
+        spark = both.sparkSession
+        ship_package(spark)
+        # A task holds the balls that live at one place; the copies sent there pass by in batches.
+        return (both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *place[:3])
+                .sortWithinPartitions(*place)
+                .mapInArrow(_meeting(self.d, self.eps), "a_cell string, b_cell string"))
 
     def near_balls(self) -> DataFrame:
         """What ``near_cells`` gives, found by pivots."""
-        bound = (F.lit(self.eps) + F.col("a_radius") + F.col("b_radius")) * F.lit(1 + 1e-9)
-        met = self.met_balls()
-        for k in range(LEADING_PIVOTS):
-            met = met.filter(F.abs(F.col(f"a_away{k}") - F.col(f"b_away{k}")) <= bound)
-        return self._boxed(met.filter(self._gap2() <= F.lit(self.eps2)).select(
+        return self._boxed(self.met_balls().select(
             F.col("a_cell").alias("a"), F.col("b_cell").alias("b")))
 
     def _toward(self, pairs: DataFrame) -> DataFrame:

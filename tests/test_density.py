@@ -184,3 +184,16 @@ def test_met_balls_hold_all_near_pairs_once(spark):
     want = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if gap(a, b) <= 0.8}
     assert near == want and near <= set(met)
     assert len(met) < len(names) * (len(names) - 1) / 2
+
+
+def test_met_balls_become_rows_only_when_near(spark, monkeypatch):
+    """Far from the origin, compared in small blocks: no row for a pair that the boxes rule out."""
+    monkeypatch.setattr(module, "MET_PAIRS", 64)
+    points = {i: tuple(x + 1e5 for x in p) for i, p in spread_out(5, 240).items()}
+    df = spark.createDataFrame([(i, *p) for i, p in points.items()],
+                               "_id bigint, " + ", ".join(f"x{j} double" for j in range(12)))
+    grid = module._Grid(df, 12, 0.8, 5)
+    met = grid.met_balls().select("a_cell", "b_cell").collect()
+    near = grid.near_balls().count()
+    assert near == len({tuple(sorted(r)) for r in met}) == len(met) > 100
+    assert run(spark, points, 0.8, 5) == brute(points, 0.8, 5)
