@@ -125,3 +125,24 @@ def test_customer_stream_restarts_and_notes_silence(spark, tmp_path):
             r.purchase_frequency, r.total_spent, r.last_purchase_date)
     assert {k: r.is_quiet for k, r in now.items()} == {1: True, 2: True, 3: True, 4: False}
     assert log.filter("event = 'quiet'").count() == 3
+
+
+def test_customer_stream_calls_by_bucket_and_timers_by_customer(spark, tmp_path):
+    """Customers of one bucket, with names as keys: silence is noted for each at its own time."""
+    schema = "customer_id string, amount double, date timestamp_ntz"
+    at = lambda *d: dt.datetime(2024, *d)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([("a", 1.0, at(1, 1)), ("b", 2.0, at(3, 1)), ("a", 1.0, at(1, 2))],
+                 [("c", 3.0, at(4, 20))],    # a is quiet, b not yet
+                 [("a", 4.0, at(4, 21)), ("c", 1.0, at(4, 22))],
+                 [("c", 1.0, at(9, 1))]):    # all but c are quiet
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        updates = recency.customer_recency(stream, "60 days", "10 days", buckets=1)
+        query = recency.write_updates(updates, out, state)
+        assert query.awaitTermination(180) and query.exception() is None
+    log = sorted((r.customer_id, r.purchase_frequency, r.event, r.total_spent)
+                 for r in spark.read.parquet(out).collect())
+    assert log == [("a", 2, "purchase", 2.0), ("a", 2, "quiet", 2.0), ("a", 3, "purchase", 6.0),
+                   ("a", 3, "quiet", 6.0), ("b", 1, "purchase", 2.0), ("b", 1, "quiet", 2.0),
+                   ("c", 1, "purchase", 3.0), ("c", 2, "purchase", 4.0), ("c", 3, "purchase", 5.0)]
