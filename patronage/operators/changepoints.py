@@ -2,8 +2,8 @@
 
 Each series is a ridge regression on a straight line, hinges at regular places in the first
 ``reach`` of its history (the trend may bend there), and sines and cosines of the year and the week.
-The regression needs sums of products only. They are one array per row, summed by series in one
-aggregate, and solved inside the row by sweeping the matrix, which gives the weights, the squared
+The regression needs sums of products only. They are added up inside the one row that a series is
+gathered in, and solved there by sweeping the matrix, which gives the weights, the squared
 error and the degrees of freedom at once. There is one estimator for histories of any length: what a
 short history cannot tell apart is shared out by the ridge.
 
@@ -18,9 +18,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from statistics import NormalDist
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.calendar import add_steps, step_interval
@@ -88,32 +86,34 @@ def normal_sums(series: DataFrame, shape: Shape, by: Sequence[str] = ()) -> Data
     """(keys, n, first, last, span, scale, products, days): the sums a fit needs, one row per series.
 
     ``products`` holds the upper triangle, row by row, of the products of the terms with each other
-    and, last, with the scaled value. Rows without a date or value are left out. The series is
-    shuffled once, by its keys.
+    and, last, with the scaled value. Rows without a date or value are left out. The dates and
+    values of a series are gathered in one row, by one shuffle, and the products added up inside it,
+    in the order of the dates: as rows they would be many times the series and be sorted once more.
     """
-    by, keys = list(by), list(by) or [F.lit(0)]
-    everything = Window.partitionBy(*keys)
+    by, width = list(by), shape.size + 1
     rows = series.select(*by, "ds", F.col("y").cast("double").alias("_y")).filter(
         F.col("ds").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_y"))
-    rows = rows.withColumns({
-        "_first": F.min("ds").over(everything), "_last": F.max("ds").over(everything),
-        "_scale": F.max(F.abs("_y")).over(everything)})
-    rows = rows.withColumns({
-        "_span": F.greatest(F.datediff("_last", "_first"), F.lit(1)).cast("double"),
-        "_scale": F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(F.lit(1.0))})
-    t = F.datediff("ds", "_first") / F.col("_span")
-    width = shape.size + 1
-    products = _let(
-        F.concat(_terms(shape, F.col("ds"), t), F.array(F.col("_y") / F.col("_scale"))),
-        lambda z: F.flatten(F.transform(z, lambda u, i: F.transform(
-            F.slice(z, i + 1, width), lambda v: u * v))))
-    aggs = [F.count("*").alias("n"), F.min("_first").alias("first"), F.max("_last").alias("last"),
-            F.max("_span").alias("span"), F.max("_scale").alias("scale"),
-            vector_to_array(Summarizer.sum(F.col("_p"))).alias("products"),
-            F.sort_array(F.collect_list("ds")).alias("days")]
-    rows = rows.withColumn("_p", array_to_vector(products))
     # Without keys the rows are one group; without rows there is none.
-    return rows.groupBy(*(by or [F.lit(0).alias("_one")])).agg(*aggs).drop("_one")
+    sums = rows.groupBy(*(by or [F.lit(0).alias("_one")])).agg(
+        F.count("*").alias("n"), F.min("ds").alias("first"), F.max("ds").alias("last"),
+        F.max(F.abs("_y")).alias("scale"),
+        F.sort_array(F.collect_list(F.struct("ds", "_y"))).alias("_rows"))
+    sums = sums.withColumns({
+        "span": F.greatest(F.datediff("last", "first"), F.lit(1)).cast("double"),
+        "scale": F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0))})
+
+    def products(row: Column) -> Column:
+        t = F.datediff(row["ds"], F.col("first")) / F.col("span")
+        return _let(
+            F.concat(_terms(shape, row["ds"], t), F.array(row["_y"] / F.col("scale"))),
+            lambda z: F.flatten(F.transform(z, lambda u, i: F.transform(
+                F.slice(z, i + 1, width), lambda v: u * v))))
+
+    nothing = F.array_repeat(F.lit(0.0), width * (width + 1) // 2)
+    added = F.aggregate("_rows", nothing, lambda sum_, row: F.zip_with(
+        sum_, products(row), lambda a, b: a + b))
+    return sums.select(*by, "n", "first", "last", "span", "scale", added.alias("products"),
+                       F.col("_rows.ds").alias("days"))
 
 
 def solved(sums: DataFrame, shape: Shape) -> DataFrame:

@@ -121,3 +121,21 @@ def test_a_series_is_shuffled_once(spark):
     s = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1.0)], "k string, ds date, y double")
     plan = cp.forecast(s, "month", 3, by=["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sums_by_key_gather_short_rows_in_one_shuffle(spark):
+    """The rows of a series are not widened to their products before they are added up."""
+    shape = cp.Shape(changes=2, yearly=1)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=31 * i) for i in range(9)]
+    rows = [(k, d, float((k + 3) * i % 7)) for k in range(300) for i, d in enumerate(days)]
+    series = spark.createDataFrame(rows, "k bigint, ds date, y double").repartition(4)
+    sums = cp.normal_sums(series, shape, ["k"])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "summarizer" not in plan.lower()
+    got = {r.k: r for r in sums.collect()}
+    assert len(got) == 300 and all(r.n == 9 and r.days == days for r in got.values())
+    alone = cp.normal_sums(series.filter("k = 5").drop("k"), shape).first()
+    assert alone.products == got[5].products and len(alone.products) == 28
+    span = (days[-1] - days[0]).days
+    t = [(d - days[0]).days / span for d in days]
+    assert got[5].products[0] == 9 and abs(got[5].products[1] - sum(t)) < 1e-12
