@@ -35,7 +35,9 @@ from patronage.session import settle
 
 TILE_WORDS = 1 << 18
 # Comparisons made at once, which bounds the memory of one step.
-CELLS = 1 << 20
+CELLS = 1 << 17
+# Texts whose words are hashed together; a longer text is taken alone.
+PIECE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
@@ -216,7 +218,7 @@ def _finder(schema: pa.Schema, least: int, form: str) -> Callable:
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
-            for a, b in pieces(bounds):
+            for a, b in pieces(bounds, PIECE_BYTES):
                 raw, own = data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a]
                 words, word_bounds = word_hashes(raw, own, fold=None)
                 rows = intervals(words, word_bounds, least)

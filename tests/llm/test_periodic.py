@@ -136,3 +136,23 @@ def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert len(got) == 6 and all(r.n_runs == 0 and r.start is None for r in got)
     assert query(spark, no_docs, monkeypatch) == []
     assert periodic._primitive(None, np.empty(0), np.empty(0), 0).tolist() == []
+
+
+def test_a_batch_takes_little_memory_beside_its_texts(monkeypatch):
+    import tracemalloc
+    import types
+    monkeypatch.setattr(periodic.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10 ** 6)) for _ in range(600)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], names=["id", "text"])
+    found = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "period")]))
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()),
+                        ("collapsed", pa.string()), ("text", pa.string()), ("found", found)])
+    run = periodic._finder(schema, 12, "sha256")
+    assert sum(b.num_rows for b in run(iter([batch]))) == 400
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == 400
+        assert tracemalloc.get_traced_memory()[1] < 12e6
+    finally:
+        tracemalloc.stop()
