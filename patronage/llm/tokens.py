@@ -31,7 +31,10 @@ SHARD_TOKENS = 1 << 20
 END_ID = 0
 TABLE = 1 << 18
 
-WORD_LIMIT = 500_000
+# Known words have two possible slots each in a table; all are forgotten after so many were learned.
+WORD_LIMIT = 2_000_000
+WORD_SLOTS = 1 << 21
+WORDS_AT_ONCE = 1_000
 PIECE_BYTES = 1 << 20
 
 # Classes of bytes: letter, digit, other, white space, and bytes the fast path leaves alone.
@@ -62,25 +65,68 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content.encode()
                       for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Bytes of each id: the byte-level alphabet has one character a byte.
+        names = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(names.values(), default=0) + 1, np.int64)
+        for name, code in names.items():
+            self.widths[code] = len(name)
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.empty((0, 2), np.int64)
-        self.flat = np.empty(0, np.uint16)
+        self.keys = np.zeros(WORD_SLOTS, np.uint64)
+        self.first = np.zeros(WORD_SLOTS, np.int32)
+        self.count = np.zeros(WORD_SLOTS, np.int32)  # 0: a free slot
+        self.flat, self.used, self.known = np.empty(1 << 16, np.uint16), 0, 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = self.plain(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = np.stack([np.cumsum(lengths) - lengths + len(self.flat), lengths], 1)
-        self.flat = np.concatenate(
-            [self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint16, lengths.sum())])
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, at, axis=0)
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has.
+
+        Words are handed over in groups, each encoded alone. The ids of a word have as many bytes
+        as the word, which tells where it ends.
+        """
+        groups = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        ids = np.fromiter(itertools.chain.from_iterable(
+            e.ids for e in self.tokenizer.encode_batch_fast(
+                groups, is_pretokenized=True, add_special_tokens=False)), np.uint16)
+        ends = np.cumsum(self.widths[ids])
+        last = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
+        upto = np.searchsorted(ends, last, "right")
+        if len(ids) and upto[0] and np.array_equal(ends[upto - 1], last):
+            return ids, np.diff(upto, prepend=0)
+        each = self.plain(words)
+        return (np.fromiter(itertools.chain.from_iterable(each), np.uint16),
+                np.fromiter(map(len, each), np.int64, len(each)))
+
+    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        last = np.uint64(WORD_SLOTS - 1)
+        return (keys & last).astype(np.int64), ((keys >> np.uint64(32)) & last).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin and how many it has; 0 of a word that is not known."""
+        one, two = self._slots(keys)
+        slot = np.where(self.keys[one] == keys, one, two)
+        return self.first[slot].astype(np.int64), np.where(
+            self.keys[slot] == keys, self.count[slot], 0).astype(np.int64)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``_find`` gives for new words, of which each pushes out another one at most."""
+        ids, counts = self._word_ids(words)
+        if self.used + len(ids) > len(self.flat):
+            wider = np.empty(max(2 * len(self.flat), self.used + len(ids)), np.uint16)
+            wider[:self.used] = self.flat[:self.used]
+            self.flat = wider
+        first = self.used + np.cumsum(counts) - counts
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.used, self.known = self.used + len(ids), self.known + len(words)
+        one, two = self._slots(keys)
+        slot = np.where((self.count[one] > 0) & (self.count[two] == 0), two, one)
+        # Of new words that share a slot one stays, in all three arrays the same.
+        slot, kept = np.unique(slot, return_index=True)
+        self.keys[slot], self.first[slot], self.count[slot] = keys[kept], first[kept], counts[kept]
+        return first, counts
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of one piece of UTF-8 bytes."""
@@ -114,22 +160,18 @@ class _Encoder:
         start = np.flatnonzero(begins)
         end = np.append(start[1:], n)
         keys = span_hashes(data, start, end) ^ (end - start).astype(np.uint64)
-        distinct, sample, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > WORD_LIMIT:
+        if self.known > WORD_LIMIT:
             self.forget()
-        place = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(place, len(self.keys) - 1)] == distinct
-        if not known.all():
-            new = np.flatnonzero(~known)
-            at = sample[new]
-            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(
+        places, counts = self._find(keys)
+        new = np.flatnonzero(counts == 0)
+        if len(new):
+            distinct, sample, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            at = new[sample]
+            learned = self._learn(distinct, [raw[a:b].decode("utf-8", "replace") for a, b in zip(
                 start[at].tolist(), end[at].tolist())])
-            place = np.searchsorted(self.keys, distinct)
-        spans = self.at[place][which]
-        ids = self.flat[ragged(spans[:, 0], spans[:, 1])]
-        total = np.concatenate([[0], np.cumsum(spans[:, 1])])
+            places[new], counts[new] = (x[which] for x in learned)
+        ids = self.flat[ragged(places, counts)]
+        total = np.concatenate([[0], np.cumsum(counts)])
         cuts = total[np.searchsorted(start, bounds)].tolist()
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         if text_odd.any():

@@ -87,3 +87,19 @@ def test_added_tokens_are_one_id():
     got = [g.tolist() for g in tokens.encode_column(TOKENIZER, pa.array(texts, pa.string()))]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert 50_256 in got[2]
+
+
+def test_words_are_encoded_in_groups_and_known_again(monkeypatch):
+    encoder = tokens._Encoder(TOKENIZER)
+    calls = []
+    plain = encoder.plain
+    monkeypatch.setattr(encoder, "plain", lambda texts: calls.append(len(texts)) or plain(texts))
+    texts = [f"first{i} café{i % 7} -- {i}\nx" for i in range(300)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for known in (False, True):
+        assert [x.tolist() for x in encoder.encode(data, bounds)] == want
+        assert not calls  # neither whole texts nor words one by one
+        assert (encoder.known > 0) and (not known or encoder.known == learned)
+        learned = encoder.known
