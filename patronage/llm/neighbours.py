@@ -2,21 +2,24 @@
 
 Vectors are scaled to length one and turned by a random rotation, which spreads what tells two
 vectors apart over all dimensions. They are dealt to lists by the nearest of up to ``MOST_LISTS``
-centres, and each list is written in blocks of ``BLOCK_ROWS`` vectors, stored by column: ``COLUMNS``
-dimensions of all its vectors, then the next ones. A query reads the lists nearest to it. Within a
-block it adds up squared distances one column block at a time; after d of D dimensions, the share
-seen so far estimates the whole distance, and a hypothesis test abandons every vector whose estimate
-lies beyond the k-th best distance by more than ``DOUBT`` / sqrt(d) of it. What is left has its
-cosine taken in double precision from the vectors as they came.
-
-The first list gives each query its k-th best distance, the others are scanned against that. How
-many lists a query reads is found when the index is fitted: so many that of the true neighbours
-within the fitted sample the share ``recall`` stands in them.
+centres, and some lists, or parts of large ones, make up a bucket. The task that holds a bucket keeps
+blocks of ``BLOCK_ROWS`` vectors, stored by column: ``COLUMNS`` dimensions of all its vectors, then
+the next ones. A query reads the lists nearest to it. Within a block it adds up squared distances
+one column block at a time; after d of D dimensions, the share seen so far estimates the whole
+distance, and a hypothesis test abandons every vector whose estimate lies beyond the k-th best
+distance by more than ``DOUBT`` / sqrt(d) of it. What is left has its cosine taken in double
+precision from the vectors as they came.
+
+The first list gives each query its k-th best distance, the others are scanned against that, but for
+lists that lie wholly beyond it. How many lists a query reads is found when the index is fitted: so
+many that of the true neighbours within the fitted sample the share ``recall`` stands in them.
 
 Every vector is indexed; only the fit is from a sample, of about ``SAMPLE`` vectors, which the driver
-holds. Lists of any size are many blocks, which are joined with the queries one by one, so a list
-with a third of all vectors costs more tasks, not a longer one. To the driver and to all tasks go the
-rotation, the centres and the sizes of the lists.
+holds; their products with the centres and with each other it takes in pieces of ``HELD``. A list of
+any size is many parts in several buckets, so a list with a third of all vectors costs more tasks,
+not a longer one. A query goes once to each bucket in which it reads, with the names of its lists.
+Only vectors as they came are written and shuffled. To the driver and to all tasks go the rotation,
+the centres and the sizes of the lists.
 """
 
 from __future__ import annotations
@@ -40,12 +43,18 @@ SAMPLE = 40_000
 MOST_LISTS = 2_048
 BLOCK_ROWS = 2_048
 PACK_ROWS = 1_024
+# Vectors, as they came, that a task holds at once.
+BUCKET_BYTES = 64 << 20
 COLUMNS = 16
 DOUBT = 2.1
 RECALL = 0.99
 SEED = 11
 # Distances held at once while a block is scanned.
 CELLS = 1 << 19
+# Vectors left in a block are picked out when they are fewer than one in so many.
+SPARSE = 20
+# Products of sampled rows with centres, or with each other, that are held at once.
+HELD = 1 << 21
 
 
 @dataclass
@@ -102,18 +111,27 @@ def _sampler(schema: pa.Schema, dims: int) -> Callable:
     return run
 
 
+def _pieces(rows: np.ndarray, across: int) -> Iterator[slice]:
+    """The rows in pieces whose products with ``across`` others are few enough to be held."""
+    step = max(1, HELD // max(across, 1))
+    return (slice(i, i + step) for i in range(0, len(rows), step))
+
+
 def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     # All have length one, so the nearest centre is the one with the largest product.
-    return (rows @ centres.T).argmax(1) if len(rows) else np.empty(0, np.int64)
+    return np.concatenate([np.empty(0, np.int64), *(
+        (rows[some] @ centres.T).argmax(1) for some in _pieces(rows, len(centres)))])
 
 
 def _centres(rows: np.ndarray, lists: int, turns: int = 12) -> np.ndarray:
     """Spherical k-means; a centre that loses all its rows goes to a row far from its own."""
     pick = np.random.default_rng(SEED)
     centres = rows[pick.choice(len(rows), lists, replace=False)]
+    at, near = np.empty(len(rows), np.int64), np.empty(len(rows), rows.dtype)
     for _ in range(turns):
-        products = rows @ centres.T
-        at, near = products.argmax(1), products.max(1)
+        for some in _pieces(rows, lists):
+            products = rows[some] @ centres.T
+            at[some], near[some] = products.argmax(1), products.max(1)
         sums = np.zeros((lists, rows.shape[1]), np.float64)
         np.add.at(sums, at, rows)
         empty = np.flatnonzero(np.bincount(at, minlength=lists) == 0)
@@ -129,15 +147,18 @@ def _probes(rows: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int
         return 1
     pick = np.random.default_rng(SEED + 1)
     asked = pick.choice(len(rows), min(len(rows), 400), replace=False)
-    products = rows[asked] @ rows.T
-    products[np.arange(len(asked)), asked] = -np.inf
     k = min(k, len(rows) - 1)
-    near = np.argpartition(-products, k - 1, axis=1)[:, :k]
-    to_centres = rows[asked] @ centres.T
-    theirs = _nearest_centre(rows, centres)[near]
-    own = np.take_along_axis(to_centres, theirs, 1)
-    rank = (to_centres[:, None, :] > own[:, :, None]).sum(2).ravel()
-    return int(np.sort(rank)[min(len(rank) - 1, math.ceil(recall * len(rank)) - 1)]) + 1
+    at, ranks = _nearest_centre(rows, centres), []
+    for some in _pieces(asked, max(len(rows), k * len(centres))):
+        mine = asked[some]
+        products = rows[mine] @ rows.T
+        products[np.arange(len(mine)), mine] = -np.inf
+        near = np.argpartition(-products, k - 1, axis=1)[:, :k]
+        to_centres = rows[mine] @ centres.T
+        own = np.take_along_axis(to_centres, at[near], 1)
+        ranks.append((to_centres[:, None, :] > own[:, :, None]).sum(2).ravel())
+    rank = np.sort(np.concatenate(ranks))
+    return int(rank[min(len(rank) - 1, math.ceil(recall * len(rank)) - 1)]) + 1
 
 
 def fit(vectors: DataFrame, vector_col: str = "embedding", *, k: int = 5, sample: int = SAMPLE,
@@ -156,6 +177,7 @@ def fit(vectors: DataFrame, vector_col: str = "embedding", *, k: int = 5, sample
     taken = some.mapInArrow(_sampler(_arrow(spark, shape), dims), shape).collect()
     rows = np.concatenate([np.empty((0, dims), "<f4"), *(
         np.frombuffer(r["unit"], "<f4").reshape(-1, dims) for r in taken)])
+    del taken
     if not len(rows):
         return None
     rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dims, dims)))[0].astype(np.float32)
@@ -171,79 +193,82 @@ def _placer(schema: pa.Schema, index: Index) -> Callable:
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
             place, rows = _matrix(batch.column(1), index.dims)
-            turned = _unit(rows).astype(np.float32) @ index.rotation
             yield pa.RecordBatch.from_arrays([
                 pa.array(at + place), batch.column(0).take(pa.array(place)),
                 batch.column(2).take(pa.array(place)),
-                pa.array(_nearest_centre(turned, index.centres), pa.int32()),
-                pa.array([r.tobytes() for r in rows.astype(index.kind)], pa.binary()),
-                pa.array([r.tobytes() for r in turned.astype("<f4")], pa.binary())], schema=schema)
+                pa.array(_nearest_centre(_turned(rows, index), index.centres), pa.int32()),
+                pa.array([r.tobytes() for r in rows.astype(index.kind)], pa.binary())], schema=schema)
             at += batch.num_rows
     return run
 
 
+def _turned(rows: np.ndarray, index: Index) -> np.ndarray:
+    return _unit(rows.astype(np.float64)).astype(np.float32) @ index.rotation
+
+
 def _rows(column: pa.Array, kind: str, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims)
 
 
-def _blocker(schema: pa.Schema, index: Index) -> Callable:
-    """Blocks of the vectors of each (list, part), which stand together, stored by column."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def block() -> pa.RecordBatch:
-            row, vec, raw, turned = (pa.concat_arrays([b.column(i) for b in held]) for i in (2, 3, 4, 5))
-            by_column = np.ascontiguousarray(_rows(turned, "<f4", index.dims).T)
-            return pa.RecordBatch.from_pylist([{
-                "list": key[0], "part": key[1], "rows": row.to_pylist(), "ids": vec.to_pylist(),
-                "raw": b"".join(raw.to_pylist()),
-                "columns": [by_column[i:i + COLUMNS].tobytes()
-                            for i in range(0, index.dims, COLUMNS)]}], schema=schema)
+class _Deal:
+    """Which buckets hold a list: lists are cut into parts of about ``BLOCK_ROWS``, a bucket is some parts."""
 
-        for batch in batches:
-            lists, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            new = np.flatnonzero((np.diff(lists, prepend=-1) != 0) | (np.diff(parts, prepend=-1) != 0))
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), batch.num_rows]):
-                here = (int(lists[a]), int(parts[a]))
-                if held and here != key:
-                    yield block()
-                    held = []
-                key = here
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield block()
-    return run
+    def __init__(self, sizes: np.ndarray, index: Index, least: int):
+        self.sizes, self.parts = sizes, np.maximum(1, -(-sizes // BLOCK_ROWS))
+        self.first = np.cumsum(self.parts) - self.parts
+        most = -(-int(sizes.sum()) * index.dims * np.dtype(index.kind).itemsize // BUCKET_BYTES)
+        self.buckets = int(min(self.parts.sum(), max(least, most)))
+        self.bucket_parts = -(-int(self.parts.sum()) // self.buckets)
 
 
-def _packer(schema: pa.Schema, index: Index, sizes: np.ndarray, k: int, nearest: bool) -> Callable:
-    """For each block that queries of a batch read, one row with those queries.
+def _packer(schema: pa.Schema, index: Index, deal: _Deal, k: int, nearest: bool) -> Callable:
+    """For each bucket in which a query of a batch reads, one row with the lists that it reads there.
 
     A query reads the nearest list alone, or the others: ``probes`` lists in all, and more until
-    they hold k vectors besides itself.
+    they hold k vectors besides itself. A list is left out if whatever is nearer to its centre than
+    to that of the nearest list is farther from the query than the k-th best so far.
     """
-    parts = np.maximum(1, -(-sizes // BLOCK_ROWS))
+    sizes = deal.sizes
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        turned = _turned(_rows(batch.column(2), index.kind, index.dims), index)
+        products = turned @ index.centres.T
+        order = np.argsort(-products, axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        read = (np.arange(order.shape[1]) < index.probes) | (held - sizes[order] < k + 1)
+        first = np.argmax(sizes[order] > 0, axis=1)[:, None] == np.arange(order.shape[1])
+        read &= (first if nearest else ~first) & (sizes[order] > 0)
+        if not nearest:
+            # Equal centres have no border between them; no list is left out for that.
+            own = index.centres[order[:, 0]]
+            apart = np.sqrt(np.maximum(2 - 2 * (own @ index.centres.T), 0))
+            border = np.maximum(products.max(1, keepdims=True) - products, 0) / np.maximum(apart, 1e-3)
+            far = batch.column(3).to_numpy(zero_copy_only=False)
+            reach = np.sqrt(np.maximum(far, 0) * (1 + 1e-4) + 1e-5)[:, None]
+            read &= np.take_along_axis(border <= reach + 1e-4, order, 1)
+        query, rank = np.nonzero(read)
+        lists = order[query, rank]
+        low = deal.first[lists] // deal.bucket_parts
+        times = (deal.first[lists] + deal.parts[lists] - 1) // deal.bucket_parts - low + 1
+        query, lists = np.repeat(query, times), np.repeat(lists, times)
+        bucket = np.repeat(low, times) + np.arange(len(query)) - np.repeat(np.cumsum(times) - times, times)
+        by = np.lexsort((lists, query, bucket))
+        query, lists, bucket = query[by], lists[by], bucket[by]
+        heads = np.flatnonzero((np.diff(query, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
+        ends = np.append(heads, len(query)) * 2
+        some = pa.array(query[heads])
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[heads], pa.int32()), pa.array(np.ones(len(heads), bool)),
+            pa.nulls(len(heads), pa.int32()), batch.column(0).take(some), batch.column(1).take(some),
+            batch.column(2).take(some), batch.column(3).take(some),
+            pa.Array.from_buffers(pa.binary(), len(heads), [
+                None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(lists.astype("<u2"))])],
+            schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = _rows(batch.column(3), "<f4", index.dims)
-            order = np.argsort(-(turned @ index.centres.T), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            read = (np.arange(order.shape[1]) < index.probes) | (held - sizes[order] < k + 1)
-            first = np.argmax(sizes[order] > 0, axis=1)[:, None] == np.arange(order.shape[1])
-            query, rank = np.nonzero((read & (first if nearest else ~first)) & (sizes[order] > 0))
-            lists = order[query, rank]
-            by_list = np.argsort(lists, kind="stable")
-            cuts = np.flatnonzero(np.diff(lists[by_list], prepend=-1))
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by_list)]):
-                one, some = int(lists[by_list[a]]), query[by_list[a:b]]
-                asked = batch.take(pa.array(some))
-                yield pa.RecordBatch.from_pylist([{
-                    "list": one, "parts": list(range(parts[one])),
-                    "query_rows": asked.column(0).to_pylist(), "query_ids": asked.column(1).to_pylist(),
-                    "query_raw": b"".join(asked.column(2).to_pylist()),
-                    "query_turned": turned[some].tobytes(),
-                    "far": asked.column(4).to_pylist()}], schema=schema)
+            for at in range(0, batch.num_rows, PACK_ROWS):
+                yield pack(batch.slice(at, PACK_ROWS))
     return run
 
 
@@ -274,61 +299,127 @@ def scan(columns: list[np.ndarray], queries: np.ndarray, far: np.ndarray, k: int
 
     def near(sums: np.ndarray, d: int, limit: np.ndarray) -> np.ndarray:
         allowed = limit * (1 + DOUBT / math.sqrt(d)) ** 2 if d < dims else limit
-        return sums * (dims / d) <= allowed * (1 + 1e-4) + 1e-5
+        return sums <= ((allowed * (1 + 1e-4) + 1e-5) * (d / dims)).astype(np.float32)
+
+    def apart2(part: np.ndarray, block: np.ndarray) -> np.ndarray:
+        one = np.ones(1, np.float32)
+        left = np.concatenate([-2 * part, (part * part).sum(1)[:, None], one.repeat(len(part))[:, None]], 1)
+        return left @ np.concatenate([block, one.repeat(block.shape[1])[None], (block * block).sum(0)[None]])
 
     found_q, found_r = [], []
     chunk = max(1, CELLS // max(n, 1))
     for a in range(0, len(queries), chunk):
         asked, limit = queries[a:a + chunk], far[a:a + chunk]
-        part = asked[:, :starts[1]]
-        sums = ((part * part).sum(1)[:, None] + (columns[0] * columns[0]).sum(0)
-                - 2 * part @ columns[0])
+        sums = apart2(asked[:, :starts[1]], columns[0])
         keep = near(sums, int(starts[1]), limit[:, None])
         mine = own[a:a + chunk]
         has = np.flatnonzero(mine >= 0)
         keep[has, mine[has]] = False
-        q, r = np.nonzero(keep)
-        sums = sums[q, r]
+        q = r = None
         for block, low in zip(columns[1:], starts[1:]):
-            apart = block[:, r].T - asked[q, low:low + len(block)]
+            d = int(low + len(block))
+            # While many are left, one product for all costs less than picking out those.
+            if q is None and np.count_nonzero(keep) * SPARSE > keep.size:
+                sums += apart2(asked[:, low:d], block)
+                keep &= near(sums, d, limit[:, None])
+                continue
+            if q is None:
+                q, r = np.nonzero(keep)
+                sums = sums[q, r]
+            apart = block[:, r].T - asked[q, low:d]
             sums = sums + np.einsum("ij,ij->i", apart, apart)
-            keep = near(sums, int(low + len(block)), limit[q])
-            q, r, sums = q[keep], r[keep], sums[keep]
+            left = near(sums, d, limit[q])
+            q, r, sums = q[left], r[left], sums[left]
+        if q is None:
+            q, r = np.nonzero(keep)
         found_q.append(q + a)
         found_r.append(r)
     return np.concatenate(found_q), np.concatenate(found_r)
 
 
+class _Bucket:
+    """The vectors of a bucket, with blocks of their turned forms stored by column."""
+
+    def __init__(self, held: list[pa.RecordBatch], index: Index):
+        lists = np.concatenate([b.column(2).to_numpy(zero_copy_only=False) for b in held])
+        self.rows = np.concatenate([b.column(3).to_numpy(zero_copy_only=False) for b in held])
+        self.ids = pa.concat_arrays([b.column(4) for b in held])
+        self.raw = np.concatenate([_rows(b.column(5), index.kind, index.dims) for b in held])
+        self.blocks = []
+        heads = np.flatnonzero(np.diff(lists, prepend=-1))
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(lists)]):
+            for i in range(a, b, BLOCK_ROWS):
+                some = slice(i, min(i + BLOCK_ROWS, b))
+                by_column = np.ascontiguousarray(_turned(self.raw[some], index).T)
+                order = np.argsort(self.rows[some])
+                self.blocks.append((int(lists[a]), some, self.rows[some][order], order, [
+                    by_column[j:j + COLUMNS] for j in range(0, index.dims, COLUMNS)]))
+
+    def best(self, asked: pa.RecordBatch, index: Index, k: int) -> tuple[np.ndarray, ...]:
+        """(query, vector, score) of the k best for each query, in that order."""
+        raw = _rows(asked.column(5), index.kind, index.dims)
+        turned = _turned(raw, index)
+        query_rows = asked.column(3).to_numpy(zero_copy_only=False)
+        far = asked.column(6).to_numpy(zero_copy_only=False)
+        reads = np.zeros((len(raw), len(index.centres)), bool)
+        for i, lists in enumerate(asked.column(7).to_pylist()):
+            reads[i, np.frombuffer(lists, "<u2")] = True
+        found_q, found_r, found_s = [], [], []
+        for one, some, sorted_rows, order, columns in self.blocks:
+            mine = np.flatnonzero(reads[:, one])
+            if not len(mine):
+                continue
+            place = np.minimum(np.searchsorted(sorted_rows, query_rows[mine]), len(order) - 1)
+            own = np.where(sorted_rows[place] == query_rows[mine], order[place], -1)
+            q, r = scan(columns, turned[mine], far[mine], k, own)
+            q, r = mine[q], r + some.start
+            score = np.empty(len(q))
+            for a in range(0, len(q), CELLS // 4):
+                b = a + CELLS // 4
+                score[a:b] = cosines(raw[q[a:b]].astype(np.float64), self.raw[r[a:b]].astype(np.float64))
+            best = self._first(q, r, score, k)
+            found_q.append(q[best])
+            found_r.append(r[best])
+            found_s.append(score[best])
+        if not found_q:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        q, r, score = (np.concatenate(x) for x in (found_q, found_r, found_s))
+        best = self._first(q, r, score, k)
+        return q[best], r[best], score[best]
+
+    def _first(self, q: np.ndarray, r: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+        ids = self.ids.take(pa.array(r))
+        by_id = pc.rank(ids, "ascending", tiebreaker="dense").to_numpy() if len(ids) else r
+        best = np.lexsort((self.rows[r], by_id, -score, q))
+        rank = np.arange(len(q)) - np.searchsorted(q[best], q[best])
+        return best[rank < k]
+
+
 def _scanner(schema: pa.Schema, index: Index, k: int) -> Callable:
+    """Rows (bucket, asks, list, row, id, raw, far, lists) in that order to what each query finds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, bucket = None, [], None
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = {n: batch.column(i)[at] for i, n in enumerate(batch.schema.names)}
-                rows = row["rows"].values.to_numpy()
-                raw = np.frombuffer(row["raw"].as_py(), index.kind).reshape(-1, index.dims)
-                columns = [np.frombuffer(c, "<f4").reshape(-1, len(rows)) for c in row["columns"].as_py()]
-                query_rows = row["query_rows"].values.to_numpy()
-                asked_raw = np.frombuffer(row["query_raw"].as_py(), index.kind).reshape(-1, index.dims)
-                asked = np.frombuffer(row["query_turned"].as_py(), "<f4").reshape(-1, index.dims)
-                order = np.argsort(rows)
-                place = np.minimum(np.searchsorted(rows, query_rows, sorter=order), len(rows) - 1)
-                own = np.where(rows[order[place]] == query_rows, order[place], -1)
-                far = row["far"].values.to_numpy(zero_copy_only=False)
-                q, r = scan(columns, asked, far, k, own)
-                score = np.empty(len(q))
-                for a in range(0, len(q), CELLS // 4):
-                    b = a + CELLS // 4
-                    score[a:b] = cosines(asked_raw[q[a:b]].astype(np.float64),
-                                         raw[r[a:b]].astype(np.float64))
-                ids = row["ids"].values.take(pa.array(r))
-                by_id = pc.rank(ids, "ascending", tiebreaker="dense").to_numpy() if len(ids) else r
-                best = np.lexsort((rows[r], by_id, -score, q))
-                rank = np.arange(len(q)) - np.searchsorted(q[best], q[best])
-                best = best[rank < k]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(query_rows[q[best]]), row["query_ids"].values.take(pa.array(q[best])),
-                    pa.array(rows[r[best]]), ids.take(pa.array(best)), pa.array(score[best])],
-                    schema=schema)
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            asks = batch.column(1).to_numpy(zero_copy_only=False)
+            heads = np.flatnonzero((np.diff(key, prepend=-1) != 0) | np.diff(asks, prepend=~asks[:1]))
+            for a, b in zip(heads.tolist(), [*heads[1:].tolist(), batch.num_rows]):
+                if key[a] != at:
+                    at, held, bucket = key[a], [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if bucket is None and not held:
+                    continue
+                if bucket is None:
+                    bucket, held = _Bucket(held, index), []
+                for i in range(a, b, PACK_ROWS):
+                    asked = batch.slice(i, min(PACK_ROWS, b - i))
+                    q, r, score = bucket.best(asked, index, k)
+                    yield pa.RecordBatch.from_arrays([
+                        asked.column(3).take(pa.array(q)), asked.column(4).take(pa.array(q)),
+                        pa.array(bucket.rows[r]), bucket.ids.take(pa.array(r)), pa.array(score)],
+                        schema=schema)
     return run
 
 
@@ -356,38 +447,34 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "
     kept = vectors.filter(F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))
-    shape = f"row bigint, id {id_type}, asks boolean, list int, raw binary, turned binary"
+    shape = f"row bigint, id {id_type}, asks boolean, list int, raw binary"
     placed = settle(kept.mapInArrow(_placer(_arrow(spark, shape), index), shape))
     sizes = np.zeros(len(index.centres), np.int64)
-    asking = 0
-    for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect():
+    for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():
         sizes[r["list"]] = r["n"]
-        asking += r["q"]
+    deal = _Deal(sizes, index, 2 * spark.sparkContext.defaultParallelism)
     # One row per list; the number of lists is bounded.
     split = F.broadcast(spark.createDataFrame(
-        [(i, int(max(1, -(-n // BLOCK_ROWS)))) for i, n in enumerate(sizes)], "list int, parts int"))
-    dealt = (placed.join(split, "list")
-             .select("list", F.pmod(F.xxhash64("row"), "parts").cast("int").alias("part"),
-                     "row", "id", "raw", "turned")
-             .repartition("list", "part").sortWithinPartitions("list", "part"))
-    shape = (f"list int, part int, rows array<bigint>, ids array<{id_type}>, raw binary, "
-             "columns array<binary>")
-    blocks = settle(dealt.mapInArrow(_blocker(_arrow(spark, shape), index), shape))
-
-    shape = (f"list int, parts array<int>, query_rows array<bigint>, query_ids array<{id_type}>, "
-             "query_raw binary, query_turned binary, far array<double>")
+        [(i, int(a), int(n)) for i, (a, n) in enumerate(zip(deal.first, deal.parts))],
+        "list int, first int, parts int"))
+    bucket = F.floor((F.col("first") + F.pmod(F.xxhash64("row"), "parts")) / deal.bucket_parts)
+    shape = (f"bucket int, asks boolean, list int, row bigint, id {id_type}, raw binary, far double, "
+             "lists binary")
+    living = placed.join(split, "list").select(
+        bucket.cast("int").alias("bucket"), F.lit(False).alias("asks"), "list", "row", "id", "raw",
+        F.lit(None).cast("double").alias("far"), F.lit(None).cast("binary").alias("lists"))
     pack_schema, found_shape = _arrow(spark, shape), (
         f"query_row bigint, query_id {id_type}, row bigint, vec_id {id_type}, score double")
     found_schema = _arrow(spark, found_shape)
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
-        packs = (asked.repartition(max(1, -(-asking // PACK_ROWS)), "row")
-                 .mapInArrow(_packer(pack_schema, index, sizes, k, first), shape)
-                 .withColumn("part", F.explode("parts")).drop("parts"))
-        return blocks.join(packs, ["list", "part"]).drop("list", "part") \
-            .mapInArrow(_scanner(found_schema, index, k), found_shape)
+        packs = asked.mapInArrow(_packer(pack_schema, index, deal, k, first), shape)
+        # A task holds the vectors of a bucket; the queries that read there pass by in batches.
+        return (living.unionByName(packs).repartitionById(deal.buckets, F.col("bucket"))
+                .sortWithinPartitions("bucket", "asks", "list")
+                .mapInArrow(_scanner(found_schema, index, k), found_shape))
 
-    asked = placed.filter("asks").select("row", "id", "raw", "turned")
+    asked = placed.filter("asks").select("row", "id", "raw")
     none = F.lit(float("inf"))
     first = settle(_best(search(asked.withColumn("far", none), True), k).drop("rank"))
     # Of unit vectors the squared distance is 2 - 2 cos.

@@ -1,7 +1,9 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from patronage.llm import neighbours, queries
@@ -135,3 +137,47 @@ def test_abandoned_vectors_are_far():
     own = np.arange(100)
     q, r = neighbours.scan(columns, asked, np.full(100, np.inf), 5, own)
     assert not (q == r).any() and np.bincount(q, minlength=100).min() >= 5
+
+
+def test_fit_holds_few_products_at_once():
+    """As many lists as there can be: the products of the sample with the centres are never held whole."""
+    rows = clustered(6000, 8)
+    rows /= np.sqrt((rows * rows).sum(1))[:, None]
+    tracemalloc.start()
+    centres = neighbours._centres(rows, neighbours.MOST_LISTS, turns=2)
+    probes = neighbours._probes(rows, centres, 5, 0.99)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 40e6 < 6000 * neighbours.MOST_LISTS * 4
+    products = rows @ centres.T
+    assert (neighbours._nearest_centre(rows, centres) == products.argmax(1)).all()
+    assert 1 <= probes <= neighbours.MOST_LISTS
+
+
+def packs(index, sizes, rows, far, monkeypatch, nearest=False):
+    """(bucket, query row, lists) as the packer makes them."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 10)
+    deal = neighbours._Deal(np.array(sizes), index, 3)
+    schema = pa.schema([("bucket", pa.int32()), ("asks", pa.bool_()), ("list", pa.int32()), ("row", pa.int64()),
+                        ("id", pa.int64()), ("raw", pa.binary()), ("far", pa.float64()), ("lists", pa.binary())])
+    asked = pa.RecordBatch.from_arrays([
+        pa.array(range(len(rows)), pa.int64()), pa.array(range(len(rows)), pa.int64()),
+        pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary()), pa.array(far, pa.float64())],
+        names=["row", "id", "raw", "far"])
+    out = [r for b in neighbours._packer(schema, index, deal, 1, nearest)(iter([asked])) for r in b.to_pylist()]
+    return deal, [(r["bucket"], r["row"], np.frombuffer(r["lists"], "<u2").tolist()) for r in out]
+
+
+def test_a_query_goes_once_to_a_bucket_and_not_to_lists_beyond_its_reach(monkeypatch):
+    centres = np.eye(4, dtype=np.float32)
+    index = neighbours.Index(4, "<f4", np.eye(4, dtype=np.float32), centres, 4)
+    rows = np.array([[1, 0.1, 0, 0], [0, 1, 0.9, 0]], np.float32)
+    deal, got = packs(index, [10, 10, 25, 0], rows, [math.inf, math.inf], monkeypatch)
+    # Parts: one, one, three; two to a bucket. The empty list is read by nobody.
+    assert deal.buckets == 3 and deal.bucket_parts == 2
+    assert sorted(got) == [(0, 0, [1]), (0, 1, [0]), (1, 0, [2]), (1, 1, [2]), (2, 0, [2]), (2, 1, [2])]
+    _, got = packs(index, [10, 10, 25, 0], rows, [math.inf, math.inf], monkeypatch, nearest=True)
+    assert sorted(got) == [(0, 0, [0]), (0, 1, [1])]
+    # The border between the two nearest lists of the second query is 0.05 away, all others are farther.
+    _, got = packs(index, [10, 10, 25, 0], rows, [0.0, 0.01], monkeypatch)
+    assert sorted(got) == [(1, 1, [2]), (2, 1, [2])]
