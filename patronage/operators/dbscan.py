@@ -15,7 +15,8 @@ So a cell holding a third of all rows costs work linear in its rows, spread over
 
 Which cells can be near each other is found in one of two ways with the same result. With few
 features the neighbours of a cell are enumerated on the grid. Their number grows with a power of the
-features, so beyond ``GRID_FEATURES`` cells are treated as balls in a metric space: each belongs to
+features, so beyond ``GRID_FEATURES`` points are compared place by place instead (``places.py``). With
+``pivots``, cells are treated as balls in a metric space: each belongs to
 the nearest of some pivots, is copied to the pivots that a ball within reach could belong to, and
 meets there only balls whose distance to that pivot is about its own. A task compares the balls that
 live at such a place with the copies sent there as blocks of numbers: the distances of the middles
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.ordering import with_running
 from patronage.operators.components import connected_components
+from patronage.operators.places import clustered
 from patronage.operators.prepare import safe_numeric, standard_scale
 from patronage.session import settle, ship_package
 
@@ -455,17 +457,27 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     """Key, features, ``cluster`` and ``is_core``; cluster -1 marks noise.
 
     Features are standardised first unless ``scale`` is off. Near cells are found by ``pivots`` or on
-    the grid; unless stated, by the number of features. Clusters are numbered from 0 by
+    the grid if stated; else on the grid up to ``GRID_FEATURES`` features, and beyond them points are
+    compared place by place (``places.py``), where no pair becomes a row. Clusters are numbered from 0 by
     their smallest core key; a border point joins the lowest-numbered cluster that reaches it.
     """
     features = list(features)
     d = len(features)
     data = safe_numeric(df.select(key, *features), key).select(key, *features)
     scaled = standard_scale(data, features) if scale else data
-    grid = _Grid(scaled.select(F.col(key).alias("_id"), *[
-        F.col(f"`{c}`").alias(f"x{j}") for j, c in enumerate(features)]), d, eps, min_samples)
-    by_pivots = d > GRID_FEATURES if pivots is None else pivots
-    near = grid.near_balls() if by_pivots else grid.near_cells()
+    points = scaled.select(F.col(key).alias("_id"), *[
+        F.col(f"`{c}`").alias(f"x{j}") for j, c in enumerate(features)])
+    if pivots is None and d > GRID_FEATURES:
+        found = clustered(points, d, eps, min_samples)
+    else:
+        found = _by_cells(_Grid(points, d, eps, min_samples), bool(pivots))
+    return data.join(found.withColumnRenamed("_id", key), key).select(key, *features, "cluster", "is_core")
+
+
+def _by_cells(grid: _Grid, pivots: bool) -> DataFrame:
+    """(_id, cluster, is_core) of the points, from pairs of near cells."""
+    d = grid.d
+    near = grid.near_balls() if pivots else grid.near_cells()
     flagged = grid.flag_core(near)
     core = flagged.filter("is_core")
     core_cells = settle(core.groupBy("cell").agg(
@@ -503,5 +515,4 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float = 0.5,
     other_rows = others.select("_id").join(border, "_id", "left").select(
         "_id", F.coalesce("cluster", F.lit(-1).cast("bigint")).alias("cluster"),
         F.lit(False).alias("is_core"))
-    found = core_rows.unionByName(other_rows).withColumnRenamed("_id", key)
-    return data.join(found, key).select(key, *features, "cluster", "is_core")
+    return core_rows.unionByName(other_rows)
