@@ -206,9 +206,10 @@ def small_places(monkeypatch, rows=30, sent=2):
     monkeypatch.setattr(places, "HOT_PARTS", 3)
 
 
-@pytest.mark.parametrize("eps,min_samples", [(0.6, 5), (0.3, 3)])
-def test_many_places_match_brute_force(spark, monkeypatch, eps, min_samples):
-    small_places(monkeypatch)
+@pytest.mark.parametrize("rows,eps,min_samples", [(30, 0.6, 5), (8, 0.3, 3)])
+def test_many_places_match_brute_force(spark, monkeypatch, rows, eps, min_samples):
+    """With eight rows to a place, the copies of one point are dealt to several."""
+    small_places(monkeypatch, rows)
     points = spread_out(int(10 * eps), 360)
     assert run(spark, points, eps, min_samples) == brute(points, eps, min_samples)
 
